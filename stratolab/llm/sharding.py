@@ -110,7 +110,7 @@ def _levelled(rows: DataFrame, total: int, shards: int, buckets: int) -> DataFra
 
 
 def shard(
-    docs: DataFrame, *, shards: int = 40, rounds: int = 3, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, shards: int = 40, rounds: int = 3, bucket_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
@@ -126,6 +126,7 @@ def shard(
     linked = stored(facts.join(sizes, "grp", "left_semi").select(facts.columns), "linked")
     single = facts.join(sizes, "grp", "left_anti").select(facts.columns)
     cap = total // shards
+    buckets = min(64, cap // bucket_rows + 1)  # queues a shard, so that one task sorts no whole shard
     for _ in range(rounds):
         room = _room(linked, cap, shards)
         linked = stored(_propagated(linked, room, cap, buckets), "linked")
