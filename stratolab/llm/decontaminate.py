@@ -11,7 +11,6 @@ narrow pass over the documents. No shuffle takes place.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -175,11 +174,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, min_hit: int = 1, *
 
     Options are those of scan(). Rows whose text is null or empty stay.
     """
-    names = docs.columns
-    clash = {"n_words", "n_hit", "items", "spans"} & set(names)
-    renamed = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
-    kept = scan(renamed, benchmark, **options).where(F.col("n_hit") < min_hit)
-    return kept.withColumnsRenamed({f"__{c}": c for c in clash}).select(*[F.col(f"`{c}`") for c in names])
+    made = {"n_words", "n_hit", "items", "spans"}
+    aside = {c: f"__{c}" for c in docs.columns if c in made}
+    kept = scan(docs.withColumnsRenamed(aside), benchmark, **options).where(F.col("n_hit") < min_hit)
+    return kept.drop(*made).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -194,7 +192,3 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         "spans",
     )
-
-
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
