@@ -149,12 +149,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RECORD = pa.schema([("head", pa.binary()), ("payload", pa.binary())])
 
 
-def read_archive(spark: SparkSession, path: str, *, salt_rows: int = 2000) -> DataFrame:
-    """(head, payload) of every record; a revisit has its response's payload.
-
-    Head followed by payload, for a response, and a blank line are the exact
-    record. A payload that no longer has its digest fails the job.
-    """
+def _joined(spark: SparkSession, path: str, salt_rows: int) -> DataFrame:
     heads = spark.read.schema("head binary, sha256 binary, copies long").parquet(f"{path}/heads")
     payloads = spark.read.schema("sha256 binary, packed binary").parquet(f"{path}/payloads")
     salts = F.ceil(F.col("copies") / F.lit(salt_rows)).cast("int")
@@ -163,8 +158,24 @@ def read_archive(spark: SparkSession, path: str, *, salt_rows: int = 2000) -> Da
         "sha256", "packed", F.explode(F.sequence(F.lit(1), F.coalesce("salts", F.lit(1)))).alias("salt")
     )
     salted = heads.select("head", "sha256", (F.pmod(F.xxhash64("head"), salts) + 1).cast("int").alias("salt"))
-    joined = salted.join(spread, ["sha256", "salt"]).select("head", "sha256", "packed")
-    return joined.mapInArrow(_records, "head binary, payload binary")
+    return salted.join(spread, ["sha256", "salt"]).select("head", "sha256", "packed")
+
+
+def read_archive(spark: SparkSession, path: str, *, salt_rows: int = 2000) -> DataFrame:
+    """(head, payload) of every record; a revisit has its response's payload.
+
+    Head followed by payload, for a response, and a blank line are the exact
+    record. A payload that no longer has its digest fails the job.
+    """
+    return _joined(spark, path, salt_rows).mapInArrow(_records, "head binary, payload binary")
+
+
+def read_facts(spark: SparkSession, path: str, *, salt_rows: int = 2000) -> DataFrame:
+    """What each record of an archive holds, parsed from the whole record where it is put together."""
+    return _joined(spark, path, salt_rows).mapInArrow(
+        lambda batches: _parsed(_records(batches)),
+        "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long",
+    )
 
 
 def warc_bytes(head: bytes, payload: bytes) -> bytes:
@@ -206,9 +217,7 @@ def report(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_archive(pages, path, **options)
-    return read_archive(spark, path).mapInArrow(
-        _parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+    return read_facts(spark, path)
 
 
 ORACLE_SQL = """
