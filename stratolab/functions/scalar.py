@@ -151,6 +151,11 @@ def percent(c) -> Column:
     return F.concat(F.bround(_c(c) * 100).cast("long").cast("string"), F.lit("%"))
 
 
+def decimal_text(c, pattern: str) -> Column:
+    """A number by a decimal pattern such as 0.00."""
+    return F.call_function("format_number", _c(c), F.lit(pattern))
+
+
 # --- time -------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import area_description, cosine_distance, event_title, l2_squared, percent
+from ..functions.scalar import area_description, cosine_distance, decimal_text, event_title, l2_squared, percent
 from ..schema import CAP_CERTAINTY_RANK, CAP_SEVERITY, CAP_SEVERITY_RANK, COAST_M, MOUNTAIN_M, URBAN_FRACTION
 from .impact import DISTRICT, district_class_fraction, district_mean
 
@@ -92,7 +92,7 @@ def query_text() -> Column:
 
 def prompt_text() -> Column:
     """The situation and the excerpts, from an impact row with context, times, guidelines and drivers."""
-    hours = lambda c: F.format_number(F.col(c), "0.0")
+    hours = lambda c: decimal_text(F.col(c), "0.0")
     clock = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
     excerpts = F.when(
         F.size("guidelines") > 0,
@@ -108,9 +108,9 @@ def prompt_text() -> Column:
         F.concat(F.lit("Impact begins: +"), hours("onset_hours"), F.lit(" h ("), clock("onset_time"), F.lit(")")),
         F.concat(F.lit("Impact ends: +"), hours("expiry_hours"), F.lit(" h ("), clock("expiry_time"), F.lit(")")),
         F.concat(F.lit("Peak probability of heavy rain: "), percent("peak_probability")),
-        F.concat(F.lit("Affected area: "), F.format_number("affected_area_km2", "0"), F.lit(" km2 ("), percent("affected_fraction"), F.lit(" of the district)")),
+        F.concat(F.lit("Affected area: "), decimal_text("affected_area_km2", "0"), F.lit(" km2 ("), percent("affected_fraction"), F.lit(" of the district)")),
         F.concat(F.lit("Forecast severity band: "), F.coalesce("severity", F.lit("unclassified"))),
-        F.when(F.col("peak_intensity").isNotNull(), F.concat(F.lit("Peak rain rate: "), F.format_number("peak_intensity", "0"), F.lit(" mm/h"))),
+        F.when(F.col("peak_intensity").isNotNull(), F.concat(F.lit("Peak rain rate: "), decimal_text("peak_intensity", "0"), F.lit(" mm/h"))),
         F.concat(F.lit("Hazard class: "), "hazard_class"),
         F.concat(F.lit("Terrain: "), "region"),
         F.when(F.size("defaulted") > 0, F.concat(F.lit("NOTE: "), F.array_join("defaulted", ", "), F.lit(" could not be determined and fell back to a default. Do not describe the district's terrain or hazard type as established."))),
@@ -176,7 +176,7 @@ def cap_parameters() -> Column:
     def pair(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(name).alias("value_name"), value.alias("value")))
 
-    number = lambda c, f: F.format_number(F.col(c), f)
+    number = lambda c, f: decimal_text(F.col(c), f)
     fixed = F.array(
         pair("peak_probability", number("peak_probability", "0.0000")),
         pair("corpus", F.col("corpus")),

@@ -69,11 +69,14 @@ def rank_frames(shares: DataFrame, k: int, keys: list[str] | None = None) -> Dat
 def lookback_indices(frames: DataFrame, keys: list[str], time: str = "slot_s") -> DataFrame:
     """frames with offset counted back from the last, and whether steps are even."""
     w = Window.partitionBy(*keys).orderBy(time)
-    stepped = frames.withColumn("gap", F.col(time) - F.lag(time).over(w))
-    steps = stepped.groupBy(*keys).agg(F.count_distinct("gap").alias("k"), F.max("gap").alias("step"), F.max(time).alias("end"))
-    out = stepped.drop("gap").join(steps, keys)
-    offset = F.when(F.col("k") <= 1, F.coalesce((F.col(time) - F.col("end")) / F.col("step"), F.lit(0.0)).cast("long"))
-    return out.withColumn("even", F.col("k") <= 1).withColumn("lookback", offset).drop("k", "step", "end")
+    stepped = frames.withColumn("_gap", F.col(time) - F.lag(time).over(w))
+    steps = stepped.groupBy(*keys).agg(
+        F.count_distinct("_gap").alias("_gaps"), F.max("_gap").alias("_step"), F.max(time).alias("_end")
+    )
+    out = stepped.drop("_gap").join(steps, keys)
+    even = F.col("_gaps") <= 1
+    offset = F.when(even, F.coalesce((F.col(time) - F.col("_end")) / F.col("_step"), F.lit(0.0)).cast("long"))
+    return out.withColumns({"even": even, "lookback": offset}).drop("_gaps", "_step", "_end")
 
 
 def scale_by_max(maps: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import decimal_text
+
 # Per region flash-flood IWV and CTT drop, cloudburst rate and area, wind gust.
 REGION_LIMITS = (
     ("IN-MH-MUM", "Mumbai Metro", 55.0, 8.0, 100.0, 20, 65.0),
@@ -41,7 +43,7 @@ def rule_join(telemetry: DataFrame, limits: DataFrame) -> DataFrame:
 
 def evaluate_rules(joined: DataFrame) -> DataFrame:
     """Three rows a telemetry row: rule_id, rule_text, is_met, status_text."""
-    n = lambda c: F.format_number(F.col(c), "0.##")
+    n = lambda c: decimal_text(F.col(c), "0.##")
 
     def rule(rid: str, text: Column, met: Column) -> Column:
         return F.struct(F.lit(rid).alias("rule_id"), text.alias("rule_text"), F.coalesce(met, F.lit(False)).alias("is_met"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -192,7 +191,7 @@ def decorrelate(scores: DataFrame, policy: Policy = POLICY, capacity: int = 512,
     A season holds one small row a window, a number fixed by the calendar.
     """
 
-    def fold(_, frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
+    def fold(frames: pd.DataFrame) -> pd.DataFrame:
         rows = frames.sort_values("t_s", kind="stable")
         box = Reservoir(policy, capacity)
         codes = [box.offer(t, s, u) for t, s, u in zip(rows["t_s"], rows["score"], rows["draw"], strict=True)]
