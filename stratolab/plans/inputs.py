@@ -38,8 +38,10 @@ def build_inputs(
 
 
 def fixture_inputs(spark, sf_dir: str) -> DataFrame:
-    """The pipeline over satellite slots of the events table on a 4 x 4 grid."""
-    f = view(spark, sf_dir, "fx_frame").where("stream = 'insat'")
+    """The pipeline over 480 slots of the events table on a 4 x 4 grid; slots of errors alone are missing."""
+    e = view(spark, sf_dir, "events").where("event_type != 'error'")
+    slot = (F.col("event_id") % 480 * 1800).alias("slot_s")
+    f = e.groupBy(F.lit("insat").alias("stream"), slot).agg(F.sum(F.col("event_id") % 1000).alias("v"))
     frames = f.select("stream", "slot_s", F.lit(0).alias("qc_flag"))
     grid = view(spark, sf_dir, "fx_cell").select("cell", F.col("grid_row").alias("row"), F.col("grid_col").alias("col"), "lat", "lon")
     cells = f.crossJoin(F.broadcast(grid)).select(  # 16 cells
