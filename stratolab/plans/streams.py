@@ -10,7 +10,7 @@ from ..operators.dashboard import limits_table
 from ..sources.windows import shared_path
 from ..streaming import online
 from .fixtures import view
-from .products import IDS, storm_rows
+from .products import IDS, TELE, storm_rows
 from .registry import Registry
 from .verification import rounded
 
@@ -106,7 +106,9 @@ def r7_stream_verify(s, d):
     return out.select(w, "lead", "cell", "member", "rain_mm_h", "observed")
 
 
-@R.add()
+@R.add(f"""WITH {TELE}, r AS (SELECT event_id, region_id, 'flash-flood-critical' AS rule_id, iwv > li AND ctt_drop_30m > lc AS is_met FROM j UNION ALL
+  SELECT event_id, region_id, 'cloudburst-warning', rainfall_rate > lr FROM j UNION ALL SELECT event_id, region_id, 'high-wind-watch', wind_gust > lw FROM j)
+  SELECT event_id, region_id, rule_id, 'Triggered' AS status_text FROM r WHERE is_met""")
 def r8_stream_alerts(s, d):
     ids = F.array(*map(F.lit, IDS))
     t = view(s, d, "fx_telemetry").withColumn("region_id", F.element_at(ids, (F.col("region_no") + 1).cast("int")))

@@ -532,3 +532,25 @@ def test_event_peaks_and_timeline(spark):
 def test_nan_is_missing(spark):
     r = one(spark, scalar.null_sentinel(F.lit(float("nan")), -999.0).alias("a"), scalar.filled(F.lit(float("inf")), 0.0).alias("b"), scalar.wind_speed(F.lit(3.0), F.lit(4.0)).alias("c"))
     assert r.a is None and r.b == 0.0 and math.isclose(r.c, 5.0)
+
+
+def test_convergence(spark):
+    from stratolab.operators import attrib
+
+    a = spark.createDataFrame([(0.4,), (0.6,)], "attribution double")
+    good, bad = attrib.convergence_check(a, 1.01).first(), attrib.convergence_check(a, 2.0).first()
+    assert good.converged and not bad.converged and bad.residual == pytest.approx(1.0)
+
+
+def test_empty_region_is_refused(spark):
+    from stratolab.operators import attrib
+
+    mask = spark.createDataFrame([(0, 0, False), (0, 1, False)], "map_row int, map_col int, mask boolean")
+    with pytest.raises(Exception, match="empty"):
+        attrib.pool_mean(mask, 2).collect()
+    none = spark.createDataFrame([(0, 0, 0, 0.0)], "t int, map_row int, map_col int, share double")
+    with pytest.raises(Exception, match="attention"):
+        attrib.attention_share(none).collect()
+    cells = spark.createDataFrame([(None,)], "rain_mm_h double")
+    with pytest.raises(Exception, match="valid cell"):
+        verify.soft_exceedance(cells, 15.0, 1.0).collect()
