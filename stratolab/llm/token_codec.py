@@ -25,7 +25,7 @@ BLOCK = 4096
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 _FULL = np.uint64((1 << 64) - 1)
 _S16, _S48 = np.uint64(16), np.uint64(48)
-_STEP = 24  # added to a count each time
+_STEP = np.uint16(24)  # added to a count each time
 _MOST = 4000  # of a row's counts, so that two rows narrow a range of 2^40 to 2^16 at least
 _H1, _H2 = 512, 1024
 
@@ -40,49 +40,48 @@ class _Model:
     def __init__(self, lanes: int):
         self.pred = [np.full(lanes * h, -1, np.int32) for h in (_H1, _H2)]
         self.conf = [np.zeros(lanes * h, np.uint8) for h in (_H1, _H2)]
-        # Per context order and confidence: how often order 2, order 1, or neither was right.
-        self.hits = [[np.full(lanes * 8, c, np.uint16) for c in (1, 1, 2)] for _ in range(2)]
+        # Per context order and confidence: how often order 2, order 1, or neither was right; and the sum.
+        self.hits = [np.tile(np.array([1, 1, 2, 4], np.uint16), lanes * 8) for _ in range(2)]
         rows = {"hi_a": 1, "hi_b": 16, "lo_a": 16, "lo_b": 256}
         self.rows = {k: np.tile(_ORDER, (lanes * n, 1)) for k, n in rows.items()}  # cumulative counts
         self.before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
         self.lane = np.arange(lanes)
+        self.lane8, self.sixteen = self.lane * 8, self.lane * 16
+        self.slot = [self.lane * _H1, self.lane * _H2]
 
     def predict(self, n: int):
         """Of the first n lanes: slots, predicted ids, contexts, and the mixed counts."""
         one, two = self.before[0][:n], self.before[1][:n]
-        lane = self.lane[:n]
-        at = [lane * _H1 + (one * 40503 >> 4) % _H1, lane * _H2 + (one * 40503 + two * 30011 >> 4) % _H2]
+        mixed_in = one * 40503
+        at = [self.slot[0][:n] + ((mixed_in >> 4) & (_H1 - 1)), self.slot[1][:n] + ((mixed_in + two * 30011 >> 4) & (_H2 - 1))]
         p1, p2 = self.pred[0].take(at[0]), self.pred[1].take(at[1])
-        ctx = [lane * 8 + self.conf[k].take(at[k]) for k in (0, 1)]
-        mixed = [(self.hits[0][w].take(ctx[0]) + self.hits[1][w].take(ctx[1])).astype(np.uint64) for w in range(3)]
+        ctx = [(self.lane8[:n] + self.conf[k].take(at[k])) * 4 for k in (0, 1)]
+        mixed = [(self.hits[0].take(ctx[0] + w) + self.hits[1].take(ctx[1] + w)).astype(np.uint64) for w in range(3)]
         mixed[0] *= p2 >= 0
         mixed[1] *= (p1 >= 0) & (p1 != p2)
         return at, (p2, p1), ctx, mixed
 
     def learn(self, n: int, ids: np.ndarray, which: np.ndarray, at, predicted, ctx) -> None:
-        rose = [(which == w).astype(np.uint16) * np.uint16(_STEP) for w in range(3)]
         for k in (0, 1):
-            c = ctx[k]
-            new = [h.take(c) + r for h, r in zip(self.hits[k], rose, strict=True)]
-            full = (new[0] + new[1] + new[2] > _MOST // 2).astype(np.uint16)
-            for h, x in zip(self.hits[k], new, strict=True):
-                h[c] = (x + full) >> full
+            hits, c = self.hits[k], ctx[k]
+            hits[c + which] += _STEP
+            total = hits.take(c + 3) + np.uint16(_STEP)
+            hits[c + 3] = total
+            full = np.flatnonzero(total > _MOST // 2)
+            if len(full):
+                f = c[full]
+                halves = [(hits[f + w] + 1) >> 1 for w in range(3)]
+                for w in range(3):
+                    hits[f + w] = halves[w]
+                hits[f + 3] = halves[0] + halves[1] + halves[2]
             p, conf = predicted[1 - k], self.conf[k].take(at[k])
             right = p == ids
-            self.pred[k][at[k]] = np.where(right | (conf > 0), p, ids)
+            new = np.flatnonzero(~right & (conf == 0))
+            self.pred[k][at[k][new]] = ids[new]
             self.conf[k][at[k]] = np.where(right, np.minimum(conf + 1, 7), conf >> 1)
         self.before[1][:n] = self.before[0][:n]
         self.before[0][:n] = ids
 
-    def count(self, name: str, at: np.ndarray, symbol: np.ndarray) -> None:
-        rows = self.rows[name]
-        new = rows.take(at, axis=0)
-        new += _ADD.take(symbol, axis=0)
-        full = np.flatnonzero(new[:, 15] > _MOST)
-        if len(full):
-            new[full] = (new[full] + _ORDER) >> 1  # every count stays 1 at least
-        rows[at] = new
-
 
 class _Range:
     """Carryless range coders, one a lane; 16 bits leave or enter at a time."""
@@ -92,13 +91,10 @@ class _Range:
         self.range = np.full(lanes, _FULL)
         self.at = np.zeros(lanes, np.int64)
 
-    def narrow(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        part = self.range[lanes] // total
-        self.low[lanes] += part * low
-        self.range[lanes] = part * width
-
-    def settle(self, lanes: np.ndarray) -> None:
-        low, span = self.low.take(lanes), self.range.take(lanes)
+    def settle(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
+        """Keep the lanes' new intervals, and shift out what is settled."""
+        self.low[lanes] = low
+        self.range[lanes] = span
         while True:
             same = (low ^ (low + span)) < _TOP
             go = np.flatnonzero(same | (span < _BOT))
@@ -118,8 +114,9 @@ class _Writer(_Range):
         self.out = np.zeros((lanes, 5 * most + 8), np.uint16)
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.at[lanes]] = (low >> _S48).astype(np.uint16)
-        self.at[lanes] += 1
+        at = self.at[lanes]
+        self.out[lanes, at] = low >> _S48
+        self.at[lanes] = at + 1
 
     def finish(self, lane: int) -> bytes:
         low = int(self.low[lane])
@@ -131,7 +128,7 @@ class _Reader(_Range):
     def __init__(self, parts: list[bytes]):
         super().__init__(len(parts))
         most = max(len(p) for p in parts) // 2 + 8
-        self.words = np.zeros((len(parts), most), np.uint64)
+        self.words = np.zeros((len(parts), most), np.uint16)
         for i, p in enumerate(parts):
             self.words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
         self.code = np.zeros(len(parts), np.uint64)
@@ -141,14 +138,15 @@ class _Reader(_Range):
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
         # A damaged block may ask for more than there is; its checksum tells.
-        word = self.words[lanes, np.minimum(self.at[lanes], self.words.shape[1] - 1)]
+        at = self.at[lanes]
+        word = self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
         self.code[lanes] = (self.code[lanes] << _S16) | word
-        self.at[lanes] += 1
+        self.at[lanes] = at + 1
+
 
-    def value(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Where each lane's code lies, out of total."""
-        part = self.range.take(lanes) // total
-        return np.minimum((self.code.take(lanes) - self.low.take(lanes)) // part, total - np.uint64(1))
+def _value(code: np.ndarray, low: np.ndarray, part: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Where a code lies, out of total."""
+    return np.minimum((code - low) // part, total - np.uint64(1))
 
 
 def _step(model: _Model, coder: _Range, n: int, ids: np.ndarray | None) -> np.ndarray:
@@ -157,44 +155,57 @@ def _step(model: _Model, coder: _Range, n: int, ids: np.ndarray | None) -> np.nd
     at, predicted, ctx, mixed = model.predict(n)
     two = mixed[0] + mixed[1]
     total = two + mixed[2]
+    low, part = coder.low[:n], coder.range[:n] // total
     if ids is None:
-        value = coder.value(lanes, total)
+        value = _value(coder.code[:n], low, part, total)
         which = (value >= mixed[0]).astype(np.int64) + (value >= two)
     else:
         which = np.where(ids == predicted[0], 0, np.where(ids == predicted[1], 1, 2))
-    low = np.choose(which, (np.uint64(0), mixed[0], two))
-    coder.narrow(lanes, low, np.choose(which, mixed), total)
-    coder.settle(lanes)
-    out = np.where(which == 0, predicted[0], predicted[1]) if ids is None else ids
-    rest = np.flatnonzero(which == 2)
+    missed, second = which == 2, which == 1
+    below = np.where(missed, two, np.where(second, mixed[0], np.uint64(0)))
+    width = np.where(missed, mixed[2], np.where(second, mixed[1], mixed[0]))
+    coder.settle(lanes, low + part * below, part * width)
+    out = np.where(second, predicted[1], predicted[0]).astype(np.int64) if ids is None else ids
+    rest = np.flatnonzero(missed)
     if len(rest):
         want = None if ids is None else ids[rest]
         symbol = lambda shift: None if want is None else (want >> shift) & 15
-        a = _nibble(model, coder, "hi_a", rest, rest, symbol(12))
-        b = _nibble(model, coder, "hi_b", rest, rest * 16 + a, symbol(8))
-        coder.settle(rest)
-        c = _nibble(model, coder, "lo_a", rest, rest * 16 + a, symbol(4))
-        d = _nibble(model, coder, "lo_b", rest, (rest * 16 + a) * 16 + c, symbol(0))
-        coder.settle(rest)
+        a = _nibbles(model, coder, rest, ("hi_a", "hi_b"), rest, symbol(12), symbol(8))
+        high = rest * 16 + a[0]
+        c = _nibbles(model, coder, rest, ("lo_a", "lo_b"), high, symbol(4), symbol(0))
         if want is None:
-            out = out.astype(np.int64)
-            out[rest] = (a << 12) | (b << 8) | (c << 4) | d
+            out[rest] = (a[0] << 12) | (a[1] << 8) | (c[0] << 4) | c[1]
     model.learn(n, out, which, at, predicted, ctx)
     return out
 
 
-def _nibble(model: _Model, coder: _Range, name: str, lanes, at, symbol):
-    flat = model.rows[name].reshape(-1)
-    base = at * 16
-    total = flat.take(base + 15).astype(np.uint64)
+def _nibbles(model: _Model, coder: _Range, lanes: np.ndarray, names: tuple[str, str], at: np.ndarray, first, second):
+    """Two nibbles, the second in the context of the first, in one interval."""
+    low, span = coder.low.take(lanes), coder.range.take(lanes)
+    code = coder.code.take(lanes) if first is None else None
+    first, low, span = _nibble(model, names[0], at, first, low, span, code)
+    second, low, span = _nibble(model, names[1], at * 16 + first, second, low, span, code)
+    coder.settle(lanes, low, span)
+    return first, second
+
+
+def _nibble(model: _Model, name: str, at: np.ndarray, symbol, low: np.ndarray, span: np.ndarray, code):
+    rows = model.rows[name]
+    row = rows.take(at, axis=0)
+    total = row[:, 15].astype(np.uint64)
+    part = span // total
     if symbol is None:
-        value = coder.value(lanes, total).astype(np.uint16)
-        below = model.rows[name].take(at, axis=0) <= value[:, None]
+        below = row <= _value(code, low, part, total).astype(np.uint16)[:, None]
         symbol = np.bitwise_count(np.packbits(below.reshape(-1)).view(np.uint16)).astype(np.int64)
-    low = np.where(symbol > 0, flat.take(base + symbol - 1, mode="wrap"), 0).astype(np.uint64)
-    coder.narrow(lanes, low, flat.take(base + symbol) - low, total)
-    model.count(name, at, symbol)
-    return symbol
+    flat, place = row.reshape(-1), model.sixteen[: len(at)] + symbol
+    under = np.where(symbol > 0, flat.take(place - 1, mode="wrap"), np.uint16(0)).astype(np.uint64)
+    low, span = low + part * under, part * (flat.take(place) - under)
+    row += _ADD.take(symbol, axis=0)
+    full = np.flatnonzero(row[:, 15] > _MOST)
+    if len(full):
+        row[full] = (row[full] + _ORDER) >> 1  # every count stays 1 at least
+    rows[at] = row
+    return symbol, low, span
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
