@@ -93,6 +93,7 @@ def query_text() -> Column:
 def prompt_text() -> Column:
     """The situation and the excerpts, from an impact row with context, times, guidelines and drivers."""
     hours = lambda c: decimal_text(F.col(c), "0.0")
+    # Fixed values below: the prompt's wording.
     clock = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
     excerpts = F.when(
         F.size("guidelines") > 0,
@@ -171,7 +172,10 @@ def corpus_label(documents: DataFrame, sample_prefix: str = "SAMPLE") -> DataFra
 
 
 def cap_parameters() -> Column:
-    """The alert's name-value pairs: fixed ones, those that apply, one a citation, one a driver."""
+    """The alert's name-value pairs: fixed ones, those that apply, one a citation, one a driver.
+
+    Names and number patterns are fixed values.
+    """
 
     def pair(name: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(name).alias("value_name"), value.alias("value")))

@@ -118,6 +118,7 @@ def assess(frames: DataFrame, keys: list[str], order: str, observed: Column, lim
     )
     seen = frames.groupBy(*keys).agg(F.count_if(observed).alias("n"))
     joined = seen.join(missing, keys, "left")
+    # The wording of reasons.
     reason = (
         F.when(F.col("n") == 0, F.lit("no observed frames in the sequence"))
         .when(F.col("longest") > limit, F.format_string("longest gap is %d frames, over the limit of %d", "longest", F.lit(limit)))
