@@ -1,12 +1,14 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines decides where a chunk ends, so
+Rolling hashes over the hashes of the last lines decide where a chunk ends, so
 boundaries follow content: lines put in before a repeated passage move no
-boundary inside it. Chunks of several lines that occur more than once in the
-corpus keep their first occurrence; the others go after their bytes have been
-compared with the first's.
+boundary inside it. Several such rules cut each text in several ways, so that a
+short passage, in which one rule may find no two boundaries, is met by another.
+Chunks of several lines that occur more than once in the corpus keep their first
+occurrence; the others' lines go after their bytes have been compared with the
+first's.
 
-Plan: one pass writes (document, chunk number, digest) of all multi-line
+Plan: one pass writes (document, line, length, digest) of all multi-line
 chunks; a partial aggregation finds repeated digests; only the texts of those
 are shuffled for the comparison, with hot digests salted; the decisions go back
 to the documents by one join on their key.
@@ -25,20 +27,17 @@ from .common import stored
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
+# Lines under the rolling hash, and the mean number of lines between boundaries, of each rule.
+RULES = ((2, 3), (1, 3), (1, 2), (2, 2))
 
 
-def chunks(text: str | None, window: int = 2, divisor: int = 3) -> list[list[str]]:
-    """The text's lines in content-defined chunks.
+def boundaries(hashes: list[int], window: int, divisor: int) -> list[int]:
+    """Line counts behind which a chunk ends; the last is the number of lines.
 
     A chunk ends behind a line where the polynomial hash of the last `window`
-    line hashes, mixed, is 0 modulo `divisor`. Null has no chunk; an empty text
-    has one empty line. Joining all lines by newlines gives back the text.
+    line hashes, mixed, is 0 modulo `divisor`.
     """
-    if text is None:
-        return []
-    lines = text.split("\n")
-    hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
-    out, start, rolling = [], 0, 0
+    ends, rolling = [], 0
     drop = pow(_BASE, window, 1 << 64)
     for i, h in enumerate(hashes):
         rolling = (rolling * _BASE + h) & _M
@@ -46,76 +45,87 @@ def chunks(text: str | None, window: int = 2, divisor: int = 3) -> list[list[str
             rolling = (rolling - hashes[i - window] * drop) & _M
         mixed = (rolling ^ (rolling >> 31)) * 0xBF58476D1CE4E5B9 & _M
         if (mixed >> 33) % divisor == 0:
-            out.append(lines[start : i + 1])
-            start = i + 1
-    if start < len(lines):
-        out.append(lines[start:])
-    return out
+            ends.append(i + 1)
+    if not ends or ends[-1] != len(hashes):
+        ends.append(len(hashes))
+    return ends
+
+
+def spans(text: str | None, rules=RULES, min_lines: int = 2) -> tuple[list[str], list[tuple[int, int]]]:
+    """The text's lines, and (first line, number of lines) of its chunks of min_lines or more under any rule."""
+    if text is None:
+        return [], []
+    lines = text.split("\n")
+    hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
+    found = set()
+    for window, divisor in rules:
+        start = 0
+        for stop in boundaries(hashes, window, divisor):
+            if stop - start >= min_lines:
+                found.add((start, stop - start))
+            start = stop
+    return lines, sorted(found)
 
 
-def _candidates(window: int, divisor: int, min_lines: int):
+def _candidates(rules, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, pos, digest = [], [], []
+            key, line, count, digest = [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, chunk in enumerate(chunks(text, window, divisor)):
-                    if len(chunk) >= min_lines:
-                        key.append(k)
-                        pos.append(n)
-                        digest.append(xxhash.xxh3_128_digest("\n".join(chunk).encode()))
+                lines, found = spans(text, rules, min_lines)
+                for at, n in found:
+                    key.append(k)
+                    line.append(at)
+                    count.append(n)
+                    digest.append(xxhash.xxh3_128_digest("\n".join(lines[at : at + n]).encode()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(digest, pa.binary())],
-                names=["key", "pos", "digest"],
+                [pa.array(key, pa.int64()), pa.array(line, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())],
+                names=["key", "line", "n", "digest"],
             )
 
     return run
 
 
-def _texts(window: int, divisor: int):
-    """Per wanted chunk its digest, role and bytes."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per wanted chunk its place, digest, role and bytes."""
+    kinds = {"key": pa.int64(), "line": pa.int32(), "n": pa.int32(), "digest": pa.binary(), "first": pa.bool_(), "copies": pa.int64(), "body": pa.binary()}
+    for batch in batches:
+        rows: dict[str, list] = {c: [] for c in kinds}
+        for k, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            lines = (text or "").split("\n")
+            for w in wanted or ():
+                # Of rows that share an id, another row's chunk may lie beyond this text's end.
+                body = "\n".join(lines[w["line"] : w["line"] + w["n"]])
+                rows["key"].append(k)
+                rows["body"].append(body.encode())
+                for c in ("line", "n", "digest", "first", "copies"):
+                    rows[c].append(w[c])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in kinds.items()], names=list(kinds))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("key", "pos", "digest", "first", "copies", "body")}
-            for k, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                found = chunks(text, window, divisor)
-                for w in wanted or ():
-                    if w["pos"] < len(found):
-                        rows["key"].append(k)
-                        rows["body"].append("\n".join(found[w["pos"]]).encode())
-                        for c in ("pos", "digest", "first", "copies"):
-                            rows[c].append(w[c])
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows)
-            )
-
-    return run
 
-
-def _rebuilt(window: int, divisor: int, text_at: int):
-    """Texts without their removed chunks; `removed` is the last column and is replaced by counts."""
+def _rebuilt(text_at: int):
+    """Texts without their removed lines; `removed` is the last column and is replaced by counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines = [], []
+            texts, gone = [], []
             for text, removed in zip(
                 batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True
             ):
-                gone = 0
-                if removed:
-                    drop, kept = set(removed), []
-                    for n, chunk in enumerate(chunks(text, window, divisor)):
-                        if n in drop:
-                            gone += len(chunk)
-                        else:
-                            kept += chunk
-                    text = "\n".join(kept)
+                drop: set[int] = set()
+                if removed and text is not None:
+                    lines = text.split("\n")
+                    for r in removed:
+                        body = "\n".join(lines[r["line"] : r["line"] + r["n"]]).encode()
+                        if xxhash.xxh3_128_digest(body) == r["digest"]:  # else another row's with this id
+                            drop.update(range(r["line"], r["line"] + r["n"]))
+                    if drop:
+                        text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 texts.append(text)
-                lines.append(gone)
+                gone.append(len(drop))
             columns = list(batch.columns[:-1])
             columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32())], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=batch.schema.names)
 
     return run
 
@@ -125,51 +135,42 @@ def dedup(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    window: int = 2,
-    divisor: int = 3,
+    rules: tuple[tuple[int, int], ...] = RULES,
     min_lines: int = 2,
     salt_rows: int = 2000,
 ) -> DataFrame:
     """docs with repeated multi-line chunks taken out of the text, and int n_removed_lines.
 
-    The first occurrence, by (id, chunk number) with null ids before all, stays.
-    All rows stay, in any number; a row emptied of lines has an empty text. Null
-    texts stay null. Chunks of fewer than min_lines lines are never removed. Rows
-    that share an id share its decisions where their chunks' bytes are the same
-    at the same place, so a repeated row is one document. Other columns are
-    carried; one named n_removed_lines is replaced.
+    The first occurrence, by (id, line) with null ids before all, stays, and so
+    do occurrences that overlap it. All rows stay, in any number; a row emptied of
+    lines has an empty text. Null texts stay null. Chunks of fewer than min_lines
+    lines are never removed. Rows that share an id share its decisions where their
+    lines' bytes are the same at the same place, so a repeated row is one
+    document. Other columns are carried; one named n_removed_lines is replaced.
     """
     docs = docs.drop("n_removed_lines")
     names = docs.columns
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     found = stored(
-        slim.mapInArrow(_candidates(window, divisor, min_lines), "key long, pos int, digest binary"), "line-chunks"
+        slim.mapInArrow(_candidates(rules, min_lines), "key long, line int, n int, digest binary"), "line-chunks"
     )
     repeated = (
         found.groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("key", "pos")).alias("keeper"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct("key", "line")).alias("keeper"))
         .where("copies > 1")
     )
-    wanted = (
-        found.join(repeated, "digest")
-        .select(
-            "key",
-            F.struct(
-                "pos",
-                "digest",
-                (F.col("key").eqNullSafe(F.col("keeper.key")) & (F.col("pos") == F.col("keeper.pos"))).alias("first"),
-                "copies",
-            ).alias("w"),
-        )
-        .groupBy("key")
-        .agg(F.collect_set("w").alias("wanted"))
+    here = F.col("key").eqNullSafe(F.col("keeper.key")) & (F.abs(F.col("line") - F.col("keeper.line")) < F.col("n"))
+    marked = found.join(repeated, "digest").select(
+        "key",
+        F.struct("line", "n", "digest", here.alias("first"), "copies").alias("w"),
     )
-    # The wanted chunks of one document are fewer than its lines.
+    # The wanted chunks of one document are fewer than its lines times the rules.
+    wanted = marked.groupBy("key").agg(F.collect_set("w").alias("wanted"))
     with_wanted = _keyed(slim, wanted, "inner").select("key", "text", "wanted")
     bodies = stored(
         with_wanted.mapInArrow(
-            _texts(window, divisor), "key long, pos int, digest binary, first boolean, copies long, body binary"
+            _texts, "key long, line int, n int, digest binary, first boolean, copies long, body binary"
         ),
         "line-bodies",
     )
@@ -177,12 +178,12 @@ def dedup(
     firsts = bodies.where("first").select(
         "digest", F.col("body").alias("kept"), F.explode(F.sequence(F.lit(0), salts)).alias("salt")
     )
-    others = bodies.where("not first").withColumn("salt", F.pmod(F.xxhash64("key", "pos"), salts + 1).cast("int"))
+    others = bodies.where("not first").withColumn("salt", F.pmod(F.xxhash64("key", "line"), salts + 1).cast("int"))
     gone = (
         others.join(firsts.distinct(), ["digest", "salt"])
         .where("body = kept")
         .groupBy("key")
-        .agg(F.collect_set("pos").alias("removed"))
+        .agg(F.collect_set(F.struct("line", "n", "digest")).alias("removed"))
     )
     carried = docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).cast("long").alias("key")
@@ -191,7 +192,7 @@ def dedup(
     joined = _keyed(carried, gone, "left").select(*kept, "removed")
     types = [f.dataType.simpleString() for f in docs.schema]
     schema = ", ".join(f"{c} {t}" for c, t in zip(kept, types, strict=True)) + ", n_removed_lines int"
-    out = joined.mapInArrow(_rebuilt(window, divisor, names.index(text_col)), schema)
+    out = joined.mapInArrow(_rebuilt(names.index(text_col)), schema)
     out = out.withColumnsRenamed(dict(zip(kept, names, strict=True)))
     return out.withColumn(id_col, F.col(f"`{id_col}`").cast(id_type)) if id_type != "bigint" else out
 

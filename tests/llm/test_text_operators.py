@@ -258,18 +258,18 @@ def test_representatives(spark):
 def brute_lines(rows):
     first = {}
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        for n, c in enumerate(line_dedup.chunks(text)):
-            if len(c) > 1:
-                first.setdefault(tuple(c), (d, n))
+        lines, found = line_dedup.spans(text)
+        for at, n in found:
+            first.setdefault(tuple(lines[at : at + n]), (d, at))
     out = []
     for d, text in rows:
-        kept = [
-            x
-            for n, c in enumerate(line_dedup.chunks(text))
-            if len(c) < 2 or first[tuple(c)] == (d, n)
-            for x in c
-        ]
-        out.append((d, None if text is None else "\n".join(kept)))
+        lines, found = line_dedup.spans(text)
+        gone = set()
+        for at, n in found:
+            kept, where = first[tuple(lines[at : at + n])]
+            if kept != d or abs(where - at) >= n:
+                gone |= set(range(at, at + n))
+        out.append((d, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     return sorted(out, key=str)
 
 
@@ -287,11 +287,25 @@ def test_line_dedup_is_brute_force(spark, sf_dir, salt_rows):
 
 
 def test_chunks_resist_shifts():
+    def cut(lines):
+        got, found = line_dedup.spans("\n".join(lines), rules=((2, 3),), min_lines=1)
+        assert [x for at, n in found for x in got[at : at + n]] == got
+        return [tuple(got[at : at + n]) for at, n in found]
+
     body = [f"line {i} of the passage" for i in range(40)]
-    inside = [tuple(c) for c in line_dedup.chunks("\n".join(body))][1:-1]
-    moved = {tuple(c) for c in line_dedup.chunks("\n".join(["before", "more", *body, "after"]))}
+    inside = cut(body)[1:-1]
+    moved = set(cut(["before", "more", *body, "after"]))
     assert len(inside) > 5 and set(inside[1:]) <= moved
-    assert "\n".join(x for c in line_dedup.chunks("\n".join(body)) for x in c) == "\n".join(body)
+
+
+def test_passages_leave_one_copy(spark):
+    passage = [f"sentence {i} that several documents share, word by word" for i in range(12)]
+    rows = [(d, "\n".join([f"own {d} a", f"own {d} b", *passage, f"own {d} c"])) for d in range(30)]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(passage) <= set(got[0])
+    for d in range(1, 30):
+        assert len(set(passage) & set(got[d])) <= 3
+        assert {f"own {d} a", f"own {d} b"} & set(got[d])
 
 
 def test_quality_on_held_out_rows(spark):
