@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a folder of its own is set.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-stratolab-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
+from ..sources.windows import shared_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stratolab-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return shared_path(spark, f"stratolab-{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -203,7 +203,9 @@ def representatives(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4) ->
     kept = near_duplicates(docs, shingle=shingle, max_bits=max_bits).where(
         F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
-    ids = kept.select("doc_id").distinct().withColumn("keep", F.lit(True))
     parts = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__k0"), F.col("doc_id").isNull().alias("__k1")]
-    joined = docs.select("*", *parts).join(ids.select(*parts), ["__k0", "__k1"], "left_semi").drop("__k0", "__k1")
-    return joined.where("doc_id is null").unionByName(joined.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    ids = kept.select(*parts).distinct()
+    joined = docs.select("*", *parts).join(ids, ["__k0", "__k1"], "left_semi")
+    # Deduplicated by the join's own keys, so its partitioning serves both.
+    named = joined.where("not __k1").dropDuplicates(["__k0", "__k1"])
+    return joined.where("__k1").unionByName(named).select(docs.columns)
