@@ -4,11 +4,13 @@ Rolling hashes over the hashes of the last lines decide where a chunk ends, so
 boundaries follow content: lines put in before a repeated passage move no
 boundary inside it. Several such rules cut each text in several ways, so that a
 short passage, in which one rule may find no two boundaries, is met by another.
-Chunks of several lines that occur more than once in the corpus keep their first
+What boundaries miss is met without them: every two consecutive lines are a chunk,
+and so is a single line of LONG_LINE words or more.
+Chunks that occur more than once in the corpus keep their first
 occurrence; the others' lines go after their bytes have been compared with the
 first's.
 
-Plan: one pass writes (document, line, length, digest) of all multi-line
+Plan: one pass writes (document, line, length, digest) of all
 chunks; a partial aggregation finds repeated digests; only the texts of those
 are shuffled for the comparison, with hot digests salted; the decisions go back
 to the documents by one join on their key.
@@ -28,7 +30,10 @@ from .common import stored
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 # Lines under the rolling hash, and the mean number of lines between boundaries, of each rule.
-RULES = ((2, 3), (1, 3), (1, 2), (2, 2))
+# With 0 for the second every run of so many lines is a chunk; of single lines only long ones.
+RULES = ((2, 3), (1, 3), (1, 2), (2, 2), (2, 0), (1, 0))
+# Words from which a line is a chunk by itself.
+LONG_LINE = 50
 
 
 def boundaries(hashes: list[int], window: int, divisor: int) -> list[int]:
@@ -52,13 +57,20 @@ def boundaries(hashes: list[int], window: int, divisor: int) -> list[int]:
 
 
 def spans(text: str | None, rules=RULES, min_lines: int = 2) -> tuple[list[str], list[tuple[int, int]]]:
-    """The text's lines, and (first line, number of lines) of its chunks of min_lines or more under any rule."""
+    """The text's lines, and (first line, number of lines) of its chunks under any rule.
+
+    Chunks between boundaries have min_lines or more, others the lines their rule says.
+    """
     if text is None:
         return [], []
     lines = text.split("\n")
     hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
     found = set()
     for window, divisor in rules:
+        if not divisor:
+            runs = [(at, window) for at in range(len(lines) - window + 1)]
+            found.update(r for r in runs if window > 1 or len(lines[r[0]].split()) >= LONG_LINE)
+            continue
         start = 0
         for stop in boundaries(hashes, window, divisor):
             if stop - start >= min_lines:
@@ -139,12 +151,12 @@ def dedup(
     min_lines: int = 2,
     salt_rows: int = 2000,
 ) -> DataFrame:
-    """docs with repeated multi-line chunks taken out of the text, and int n_removed_lines.
+    """docs with repeated chunks of lines taken out of the text, and int n_removed_lines.
 
     The first occurrence, by (id, line) with null ids before all, stays, and so
     do occurrences that overlap it. All rows stay, in any number; a row emptied of
-    lines has an empty text. Null texts stay null. Chunks of fewer than min_lines
-    lines are never removed. Rows that share an id share its decisions where their
+    lines has an empty text. Null texts stay null. Chunks between boundaries of fewer
+    than min_lines lines are never removed. Rows that share an id share its decisions where their
     lines' bytes are the same at the same place, so a repeated row is one
     document. Other columns are carried; one named n_removed_lines is replaced.
     """
