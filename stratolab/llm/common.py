@@ -32,3 +32,18 @@ def utf8(text) -> F.Column:
 
 def crc32_of(text) -> F.Column:
     return F.crc32(F.coalesce(utf8(text), F.lit(b"")))
+
+
+HOT = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right, whose one row a key says in `copies` how many of left's `total` rows have it.
+
+    At most HOT keys have more than total / HOT rows. Their rows of right, a proven bound,
+    are broadcast, so left's rows of such a key stay where they are; the others are shuffled by the key.
+    """
+    limit = total // HOT + 1
+    hot = F.broadcast(right.where(F.col("copies") > limit))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("copies") <= limit), key, how)
+    return left.join(hot, key).unionByName(cold)

@@ -6,26 +6,30 @@ boundary inside it. Several such rules cut each text in several ways, so that a
 short passage, in which one rule may find no two boundaries, is met by another.
 What boundaries miss is met without them: every two consecutive lines are a chunk,
 and so is a single line of LONG_LINE words or more.
-Chunks that occur more than once in the corpus keep their first
-occurrence; the others' lines go after their bytes have been compared with the
-first's.
-
-Plan: one pass writes (document, line, length, digest) of all
-chunks; a partial aggregation finds repeated digests; only the texts of those
-are shuffled for the comparison, with hot digests salted; the decisions go back
-to the documents by one join on their key.
+
+Documents stand in order of their ids. A chunk goes where an earlier place still holds
+it whole: its keeper, the first place of which no line has gone. Chunks of different rules
+overlap, so keepers hang on each other; they are found by bounds from both
+sides that close in round by round. Every chunk that goes has its bytes compared with
+its keeper's, and the keeper stays whole.
+
+Plan: one pass writes (document, line, length, digest) of all chunks; a partial
+aggregation finds repeated digests, and rounds work on the places of those; only
+the texts of what goes and of its keepers are shuffled for the comparison, with hot digests
+salted; the decisions go back to the documents by one join on their key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -79,40 +83,105 @@ def spans(text: str | None, rules=RULES, min_lines: int = 2) -> tuple[list[str],
     return lines, sorted(found)
 
 
+_DOC = ["k0", "k1", "tie"]  # id, 0 where null; whether it is not null; hash of the text
+_PLACE = "k0 long, k1 boolean, tie long, line int, n int, digest binary"
+
+
 def _candidates(rules, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, line, count, digest = [], [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row, line, count, digest = [], [], [], []
+            for k, text in enumerate(batch.column(3).to_pylist()):
                 lines, found = spans(text, rules, min_lines)
                 for at, n in found:
-                    key.append(k)
+                    row.append(k)
                     line.append(at)
                     count.append(n)
                     digest.append(xxhash.xxh3_128_digest("\n".join(lines[at : at + n]).encode()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(line, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())],
-                names=["key", "line", "n", "digest"],
-            )
+            doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]]
+            made = [pa.array(line, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*doc, *made], names=[*_DOC, "line", "n", "digest"])
 
     return run
 
 
+def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its places (line, n, digest, goes): those of which no line goes."""
+    for batch in batches:
+        row, places = [], {"line": [], "n": [], "digest": []}
+        for k, found in enumerate(batch.column(3).to_pylist()):
+            goes = np.zeros(max(p["line"] + p["n"] for p in found) + 1, dtype=np.int64)
+            for p in found:
+                if p["goes"]:
+                    goes[p["line"]] += 1
+                    goes[p["line"] + p["n"]] -= 1
+            upto = np.concatenate(([0], np.cumsum(np.cumsum(goes) > 0))).tolist()
+            whole = [p for p in found if upto[p["line"]] == upto[p["line"] + p["n"]]]
+            row += [k] * len(whole)
+            for c, v in places.items():
+                v += [p[c] for p in whole]
+        doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]]
+        made = [pa.array(places["line"], pa.int32()), pa.array(places["n"], pa.int32()), pa.array(places["digest"], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*doc, *made], names=[*_DOC, "line", "n", "digest"])
+
+
+def _place() -> F.Column:
+    """Places in order: null ids first, then by id, hash of the text, and line."""
+    return F.struct("k1", "k0", "tie", "line")
+
+
+def _goes() -> F.Column:
+    """Whether a place lies behind its chunk's keeper and does not overlap it."""
+    same = (F.col("k0") == F.col("keeper.k0")) & (F.col("k1") == F.col("keeper.k1")) & (F.col("tie") == F.col("keeper.tie"))
+    return (_place() > F.col("keeper")) & ~(same & (F.col("line") - F.col("keeper.line") < F.col("n")))
+
+
+def _settled(places: DataFrame, repeated: DataFrame, total: int, rounds: int) -> DataFrame:
+    """Keepers of the repeated chunks. Each keeper stays whole when all that lies behind keepers goes.
+
+    Keepers taken too early make too much go; those still whole then are keepers for
+    certain, though perhaps too late. What goes by these makes too little go, so the first
+    places still whole are early again, but closer. Rounds end when both agree, or
+    when there were `rounds` of them: then the certain ones hold, and what hangs on others stays.
+    """
+
+    def whole(keepers: DataFrame) -> DataFrame:
+        # A chunk without a keeper goes nowhere.
+        judged = spread_join(places, keepers, "digest", total, "left")
+        judged = judged.select(*_DOC, F.struct("line", "n", "digest", F.coalesce(_goes(), F.lit(False)).alias("goes")).alias("p"))
+        # The places of one document are fewer than its lines times the rules.
+        return judged.groupBy(*_DOC).agg(F.collect_set("p").alias("found")).mapInArrow(_touched, _PLACE)
+
+    def keepers(of: DataFrame) -> DataFrame:
+        first = of.groupBy("digest").agg(F.min(_place()).alias("keeper"))
+        return stored(repeated.join(first, "digest"), "keepers")
+
+    early = keepers(places)
+    for _ in range(rounds):
+        late = keepers(whole(early))
+        closer = keepers(whole(late))
+        moved = closer.join(late.select("digest", F.col("keeper").alias("other")), "digest", "left")
+        if moved.where(~F.col("keeper").eqNullSafe(F.col("other"))).isEmpty():
+            break
+        early = closer
+    return late
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per wanted chunk its place, digest, role and bytes."""
-    kinds = {"key": pa.int64(), "line": pa.int32(), "n": pa.int32(), "digest": pa.binary(), "first": pa.bool_(), "copies": pa.int64(), "body": pa.binary()}
+    kinds = {"line": pa.int32(), "n": pa.int32(), "digest": pa.binary(), "first": pa.bool_(), "copies": pa.int64(), "body": pa.binary()}
     for batch in batches:
-        rows: dict[str, list] = {c: [] for c in kinds}
-        for k, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        row: list[int] = []
+        made: dict[str, list] = {c: [] for c in kinds}
+        for k, (text, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4)), strict=True)):
             lines = (text or "").split("\n")
-            for w in wanted or ():
-                # Of rows that share an id, another row's chunk may lie beyond this text's end.
-                body = "\n".join(lines[w["line"] : w["line"] + w["n"]])
-                rows["key"].append(k)
-                rows["body"].append(body.encode())
+            for w in wanted:
+                row.append(k)
+                made["body"].append("\n".join(lines[w["line"] : w["line"] + w["n"]]).encode())
                 for c in ("line", "n", "digest", "first", "copies"):
-                    rows[c].append(w[c])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in kinds.items()], names=list(kinds))
+                    made[c].append(w[c])
+        doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]]
+        yield pa.RecordBatch.from_arrays([*doc, *(pa.array(made[c], t) for c, t in kinds.items())], names=[*_DOC, *kinds])
 
 
 def _rebuilt(text_at: int):
@@ -128,9 +197,7 @@ def _rebuilt(text_at: int):
                 if removed and text is not None:
                     lines = text.split("\n")
                     for r in removed:
-                        body = "\n".join(lines[r["line"] : r["line"] + r["n"]]).encode()
-                        if xxhash.xxh3_128_digest(body) == r["digest"]:  # else another row's with this id
-                            drop.update(range(r["line"], r["line"] + r["n"]))
+                        drop.update(range(r["line"], r["line"] + r["n"]))
                     if drop:
                         text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 texts.append(text)
@@ -149,70 +216,53 @@ def dedup(
     text_col: str = "text",
     rules: tuple[tuple[int, int], ...] = RULES,
     min_lines: int = 2,
-    salt_rows: int = 2000,
+    salt_rows: int = 500,
+    rounds: int = 4,
 ) -> DataFrame:
     """docs with repeated chunks of lines taken out of the text, and int n_removed_lines.
 
-    The first occurrence, by (id, line) with null ids before all, stays, and so
-    do occurrences that overlap it. All rows stay, in any number; a row emptied of
-    lines has an empty text. Null texts stay null. Chunks between boundaries of fewer
-    than min_lines lines are never removed. Rows that share an id share its decisions where their
-    lines' bytes are the same at the same place, so a repeated row is one
-    document. Other columns are carried; one named n_removed_lines is replaced.
+    A chunk goes where an earlier place, by (id, line) with null ids before all, still
+    holds it whole; that place is never cut. Occurrences that overlap their keeper
+    stay. All rows stay, in any number; a row emptied of lines has an empty text. Null
+    texts stay null. Chunks between boundaries of fewer than min_lines lines are
+    never removed. Rows of one id are told apart by a hash of their text, and so are those
+    without an id; rows that repeat id and text are one document and share its decisions.
+    Other columns are carried; one named n_removed_lines is replaced.
     """
     docs = docs.drop("n_removed_lines")
     names = docs.columns
-    id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    found = stored(
-        slim.mapInArrow(_candidates(rules, min_lines), "key long, line int, n int, digest binary"), "line-chunks"
-    )
-    repeated = (
-        found.groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("key", "line")).alias("keeper"))
-        .where("copies > 1")
-    )
-    here = F.col("key").eqNullSafe(F.col("keeper.key")) & (F.abs(F.col("line") - F.col("keeper.line")) < F.col("n"))
-    marked = found.join(repeated, "digest").select(
-        "key",
-        F.struct("line", "n", "digest", here.alias("first"), "copies").alias("w"),
-    )
-    # The wanted chunks of one document are fewer than its lines times the rules.
-    wanted = marked.groupBy("key").agg(F.collect_set("w").alias("wanted"))
-    with_wanted = _keyed(slim, wanted, "inner").select("key", "text", "wanted")
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    key = [F.coalesce(doc_id, F.lit(0)).alias("k0"), doc_id.isNotNull().alias("k1"), F.xxhash64(text).alias("tie")]
+    slim = docs.select(*key, text.alias("text"))
+    found = stored(slim.mapInArrow(_candidates(rules, min_lines), _PLACE), "line-chunks")
+    repeated = stored(found.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"), "line-repeats")
+    rows = found.count()
+    places = stored(spread_join(found, repeated, "digest", rows).drop("copies"), "line-places")
+    judged = spread_join(places, _settled(places, repeated, rows, rounds), "digest", rows)
+    judged = judged.withColumn("first", _place() == F.col("keeper")).where(F.col("first") | _goes())
+    wanted = judged.groupBy(*_DOC).agg(F.collect_set(F.struct("line", "n", "digest", "first", "copies")).alias("wanted"))
+    with_wanted = slim.join(wanted, _DOC).select(*_DOC, "text", "wanted")
     bodies = stored(
-        with_wanted.mapInArrow(
-            _texts, "key long, line int, n int, digest binary, first boolean, copies long, body binary"
-        ),
-        "line-bodies",
+        with_wanted.mapInArrow(_texts, f"{_PLACE}, first boolean, copies long, body binary"), "line-bodies"
     )
     salts = F.ceil(F.col("copies") / F.lit(salt_rows)).cast("int")
     firsts = bodies.where("first").select(
         "digest", F.col("body").alias("kept"), F.explode(F.sequence(F.lit(0), salts)).alias("salt")
     )
-    others = bodies.where("not first").withColumn("salt", F.pmod(F.xxhash64("key", "line"), salts + 1).cast("int"))
+    others = bodies.where("not first").withColumn("salt", F.pmod(F.xxhash64("k0", "tie", "line"), salts + 1).cast("int"))
     gone = (
-        others.join(firsts.distinct(), ["digest", "salt"])
+        others.join(firsts.dropDuplicates(["digest", "salt"]), ["digest", "salt"])  # rows may repeat a keeper
         .where("body = kept")
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("line", "n", "digest")).alias("removed"))
-    )
-    carried = docs.select(
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).cast("long").alias("key")
+        .groupBy(*_DOC)
+        .agg(F.collect_set(F.struct("line", "n")).alias("removed"))
     )
     kept = [f"c{i}" for i in range(len(names))]
-    joined = _keyed(carried, gone, "left").select(*kept, "removed")
+    carried = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], *key)
+    joined = carried.join(gone, _DOC, "left").select(*kept, "removed")
     types = [f.dataType.simpleString() for f in docs.schema]
     schema = ", ".join(f"{c} {t}" for c, t in zip(kept, types, strict=True)) + ", n_removed_lines int"
     out = joined.mapInArrow(_rebuilt(names.index(text_col)), schema)
-    out = out.withColumnsRenamed(dict(zip(kept, names, strict=True)))
-    return out.withColumn(id_col, F.col(f"`{id_col}`").cast(id_type)) if id_type != "bigint" else out
-
-
-def _keyed(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on a nullable key: null meets null. Split in two columns, it stays an equi-join."""
-    parts = [F.coalesce("key", F.lit(0)).alias("k0"), F.col("key").isNull().alias("k1")]
-    return left.select("*", *parts).join(right.select(*parts, *[c for c in right.columns if c != "key"]), ["k0", "k1"], how)
+    return out.withColumnsRenamed(dict(zip(kept, names, strict=True)))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

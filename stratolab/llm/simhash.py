@@ -2,12 +2,16 @@
 
 Fingerprints of 64 bits are 8 positional bytes. Two that differ in at most 4
 bits differ in at most 4 bytes, so they share at least 4 positional bytes: the
-guaranteed minimum. Postings are kept for triples of positions taken from a
-cover in which every 4 positions hold one of the triples, so a pair that can
-qualify meets in a posting list, and lists of unrelated fingerprints stay short.
-Inside a list, per pair, shared positional bytes are tallied, pairs under the
-minimum go, and the rest are verified on all bits. A list's pairs never leave
-its task: what leaves is a spanning forest of its links, fewer edges than members.
+guaranteed minimum. Every fingerprint is posted under its positional bytes; a pair
+with the minimum shares one of the first five positions, so these are enough. In a
+posting list, each pair's shared positional bytes are tallied, only pairs that
+reach the minimum are verified on their bits, and the others go.
+
+A list of one positional byte holds 1/256 of all fingerprints. So that lists stay
+near `list_rows` at any size, an index of many fingerprints refines each posting by
+a second and a third shared position: pairs in such a list start with a tally of 2
+or 3, and a pair with the minimum meets in the list of its first ones. A list's pairs
+never leave its task: what leaves is a spanning forest of its links, fewer edges than members.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 from .components import components
 
 
@@ -63,32 +67,35 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def cover(size: int) -> list[tuple[int, int, int]]:
-    """Triples of 8 positions such that any 4 positions hold one of them.
+def postings(minimum: int, depth: int, size: int = 8) -> list[tuple[int, ...]]:
+    """Sets of `depth` positions that hold the first ones of any `minimum` of `size` positions."""
+    return [
+        t for t in combinations(range(size), depth) if all(p <= size - minimum + k for k, p in enumerate(t))
+    ]
 
-    The positions stand in three groups in a ring; a triple is taken if it lies
-    in one group, or has two of one group and one of the next.
-    """
-    group = [p * 3 // size for p in range(size)]
-    taken = []
-    for triple in combinations(range(size), 3):
-        counts = [sum(group[p] == g for p in triple) for g in range(3)]
-        if max(counts) == 3 or any(counts[g] == 2 and counts[(g + 1) % 3] == 1 for g in range(3)):
-            taken.append(triple)
-    return taken
+
+def tally(one: np.uint64 | np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many positional bytes each of the others shares with one."""
+    x = one ^ others
+    for shift in (4, 2, 1):
+        x |= x >> np.uint64(shift)
+    return 8 - np.bitwise_count(x & np.uint64(0x0101010101010101))  # a byte's lowest bit: some bit differs
 
 
-def _links(fps: np.ndarray, most: int, least_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fps: breadth first over what is not yet reached."""
+def links_in_list(fps: np.ndarray, most: int, minimum: int, verified: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fps: breadth first over what is not yet reached.
+
+    verified takes in how many pairs came to the comparison of bits, for tests.
+    """
     left, a, b = fps.copy(), [], []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            differing = at ^ left
-            tally = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = np.flatnonzero(tally >= least_bytes)
-            near = near[np.bitwise_count(differing[near]) <= most]
+            near = np.flatnonzero(tally(at, left) >= minimum)
+            if verified is not None:
+                verified.append(len(near))
+            near = near[np.bitwise_count(at ^ left[near]) <= most]
             if len(near):
                 got = left[near]
                 a.append(np.full(len(got), at))
@@ -99,7 +106,7 @@ def _links(fps: np.ndarray, most: int, least_bytes: int) -> tuple[np.ndarray, np
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _forest(most: int, least_bytes: int):
+def _forest(most: int, minimum: int):
     """Over rows sorted by posting list: the forest of each list's links."""
 
     def edges(lists: np.ndarray, parts: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -107,12 +114,11 @@ def _forest(most: int, least_bytes: int):
         starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(lists)]))
         sizes = stops - starts
         two = starts[sizes == 2]
-        x = fps[two] ^ fps[two + 1]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        good = two[(tally >= least_bytes) & (np.bitwise_count(x) <= most)]
+        two = two[tally(fps[two], fps[two + 1]) >= minimum]
+        good = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= most]
         a, b = [fps[good]], [fps[good + 1]]
         for s, t in zip(starts[sizes > 2].tolist(), stops[sizes > 2].tolist(), strict=True):
-            p, q = _links(np.unique(fps[s:t]), most, least_bytes)
+            p, q = links_in_list(np.unique(fps[s:t]), most, minimum)
             a.append(p)
             b.append(q)
         return pa.RecordBatch.from_arrays(
@@ -138,21 +144,25 @@ def _forest(most: int, least_bytes: int):
     return run
 
 
-def links(fps: DataFrame, *, max_bits: int = 4, block: int = 20_000) -> DataFrame:
+def links(fps: DataFrame, *, max_bits: int = 4, list_rows: int = 2000, block: int = 4000) -> DataFrame:
     """Edges (a, b) that span exactly the components of distinct fps linked at max_bits or fewer bits.
 
-    A posting list longer than `block` is cut into parts, and each pair of parts
-    is worked on as a list of its own, so a task holds at most two parts and no
-    pair is missed. max_bits is 4 at most: the cover needs four equal bytes.
+    Postings are of one position while a list of unrelated fingerprints is list_rows or
+    fewer, else of two or three. A list longer than `block`, of fingerprints that are alike, is
+    cut into parts, and each pair of parts is worked on as a list of its own, so a task holds
+    at most two parts and no pair is missed. max_bits is 0 to 7: at least one byte must be shared.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("the position cover holds for 0 to 4 differing bits")
-    triples = cover(8)
+    if not 0 <= max_bits <= 7:
+        raise ValueError("fingerprints must share a byte: 0 to 7 differing bits")
+    minimum = 8 - max_bits
+    count = fps.count()
+    depth = next((d for d in (1, 2) if d < minimum and count <= list_rows * 256**d), min(3, minimum))
     keys = [
-        F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << (8 * p) for p in t)))))
-        for n, t in enumerate(triples)
+        F.struct(F.lit(n).alias("positions"), F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << (8 * p) for p in t)))).alias("bytes"))
+        for n, t in enumerate(postings(minimum, depth))
     ]
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("list"))
+    posted = fps.select("fp", F.explode(F.array(*keys)).alias("k"))
+    posted = posted.select("fp", F.xxhash64("k.positions", "k.bytes").alias("list"))
     long = posted.groupBy("list").count().where(F.col("count") > block)
     long = stored(long.select("list", F.ceil(F.col("count") / block).cast("int").alias("parts")), "long-lists")
     if long.isEmpty():
@@ -167,7 +177,7 @@ def links(fps: DataFrame, *, max_bits: int = 4, block: int = 20_000) -> DataFram
         some = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
         dealt = sized.withColumn("mine", mine).select("list", F.explode(some).alias("part"), "fp")
     dealt = dealt.repartition("list", "part").sortWithinPartitions("list", "part", "fp")
-    return dealt.mapInArrow(_forest(max_bits, 8 - max_bits), "a long, b long")
+    return dealt.mapInArrow(_forest(max_bits, minimum), "a long, b long")
 
 
 def _signed(x: int) -> int:
@@ -182,30 +192,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4) ->
     component_id, which is null only where every document reachable has none.
     """
     marked = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
+    counted = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    distinct = stored(counted, "distinct-fps")
     roots = components(links(distinct.select("fp"), max_bits=max_bits))
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", "copies", F.coalesce("root", "fp").alias("root")
     )
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    classes = stored(grouped.join(smallest, "root").select("fp", "copies", "component_id"), "classes")
+    return spread_join(marked, classes, "fp", marked.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def representatives(docs: DataFrame, *, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id; columns unchanged.
-
-    Rows with null ids stay only in groups where no row has an id, and then all
-    stay: nothing tells them apart. Repeated rows with the kept id leave one.
-    """
-    kept = near_duplicates(docs, shingle=shingle, max_bits=max_bits).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
-    parts = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__k0"), F.col("doc_id").isNull().alias("__k1")]
-    ids = kept.select(*parts).distinct()
-    joined = docs.select("*", *parts).join(ids, ["__k0", "__k1"], "left_semi")
-    # Deduplicated by the join's own keys, so its partitioning serves both.
-    named = joined.where("not __k1").dropDuplicates(["__k0", "__k1"])
-    return joined.where("__k1").unionByName(named).select(docs.columns)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratolab.llm import bpe, decontaminate, line_dedup, queries, simhash, token_codec, warc
+from stratolab.llm import bpe, decontaminate, line_dedup, queries, simhash, token_codec, token_files, warc
 
 
 @lru_cache
@@ -19,6 +19,11 @@ def both():
     return bpe.Transducer(path), tokenizers.Tokenizer.from_file(path)
 
 
+@lru_cache
+def words():
+    return token_files.Words(queries.vocabulary_path())
+
+
 TEXT = st.text(st.characters(exclude_categories=["Cs"]), max_size=200)
 WORDY = st.lists(st.sampled_from(["the", " ", "  ", "\n", "re", "'s", "é", "ß", "12", "²", "日", "!?", "<|endoftext|>", "_"]), max_size=40).map("".join)
 
@@ -32,6 +37,16 @@ def test_encoding_is_the_library(text):
     assert own.decode(ids) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(TEXT, WORDY), max_size=4))
+def test_words_are_the_library(texts):
+    import pyarrow as pa
+
+    _, library = both()
+    got = [np.frombuffer(x, "<u2").tolist() for x in words().encode(pa.array(texts, pa.string()))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000), st.integers(1, 50))
 def test_stream_is_the_whole(raw, step):
@@ -61,8 +76,9 @@ def test_near_fingerprints_meet_in_a_list(text, bits):
     for b in bits:
         other ^= 1 << b
     equal = {p for p in range(8) if not (one ^ other) >> (8 * p) & 0xFF}
-    assert any(set(t) <= equal for t in simhash.cover(8))
-    a, _ = simhash._links(np.unique(np.array([one, other], np.uint64)), 4, 4)
+    assert len(equal) == simhash.tally(np.uint64(one), np.array([other], np.uint64))[0] >= 4
+    assert all(any(set(t) <= equal for t in simhash.postings(4, depth)) for depth in (1, 2, 3))
+    a, _ = simhash.links_in_list(np.unique(np.array([one, other], np.uint64)), 4, 4)
     assert len(a) == (1 if bits else 0)
 
 

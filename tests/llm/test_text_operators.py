@@ -186,6 +186,34 @@ def test_damaged_block_is_found():
         decode_segment(bytes(data))
 
 
+def test_coded_ids_are_smaller_than_deflate(spark):
+    """Bytes an id over the documents of sf0.01, against zlib over 16-bit ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stratolab.llm.token_codec import encode_segment
+
+    texts = [r.text for r in docs_of(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()]
+    ids = np.frombuffer(b"".join(token_files.Words(queries.vocabulary_path()).encode(pa.array(texts))), "<u2")
+    coded = len(encode_segment(ids)) / len(ids)
+    assert coded < 0.95 and coded < 0.9 * len(zlib.compress(ids.tobytes(), 6)) / len(ids)
+
+
+def test_words_are_the_library():
+    import numpy as np
+    import pyarrow as pa
+
+    t = library()
+    words = token_files.Words(queries.vocabulary_path(), most=50, longest=8)
+    texts = [x for _, x in ODD] + ["  a", "a  b ", " \n x", "a <|endoftext|>", "x  y", "\u3000 z", "q \x1c r", "it's  't "]
+    texts += ["lead\n\nline.\nLine, two", "a.b! c?! d.e.", "foo.Ġfoo Ġfoo", "Ġfoo", "x" * 90_000, "wait...\nso", "tail\n", "a.\n b"]
+    for _ in range(2):
+        got = list(words.encode(pa.array(texts, pa.string())))
+        assert got == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+        assert max(map(len, [*words.plain, *words.pieces])) <= 8
+    assert list(words.encode(pa.array([], pa.string()))) == []
+
+
 def brute_fingerprint(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", lowered(text)) if x]
     s = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
@@ -237,8 +265,9 @@ def test_dense_fingerprints_in_small_blocks(spark):
         fps.add(fp)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for block in (20_000, 7):
-        roots = {r.node & (1 << 64) - 1: r.root for r in components(simhash.links(frame, block=block)).collect()}
+    for block, rows in ((4000, 2000), (7, 2000), (4000, 0.5), (7, 0.001)):  # one, one, two and three positions a list
+        found = simhash.links(frame, block=block, list_rows=rows)
+        roots = {r.node & (1 << 64) - 1: r.root for r in components(found).collect()}
         want = defaultdict(set)
         for d, f, c in brute_components([(x, x) for x in sorted(fps)]):
             want[c].add(int(f, 16))
@@ -248,29 +277,64 @@ def test_dense_fingerprints_in_small_blocks(spark):
         assert len({roots[x] for x in roots}) == sum(len(g) > 1 for g in want.values())
 
 
-def test_representatives(spark):
-    docs = odd(spark)
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10, 11]
+def test_the_tally_decides_what_is_verified():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(7))
+    fps = np.unique(np.concatenate((fps, fps[:100] ^ np.uint64(1 << 40), fps[100:200] ^ np.uint64((1 << 9) | (1 << 63)))))
+    found, verified = {}, {}
+    for minimum in (4, 0):
+        verified[minimum] = []
+        a, b = simhash.links_in_list(fps, 4, minimum, verified[minimum])
+        found[minimum] = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(found[4]) == 200 and {tuple(sorted(x)) for x in found[4]} == {tuple(sorted(x)) for x in found[0]}
+    assert sum(verified[4]) < sum(verified[0]) / 100
+
+
+def brute_spans(text):
+    """Chunks of a text by the rules' wording: every polynomial is summed anew."""
+    lines = [] if text is None else text.split("\n")
+    base, full = 0x9E3779B97F4A7C15, 1 << 64
+    hashes, found = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines], set()
+    for window, divisor in ((2, 3), (1, 3), (1, 2), (2, 2)):
+        start = 0
+        for i in range(len(lines)):
+            last = hashes[max(0, i - window + 1) : i + 1]
+            poly = sum(h * pow(base, len(last) - 1 - k, full) for k, h in enumerate(last)) % full
+            mixed = (poly ^ poly >> 31) * 0xBF58476D1CE4E5B9 % full >> 33
+            if mixed % divisor == 0 or i == len(lines) - 1:
+                if i + 1 - start >= 2:
+                    found.add((start, i + 1 - start))
+                start = i + 1
+    found |= {(i, 2) for i in range(len(lines) - 1)}
+    return lines, found | {(i, 1) for i, x in enumerate(lines) if len(x.split()) >= 50}
 
 
 def brute_lines(rows):
-    first = {}
-    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines, found = line_dedup.spans(text)
-        for at, n in found:
-            first.setdefault(tuple(lines[at : at + n]), (d, at))
-    out = []
-    for d, text in rows:
-        lines, found = line_dedup.spans(text)
-        gone = set()
-        for at, n in found:
-            kept, where = first[tuple(lines[at : at + n])]
-            if kept != d or abs(where - at) >= n:
-                gone |= set(range(at, at + n))
-        out.append((d, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
-    return sorted(out, key=str)
+    """Documents one after the other: what an earlier place still holds whole goes, what is whole then is held."""
+    held, out = {}, {}
+    for d, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines, found = brute_spans(text)
+        first = {}
+        goes = set()
+        # Within a document places come in order of their line, and what goes there may take others with it.
+        while True:
+            now, first = set(), {}
+            for at, n in sorted(found):
+                chunk = tuple(lines[at : at + n])
+                keeper = first.get(chunk)
+                if chunk in held or (keeper is not None and at - keeper >= n):
+                    now |= set(range(at, at + n))
+                elif keeper is None and not goes & set(range(at, at + n)):
+                    first[chunk] = at
+            if now == goes:
+                break
+            goes = now
+        for chunk in first:
+            held.setdefault(chunk, d)
+        out[d, text] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in goes)
+    return sorted(((d, out[d, text]) for d, text in rows), key=str)
 
 
 @pytest.mark.parametrize("salt_rows", [2000, 1])
@@ -286,6 +350,48 @@ def test_line_dedup_is_brute_force(spark, sf_dir, salt_rows):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_what_goes_is_still_whole_somewhere(spark, rounds):
+    """Many small corpora of few different lines, where chunks of all rules overlap."""
+    import random
+
+    rng, rows, words = random.Random(6), [], {}
+    for corpus in range(60):
+        for d in range(9):
+            words[100 * corpus + d] = [f"{corpus} {rng.choice('abcdefgh')}" for _ in range(rng.randrange(1, 9))]
+    rows = [(d, "\n".join(x)) for d, x in words.items()]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds).collect()}
+    gone = 0
+    for corpus in range(60):
+        ids = [100 * corpus + d for d in range(9)]
+        left = [f"\n{got[i].text}\n" for i in ids]
+        for i in ids:
+            lines, found = brute_spans("\n".join(words[i]))
+            goes = len(lines) - (len(got[i].text.split("\n")) if got[i].text or not got[i].n_removed_lines else 0)
+            assert goes == got[i].n_removed_lines
+            whole = {(at, n) for at, n in found if any("\n" + "\n".join(lines[at : at + n]) + "\n" in x for x in left)}
+            # Lines that went lie in chunks that are whole somewhere: enough of them to explain the text left.
+            cover = set().union(*(range(at, at + n) for at, n in whole))
+            assert goes <= len(cover)
+            gone += goes
+    assert gone > 300
+    if rounds == 4:
+        want = {}
+        for corpus in range(60):
+            want |= dict(brute_lines([r for r in rows if r[0] // 100 == corpus]))
+        assert {d: r.text for d, r in got.items()} == want
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    passage = "\n".join(f"line {i} of a passage that two rows share" for i in range(6))
+    rows = [(None, f"own a\n{passage}"), (None, f"own b\n{passage}"), (None, f"own b\n{passage}"), (3, passage), (3, "other")]
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str).count((3, "")) == 1 and (3, "other") in got
+    # One of the two texts without an id keeps the passage; repeated rows are alike.
+    kept = [t for d, t in got if d is None]
+    assert len(kept) == 3 and len(set(kept)) == 2 and sum(passage in t for t in set(kept)) == 1
+
+
 def test_chunks_resist_shifts():
     def cut(lines):
         got, found = line_dedup.spans("\n".join(lines), rules=((2, 3),), min_lines=1)
