@@ -34,7 +34,7 @@ _PIECE_CHARS = 1 << 16
 _ID, _NONE = (1 << 24) - 1, 1 << 62
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in the vocabulary file."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -47,7 +47,7 @@ class Transducer:
     def __init__(self, path: str, cache_pieces: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letter = _byte_letters()
+        letter = byte_letters()
         ids: dict[str, int] = spec["model"]["vocab"]
         self.bytes_of = {i: bytes(letter[c] for c in token) for token, i in ids.items()}
         self.single = [ids[c] for c, _ in sorted(letter.items(), key=lambda x: x[1])]

@@ -1,16 +1,22 @@
-"""A range coder for token ids with adaptive context mixing, for many blocks in lockstep.
-
-A block is up to BLOCK ids. Coder and model start afresh in each, and each has a
-CRC-32, so a block can be decoded, or found damaged, by itself. Per id:
-
-1. An order-2 and an order-1 table each predict one id. How often each
-   prediction came true at its present confidence is counted; the counts of the two
-   contexts are added (the mix) and code which prediction holds, if any.
-2. Otherwise the id is coded under an order-0 model, two bytes of two nibbles,
-   the low byte in the context of the high one.
-
-All counts adapt as coding goes on, and the decoder repeats every step. One numpy
-call does one step for all blocks of a segment, which is what makes it usable.
+"""A range coder for token ids with adaptive context mixing, many lanes of a block in lockstep.
+
+A segment is cut into blocks of up to BLOCK ids. Coder and model start afresh in
+each, and each has a CRC-32, so a block can be decoded, or found damaged, by itself.
+It begins with the set of its ids, which are then numbered without gaps. They are
+dealt to lanes, runs of consecutive ids that are coded side by side: one numpy
+call does one step for all lanes, and all learn one model. Per id, with the two ids
+before it as context:
+
+1. Order 0 is a count of every id, order 1 predicts two ids, order 2 one, each with a
+   confidence: how often it came true lately.
+2. The distributions are mixed. The weights of the four predictions stand in
+   a row chosen by the confidences and by which predictions agree; a row counts which
+   of them explained the ids coded under it. An id's probability is the weighted sum
+   over all orders, so a predicted id has its share of order 0 as well.
+3. The sum is an interval on the line of ids, cut out of the lane's range exactly, in
+   integers.
+
+All counts adapt as coding goes on, and the decoder repeats every step.
 """
 
 from __future__ import annotations
@@ -20,67 +26,152 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SLTOK1\0\0"
-BLOCK = 4096
+MAGIC = b"SLTOK2\0\0"
+BLOCK = 1 << 22
+IDS = 1 << 16
+LANES, LEAST_STEPS = 8192, 256
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 _FULL = np.uint64((1 << 64) - 1)
 _S16, _S48 = np.uint64(16), np.uint64(48)
-_STEP = np.uint16(24)  # added to a count each time
-_MOST = 4000  # of a row's counts, so that two rows narrow a range of 2^40 to 2^16 at least
-_H1, _H2 = 512, 1024
-
-
-_ORDER = np.arange(1, 17, dtype=np.uint16)
-_ADD = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], _STEP, 0).astype(np.uint16)
+_LOW16 = 0xFFFF
+_SUM0, _WEIGHTS = 1 << 18, 1 << 12  # of order 0's shares and of a row's weights; the product stays far below _BOT
+_CONTEXTS2 = 1 << 18
+_ROWS = 1024  # trust in order 2 (3 bits) and in order 1's predictions (3 and 2 bits), and which of them agree (2)
+_ROW_MOST = 4000
+
+
+def _order2_moves() -> np.ndarray:
+    """By trust and whether the prediction held: new trust above 16 bits that are set to keep the predicted id."""
+    moves = []
+    for t in range(8):
+        moves += [(t >> 1) << 16 | (_LOW16 if t else 0), min(t + 1, 7) << 16 | _LOW16]
+    return np.array(moves, np.int32)
+
+
+def _order1_moves() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By trust in the second and first prediction and which held: new trust, and masks to replace the second and to swap."""
+    trust, replace, swap = [], [], []
+    for v in range(4):
+        for u in range(8):
+            for held in range(4):  # 0 none, 1 the first, 2 the second
+                a, b = u, v
+                if held == 0:
+                    a, b = max(u - 1, min(u, 1)), 0
+                elif held == 1:
+                    a = min(u + 1, 7)
+                else:
+                    b = min(v + 1, 3)
+                turned = held == 2 and b >= a
+                trust.append((a << 3 | b << 6) if not turned else (b << 3 | min(a, 3) << 6))
+                replace.append(0 if held else _LOW16)
+                swap.append(_LOW16 if turned else 0)
+    return np.array(trust, np.int64) << 32, np.array(replace, np.int32), np.array(swap, np.int32)
+
+
+_MOVES2 = _order2_moves()
+_TRUST1, _REPLACE1, _SWAP1 = _order1_moves()
 
 
 class _Model:
-    """Counts and predictions of `lanes` blocks."""
+    """What a block has learned. Ids of a step are learned together, after all lanes have coded them.
 
-    def __init__(self, lanes: int):
-        self.pred = [np.full(lanes * h, -1, np.int32) for h in (_H1, _H2)]
-        self.conf = [np.zeros(lanes * h, np.uint8) for h in (_H1, _H2)]
-        # Per context order and confidence: how often order 2, order 1, or neither was right; and the sum.
-        self.hits = [np.tile(np.array([1, 1, 2, 4], np.uint16), lanes * 8) for _ in range(2)]
-        rows = {"hi_a": 1, "hi_b": 16, "lo_a": 16, "lo_b": 256}
-        self.rows = {k: np.tile(_ORDER, (lanes * n, 1)) for k, n in rows.items()}  # cumulative counts
-        self.before = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        self.lane = np.arange(lanes)
-        self.lane8, self.sixteen = self.lane * 8, self.lane * 16
-        self.slot = [self.lane * _H1, self.lane * _H2]
-
-    def predict(self, n: int):
-        """Of the first n lanes: slots, predicted ids, contexts, and the mixed counts."""
-        one, two = self.before[0][:n], self.before[1][:n]
-        mixed_in = one * 40503
-        at = [self.slot[0][:n] + ((mixed_in >> 4) & (_H1 - 1)), self.slot[1][:n] + ((mixed_in + two * 30011 >> 4) & (_H2 - 1))]
-        p1, p2 = self.pred[0].take(at[0]), self.pred[1].take(at[1])
-        ctx = [(self.lane8[:n] + self.conf[k].take(at[k])) * 4 for k in (0, 1)]
-        mixed = [(self.hits[0].take(ctx[0] + w) + self.hits[1].take(ctx[1] + w)).astype(np.uint64) for w in range(3)]
-        mixed[0] *= p2 >= 0
-        mixed[1] *= (p1 >= 0) & (p1 != p2)
-        return at, (p2, p1), ctx, mixed
-
-    def learn(self, n: int, ids: np.ndarray, which: np.ndarray, at, predicted, ctx) -> None:
-        for k in (0, 1):
-            hits, c = self.hits[k], ctx[k]
-            hits[c + which] += _STEP
-            total = hits.take(c + 3) + np.uint16(_STEP)
-            hits[c + 3] = total
-            full = np.flatnonzero(total > _MOST // 2)
-            if len(full):
-                f = c[full]
-                halves = [(hits[f + w] + 1) >> 1 for w in range(3)]
-                for w in range(3):
-                    hits[f + w] = halves[w]
-                hits[f + 3] = halves[0] + halves[1] + halves[2]
-            p, conf = predicted[1 - k], self.conf[k].take(at[k])
-            right = p == ids
-            new = np.flatnonzero(~right & (conf == 0))
-            self.pred[k][at[k][new]] = ids[new]
-            self.conf[k][at[k]] = np.where(right, np.minimum(conf + 1, 7), conf >> 1)
-        self.before[1][:n] = self.before[0][:n]
-        self.before[0][:n] = ids
+    Where lanes share a context in a step, the last of them is what it learns.
+    """
+
+    def __init__(self, lanes: int, ids: int):
+        self.ids = max(2, ids)
+        self.counts = np.ones(self.ids, np.int64)
+        self.order1 = np.full(self.ids, 1 << 16, np.int64)  # first, second << 16, trust << 32
+        self.order2 = np.zeros(_CONTEXTS2, np.int32)  # predicted, trust << 16
+        self.rows = np.tile(np.array([2, 2, 1, 3], np.int64), (_ROWS, 1))
+        self.one = self.two = np.zeros(lanes, np.int32)
+        self.met: list[np.ndarray] = []
+        self.explained: list[np.ndarray] = []
+        self.steps = 0
+        self._share()
+        self._weigh()
+
+    def _share(self) -> None:
+        """Order 0 takes in the ids met; shares of _SUM0 by count, none 0."""
+        if self.met:
+            self.counts += 32 * np.bincount(np.concatenate(self.met), minlength=self.ids)
+            self.met.clear()
+            while self.counts.sum() > 1 << 40:
+                self.counts = (self.counts + 1) >> 1
+        self.share = (1 + self.counts * (_SUM0 - self.ids) // int(self.counts.sum())).astype(np.int32)
+        self.upto = np.cumsum(self.share, dtype=np.int32)
+        self.total = int(self.upto[-1])
+        self.named = np.repeat(np.arange(self.ids, dtype=np.int32), self.share)
+
+    def _weigh(self) -> None:
+        """Rows take in which prediction explained the ids; as weights they add up to _WEIGHTS, order 0's never 0."""
+        if self.explained:
+            met = np.bincount(np.concatenate(self.explained), minlength=8 * _ROWS).reshape(_ROWS, 8)
+            self.explained.clear()
+            # Bits: order 2 held, order 1's first, its second. The first of them to hold has explained the id.
+            self.rows += 8 * np.stack((met[:, 1::2].sum(axis=1), met[:, 2] + met[:, 6], met[:, 4], met[:, 0]), axis=1)
+            full = np.flatnonzero(self.rows.sum(axis=1) > _ROW_MOST)
+            while len(full):
+                self.rows[full] = (self.rows[full] + 1) >> 1
+                full = full[self.rows[full].sum(axis=1) > _ROW_MOST]
+        parts = (self.rows[:, :3] * (_WEIGHTS - 16) // self.rows.sum(axis=1)[:, None]).astype(np.int32)
+        # Predictions that agree are one: the other has no weight of its own.
+        parts[256:512, 1] = parts[512:768, 2] = 0
+        self.weights = [np.ascontiguousarray(w) for w in (*parts.T, _WEIGHTS - parts.sum(axis=1, dtype=np.int32))]
+
+    def predict(self) -> None:
+        """Of every lane: predicted ids, order 2's, order 1's first and second, and the weights of these and of order 0."""
+        self.at = (self.one * 509 ^ self.two * 30011) & (_CONTEXTS2 - 1)
+        e1, e2 = self.order1.take(self.one), self.order2.take(self.at)
+        pair = e1.astype(np.int32)
+        self.a, self.b, self.c = e2 & _LOW16, pair & _LOW16, pair >> 16 & _LOW16
+        self.t1, self.t2 = (e1 >> 32).astype(np.int32), e2 >> 16
+        agree = (self.a == self.b).view(np.uint8) | (self.a == self.c).view(np.uint8) << 1
+        self.row = self.t2 | self.t1 | agree.astype(np.int32) << 8
+        self.w = [w.take(self.row) for w in self.weights]
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each lane's id on a line of total * _WEIGHTS: the weighted sum over all orders."""
+        wa, wb, wc, w0 = self.w
+        self.held = [ids == p for p in (self.a, self.b, self.c)]
+        below = wa * (self.a < ids) + wb * (self.b < ids) + wc * (self.c < ids)
+        here = wa * self.held[0] + wb * self.held[1] + wc * self.held[2]
+        share = self.share.take(ids)
+        return w0 * (self.upto.take(ids) - share) + below * self.total, w0 * share + here * self.total
+
+    def at_place(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold the places.
+
+        An interval is its id's share of order 0 and then what predictions add.
+        Taken out where it lies below the place, what they add leaves a place in order 0.
+        """
+        (wa, wb, wc, w0), a, b, c = self.w, self.a, self.b, self.c
+        ab, ac, bc = a < b, a < c, b < c
+        ab_a, ac_a, bc_b = wa * ab, wa * ac, wb * bc
+        ab_b, ac_c, bc_c = wb - wb * ab, wc - wc * ac, wc - wc * bc
+        rest = value.copy()
+        for p, w, before in ((a, wa, ab_b + ac_c), (b, wb, ab_a + bc_c), (c, wc, ac_a + bc_b)):
+            added = value - w0 * self.upto.take(p) - (before * self.total - 1)
+            rest -= np.minimum(np.maximum(added, 0), w * self.total)
+        return self.named.take(rest // w0)
+
+    def learn(self, ids: np.ndarray) -> None:
+        """After interval(ids)."""
+        of2, first, second = (h.view(np.uint8) for h in self.held)
+        self.explained.append(self.row << 3 | (of2 | first << 1 | second << 2))
+        move = _MOVES2.take(self.t2 << 1 | of2)
+        self.order2[self.at] = ids ^ ((ids ^ self.a) & move & _LOW16) | (move & ~_LOW16)
+        move = self.t1 >> 1 | (first | second << 1)
+        added = self.c ^ ((self.c ^ ids) & _REPLACE1.take(move))
+        turned = (self.b ^ added) & _SWAP1.take(move)
+        self.order1[self.one] = ((self.b ^ turned) | (added ^ turned) << 16).view(np.uint32) | _TRUST1.take(move)
+        self.two, self.one = self.one, ids
+        self.met.append(ids)
+        self.steps += 1
+        if self.steps & (self.steps - 1) == 0 or self.steps % 16 == 0:
+            self._share()
+        if self.steps < 16 or self.steps % 8 == 0:
+            self._weigh()
 
 
 class _Range:
@@ -91,172 +182,146 @@ class _Range:
         self.range = np.full(lanes, _FULL)
         self.at = np.zeros(lanes, np.int64)
 
-    def settle(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
-        """Keep the lanes' new intervals, and shift out what is settled."""
-        self.low[lanes] = low
-        self.range[lanes] = span
-        while True:
-            same = (low ^ (low + span)) < _TOP
-            go = np.flatnonzero(same | (span < _BOT))
-            if not len(go):
-                return
-            lanes, low, span, same = lanes[go], low[go], span[go], same[go]
-            span = np.where(same, span, (np.uint64(0) - low) & (_BOT - np.uint64(1)))
-            self.shift(lanes, low)
-            low, span = low << _S16, span << _S16
-            self.low[lanes] = low
-            self.range[lanes] = span
+    def narrow(self, start: np.ndarray, width: np.ndarray) -> None:
+        """Keep the given parts of all lanes' intervals, after part was set; shift out what is settled."""
+        self.low += self.part * start.astype(np.uint64)
+        self.range = self.part * width.astype(np.uint64)
+        go = np.flatnonzero(self.range < _BOT)
+        while len(go):
+            low, span = self.low[go], self.range[go]
+            # An interval across a border of the top bits is cut at it.
+            cut = (np.uint64(0) - low) & (_BOT - np.uint64(1))
+            span = np.where((low ^ (low + span)) < _TOP, span, cut) << _S16
+            self.shift(go, low)
+            self.low[go] = low << _S16
+            self.range[go] = span
+            go = go[span < _BOT]
 
 
 class _Writer(_Range):
-    def __init__(self, lanes: int, most: int):
+    def __init__(self, lanes: int, steps: int):
         super().__init__(lanes)
-        self.out = np.zeros((lanes, 5 * most + 8), np.uint16)
+        self.width = 4 * steps + 8
+        self.out = np.zeros(lanes * self.width, "<u2")
+        self.base = np.arange(lanes) * self.width
 
     def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
         at = self.at[lanes]
-        self.out[lanes, at] = low >> _S48
+        self.out[self.base[lanes] + at] = low >> _S48
         self.at[lanes] = at + 1
 
-    def finish(self, lane: int) -> bytes:
-        low = int(self.low[lane])
-        tail = np.array([(low >> s) & 0xFFFF for s in (48, 32, 16, 0)], np.uint16)
-        return np.concatenate((self.out[lane, : self.at[lane]], tail)).astype("<u2").tobytes()
+    def finish(self) -> list[bytes]:
+        """Each lane's words: the fewest more that name a number inside its interval; zeros follow."""
+        value, words = self.low, np.full(len(self.low), 4)
+        for n in (3, 2, 1):
+            unit = np.uint64((1 << (64 - 16 * n)) - 1)
+            up = (self.low + unit) & ~unit
+            inside = (up >= self.low) & (up - self.low < self.range)
+            value, words = np.where(inside, up, value), np.where(inside, n, words)
+        for k in range(4):
+            self.out[self.base + self.at + k] = value >> np.uint64(48 - 16 * k) & np.uint64(_LOW16)
+        return [self.out[b : b + n].tobytes() for b, n in zip(self.base.tolist(), (self.at + words).tolist(), strict=True)]
 
 
 class _Reader(_Range):
-    def __init__(self, parts: list[bytes]):
-        super().__init__(len(parts))
-        most = max(len(p) for p in parts) // 2 + 8
-        self.words = np.zeros((len(parts), most), np.uint16)
-        for i, p in enumerate(parts):
-            self.words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = np.zeros(len(parts), np.uint64)
-        for k in range(4):
-            self.code = (self.code << _S16) | self.words[:, k]
-        self.at += 4
-
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        # A damaged block may ask for more than there is; its checksum tells.
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        super().__init__(len(sizes))
+        self.words = np.append(words, np.uint16(0))
+        self.end = np.cumsum(sizes)
+        self.at = self.end - sizes
+        self.code = np.zeros(len(sizes), np.uint64)
+        for _ in range(4):
+            self.code = self.code << _S16 | self.next(slice(None))
+
+    def next(self, lanes) -> np.ndarray:
+        """The lanes' next words, zeros behind their last."""
         at = self.at[lanes]
-        word = self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
-        self.code[lanes] = (self.code[lanes] << _S16) | word
-        self.at[lanes] = at + 1
+        words = np.where(at < self.end[lanes], self.words.take(at, mode="clip"), 0).astype(np.uint64)
+        self.at[lanes] += 1
+        return words
 
-
-def _value(code: np.ndarray, low: np.ndarray, part: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Where a code lies, out of total."""
-    return np.minimum((code - low) // part, total - np.uint64(1))
-
-
-def _step(model: _Model, coder: _Range, n: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code one id in each of the first n lanes; ids None: read them."""
-    lanes = model.lane[:n]
-    at, predicted, ctx, mixed = model.predict(n)
-    two = mixed[0] + mixed[1]
-    total = two + mixed[2]
-    low, part = coder.low[:n], coder.range[:n] // total
-    if ids is None:
-        value = _value(coder.code[:n], low, part, total)
-        which = (value >= mixed[0]).astype(np.int64) + (value >= two)
-    else:
-        which = np.where(ids == predicted[0], 0, np.where(ids == predicted[1], 1, 2))
-    missed, second = which == 2, which == 1
-    below = np.where(missed, two, np.where(second, mixed[0], np.uint64(0)))
-    width = np.where(missed, mixed[2], np.where(second, mixed[1], mixed[0]))
-    coder.settle(lanes, low + part * below, part * width)
-    out = np.where(second, predicted[1], predicted[0]).astype(np.int64) if ids is None else ids
-    rest = np.flatnonzero(missed)
-    if len(rest):
-        want = None if ids is None else ids[rest]
-        symbol = lambda shift: None if want is None else (want >> shift) & 15
-        a = _nibbles(model, coder, rest, ("hi_a", "hi_b"), rest, symbol(12), symbol(8))
-        high = rest * 16 + a[0]
-        c = _nibbles(model, coder, rest, ("lo_a", "lo_b"), high, symbol(4), symbol(0))
-        if want is None:
-            out[rest] = (a[0] << 12) | (a[1] << 8) | (c[0] << 4) | c[1]
-    model.learn(n, out, which, at, predicted, ctx)
-    return out
-
-
-def _nibbles(model: _Model, coder: _Range, lanes: np.ndarray, names: tuple[str, str], at: np.ndarray, first, second):
-    """Two nibbles, the second in the context of the first, in one interval."""
-    low, span = coder.low.take(lanes), coder.range.take(lanes)
-    code = coder.code.take(lanes) if first is None else None
-    first, low, span = _nibble(model, names[0], at, first, low, span, code)
-    second, low, span = _nibble(model, names[1], at * 16 + first, second, low, span, code)
-    coder.settle(lanes, low, span)
-    return first, second
-
-
-def _nibble(model: _Model, name: str, at: np.ndarray, symbol, low: np.ndarray, span: np.ndarray, code):
-    rows = model.rows[name]
-    row = rows.take(at, axis=0)
-    total = row[:, 15].astype(np.uint64)
-    part = span // total
-    if symbol is None:
-        below = row <= _value(code, low, part, total).astype(np.uint16)[:, None]
-        symbol = np.bitwise_count(np.packbits(below.reshape(-1)).view(np.uint16)).astype(np.int64)
-    flat, place = row.reshape(-1), model.sixteen[: len(at)] + symbol
-    under = np.where(symbol > 0, flat.take(place - 1, mode="wrap"), np.uint16(0)).astype(np.uint64)
-    low, span = low + part * under, part * (flat.take(place) - under)
-    row += _ADD.take(symbol, axis=0)
-    full = np.flatnonzero(row[:, 15] > _MOST)
-    if len(full):
-        row[full] = (row[full] + _ORDER) >> 1  # every count stays 1 at least
-    rows[at] = row
-    return symbol, low, span
+    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        self.code[lanes] = self.code[lanes] << _S16 | self.next(lanes)
+
+
+def _encoded(ids: np.ndarray, distinct: int) -> list[bytes]:
+    """The lanes' words of ids (lanes x steps)."""
+    lanes, steps = ids.shape
+    model, coder = _Model(lanes, distinct), _Writer(lanes, steps)
+    for now in np.ascontiguousarray(ids.T):
+        model.predict()
+        coder.part = coder.range // np.uint64(model.total * _WEIGHTS)
+        coder.narrow(*model.interval(now))
+        model.learn(now)
+    return coder.finish()
+
+
+def _decoded(words: np.ndarray, sizes: np.ndarray, steps: int, distinct: int) -> np.ndarray:
+    """ids (lanes x steps) of the lanes' words. Damaged words give other ids, never an endless run."""
+    lanes = len(sizes)
+    model, coder = _Model(lanes, distinct), _Reader(words, sizes)
+    out = np.empty((steps, lanes), np.int32)
+    for t in range(steps):
+        model.predict()
+        line = np.uint64(model.total * _WEIGHTS)
+        coder.part = coder.range // line
+        place = np.minimum((coder.code - coder.low) // coder.part, line - np.uint64(1))
+        out[t] = now = model.at_place(place.astype(np.int32))
+        coder.narrow(*model.interval(now))
+        model.learn(now)
+    return out.T
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids; the last lane may have more room than ids."""
+    steps = min(n, max(LEAST_STEPS, -(-n // LANES)))
+    return -(-n // steps), steps
+
+
+def _block(ids: np.ndarray) -> bytes:
+    lanes, steps = _shape(len(ids))
+    present = np.bincount(ids, minlength=IDS) > 0
+    number = np.cumsum(present, dtype=np.int32) - 1
+    room = np.zeros(lanes * steps, np.int32)
+    room[: len(ids)] = number.take(ids)
+    coded = _encoded(room.reshape(lanes, steps), int(number[-1]) + 1)
+    sizes = np.array([len(x) // 2 for x in coded], "<u4").tobytes()
+    head = zlib.compress(np.packbits(present).tobytes() + sizes)
+    words = b"".join(coded)
+    return struct.pack("<IIII", len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(head), len(words)) + head + words
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
-    """A segment of whole blocks: magic, ids in all, block count, block directory, coded blocks.
+    """Magic, ids in all, block count, and blocks: ids, CRC-32, sizes, the set of ids and each lane's words, the words.
 
     ids are from 0 to 65535. An empty segment has no block.
     """
     ids = np.asarray(ids, dtype=np.int64)
-    if len(ids) and not 0 <= ids.min() <= ids.max() < 1 << 16:
-        raise ValueError("ids are from 0 to 65535")
-    lanes = -(-len(ids) // BLOCK)
-    coded: list[bytes] = []
-    if lanes:
-        last = len(ids) - (lanes - 1) * BLOCK
-        steps = BLOCK if lanes > 1 else last
-        dealt = np.zeros(lanes * BLOCK, np.int64)
-        dealt[: len(ids)] = ids
-        dealt = np.ascontiguousarray(dealt.reshape(lanes, BLOCK).T)
-        model, coder = _Model(lanes), _Writer(lanes, steps)
-        for t in range(steps):
-            n = lanes if t < last else lanes - 1
-            _step(model, coder, n, dealt[t, :n])
-        coded = [coder.finish(i) for i in range(lanes)]
-    wide = ids.astype("<u4")
-    heads = [
-        struct.pack("<III", len(part), zlib.crc32(part.tobytes()), len(code))
-        for part, code in zip((wide[i : i + BLOCK] for i in range(0, len(ids), BLOCK)), coded, strict=True)
-    ]
-    return MAGIC + struct.pack("<QI", len(ids), lanes) + b"".join(heads) + b"".join(coded)
+    if len(ids) and not 0 <= ids.min() <= ids.max() < IDS:
+        raise ValueError(f"ids are from 0 to {IDS - 1}")
+    blocks = [_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+    return MAGIC + struct.pack("<QI", len(ids), len(blocks)) + b"".join(blocks)
 
 
 def decode_segment(data: bytes) -> np.ndarray:
     """The ids of a segment, as <u4. Raises ValueError where a block fails its checksum."""
     if data[:8] != MAGIC:
         raise ValueError("not a token segment")
-    total, lanes = struct.unpack_from("<QI", data, 8)
-    heads = [struct.unpack_from("<III", data, 20 + 12 * i) for i in range(lanes)]
-    at, parts = 20 + 12 * lanes, []
-    for _, _, size in heads:
-        parts.append(data[at : at + size])
-        at += size
-    if not lanes:
-        return np.empty(0, "<u4")
-    last, steps = heads[-1][0], heads[0][0]
-    model, coder = _Model(lanes), _Reader(parts)
-    out = np.zeros((steps, lanes), np.uint32)
-    for t in range(steps):
-        n = lanes if t < last else lanes - 1
-        out[t, :n] = _step(model, coder, n, None)
-    ids = np.ascontiguousarray(out.T).reshape(-1)[:total].astype("<u4")
-    for i, (n, crc, _) in enumerate(heads):
-        if zlib.crc32(ids[i * BLOCK : i * BLOCK + n].tobytes()) != crc:
-            raise ValueError(f"block {i} is damaged")
-    return ids
+    count = struct.unpack_from("<QI", data, 8)[1]
+    at, out = 20, []
+    for k in range(count):
+        n, crc, head, size = struct.unpack_from("<IIII", data, at)
+        lanes, steps = _shape(n)
+        try:
+            info = zlib.decompress(data[at + 16 : at + 16 + head])
+        except zlib.error as e:
+            raise ValueError(f"block {k} is damaged") from e
+        name = np.flatnonzero(np.unpackbits(np.frombuffer(info, np.uint8, IDS // 8)))
+        sizes = np.frombuffer(info, "<u4", lanes, IDS // 8).astype(np.int64)
+        words = np.frombuffer(data, "<u2", size // 2, at + 16 + head)
+        ids = name.take(_decoded(words, sizes, steps, len(name)).reshape(-1)[:n], mode="clip").astype("<u4")
+        if zlib.crc32(ids.tobytes()) != crc:
+            raise ValueError(f"block {k} is damaged")
+        out.append(ids)
+        at += 16 + head + size
+    return np.concatenate(out) if out else np.empty(0, "<u4")
