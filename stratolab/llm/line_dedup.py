@@ -13,9 +13,9 @@ overlap, so keepers hang on each other; they are found by bounds from both
 sides that close in round by round. Every chunk that goes has its bytes compared with
 its keeper's, and the keeper stays whole.
 
-Plan: one pass writes (document, line, length, digest) of all chunks; a partial
+Plan: one pass writes (document, lines, digest) of all chunks; a partial
 aggregation finds repeated digests, and rounds work on the places of those; only
-the texts of what goes and of its keepers are shuffled for the comparison, with hot digests
+the texts of what goes, each line once, and of its keepers are shuffled for the comparison, with hot digests
 salted; the decisions go back to the documents by one join on their key.
 """
 
@@ -83,57 +83,79 @@ def spans(text: str | None, rules=RULES, min_lines: int = 2) -> tuple[list[str],
     return lines, sorted(found)
 
 
-_DOC = ["k0", "k1", "tie"]  # id, 0 where null; whether it is not null; hash of the text
-_PLACE = "k0 long, k1 boolean, tie long, line int, n int, digest binary"
+# Id, 0 where null; hash of the text, its last bit telling whether there is an id.
+_DOC = ["id", "tie"]
+_PLACE = "id long, tie long, span long, digest binary"  # span: first line and number of lines, 32 bits each
 
 
 def _candidates(rules, min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, count, digest = [], [], [], []
-            for k, text in enumerate(batch.column(3).to_pylist()):
+            row, span, digest = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 lines, found = spans(text, rules, min_lines)
                 for at, n in found:
                     row.append(k)
-                    line.append(at)
-                    count.append(n)
+                    span.append(at << 32 | n)
                     digest.append(xxhash.xxh3_128_digest("\n".join(lines[at : at + n]).encode()))
-            doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]]
-            made = [pa.array(line, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*doc, *made], names=[*_DOC, "line", "n", "digest"])
+            yield _places(batch, row, span, digest)
 
     return run
 
 
-def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its places (line, n, digest, goes): those of which no line goes."""
+def _places(batch: pa.RecordBatch, row: list[int], span: list[int], digest: list[bytes]) -> pa.RecordBatch:
+    doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:2]]
+    return pa.RecordBatch.from_arrays([*doc, pa.array(span, pa.int64()), pa.array(digest, pa.binary())], names=[*_DOC, "span", "digest"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its places (span, digest, goes): those of which no line goes."""
     for batch in batches:
-        row, places = [], {"line": [], "n": [], "digest": []}
-        for k, found in enumerate(batch.column(3).to_pylist()):
-            goes = np.zeros(max(p["line"] + p["n"] for p in found) + 1, dtype=np.int64)
-            for p in found:
+        row, span, digest = [], [], []
+        for k, found in enumerate(batch.column(2).to_pylist()):
+            at = [(p["span"] >> 32, p["span"] & 0xFFFFFFFF) for p in found]
+            edge = np.zeros(max(a + n for a, n in at) + 1, dtype=np.int64)
+            for p, (a, n) in zip(found, at, strict=True):
                 if p["goes"]:
-                    goes[p["line"]] += 1
-                    goes[p["line"] + p["n"]] -= 1
-            upto = np.concatenate(([0], np.cumsum(np.cumsum(goes) > 0))).tolist()
-            whole = [p for p in found if upto[p["line"]] == upto[p["line"] + p["n"]]]
-            row += [k] * len(whole)
-            for c, v in places.items():
-                v += [p[c] for p in whole]
-        doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]]
-        made = [pa.array(places["line"], pa.int32()), pa.array(places["n"], pa.int32()), pa.array(places["digest"], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*doc, *made], names=[*_DOC, "line", "n", "digest"])
+                    edge[a] += 1
+                    edge[a + n] -= 1
+            upto = np.concatenate(([0], np.cumsum(np.cumsum(edge) > 0))).tolist()
+            for p, (a, n) in zip(found, at, strict=True):
+                if upto[a] == upto[a + n]:
+                    row.append(k)
+                    span.append(p["span"])
+                    digest.append(p["digest"])
+        yield _places(batch, row, span, digest)
+
+
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the fewest of the places that go whose lines are all lines that go."""
+    for batch in batches:
+        row, span, digest = [], [], []
+        for k, found in enumerate(batch.column(2).to_pylist()):
+            done, best, order = 0, None, sorted((p["span"] >> 32, p["span"] & 0xFFFFFFFF, p["digest"]) for p in found)
+            for a, n, d in [*order, (1 << 31, 0, b"")]:
+                if best and a > done:
+                    # Nothing that starts within reach goes farther than the best.
+                    row.append(k)
+                    span.append(best[0] << 32 | best[1])
+                    digest.append(best[2])
+                    done, best = best[0] + best[1], None
+                if a + n > max(done, best[0] + best[1] if best else 0):
+                    best = (a, n, d)
+        yield _places(batch, row, span, digest)
 
 
 def _place() -> F.Column:
     """Places in order: null ids first, then by id, hash of the text, and line."""
-    return F.struct("k1", "k0", "tie", "line")
+    return F.struct(F.col("tie").bitwiseAND(1).alias("named"), "id", "tie", "span")
 
 
 def _goes() -> F.Column:
     """Whether a place lies behind its chunk's keeper and does not overlap it."""
-    same = (F.col("k0") == F.col("keeper.k0")) & (F.col("k1") == F.col("keeper.k1")) & (F.col("tie") == F.col("keeper.tie"))
-    return (_place() > F.col("keeper")) & ~(same & (F.col("line") - F.col("keeper.line") < F.col("n")))
+    same = (F.col("id") == F.col("keeper.id")) & (F.col("tie") == F.col("keeper.tie"))
+    apart = F.shiftright("span", 32) - F.shiftright("keeper.span", 32) >= F.col("span").bitwiseAND(0xFFFFFFFF)
+    return (_place() > F.col("keeper")) & (~same | apart)
 
 
 def _settled(places: DataFrame, repeated: DataFrame, total: int, rounds: int) -> DataFrame:
@@ -145,20 +167,24 @@ def _settled(places: DataFrame, repeated: DataFrame, total: int, rounds: int) ->
     when there were `rounds` of them: then the certain ones hold, and what hangs on others stays.
     """
 
+    def keepers(of: DataFrame) -> DataFrame:
+        first = of.groupBy("digest").agg(F.min(_place()).alias("keeper"))
+        return stored(repeated.join(first, "digest"), "keepers")
+
     def whole(keepers: DataFrame) -> DataFrame:
         # A chunk without a keeper goes nowhere.
         judged = spread_join(places, keepers, "digest", total, "left")
-        judged = judged.select(*_DOC, F.struct("line", "n", "digest", F.coalesce(_goes(), F.lit(False)).alias("goes")).alias("p"))
+        judged = judged.select(*_DOC, F.struct("span", "digest", F.coalesce(_goes(), F.lit(False)).alias("goes")).alias("p"))
         # The places of one document are fewer than its lines times the rules.
-        return judged.groupBy(*_DOC).agg(F.collect_set("p").alias("found")).mapInArrow(_touched, _PLACE)
-
-    def keepers(of: DataFrame) -> DataFrame:
-        first = of.groupBy("digest").agg(F.min(_place()).alias("keeper"))
-        return stored(repeated.join(first, "digest"), "keepers")
+        return judged.groupBy(*_DOC).agg(F.collect_set("p").alias("found")).mapInArrow(_whole, _PLACE)
 
     early = keepers(places)
     for _ in range(rounds):
         late = keepers(whole(early))
+        # Where the first place of all is still whole, nothing can move any more.
+        open_ = early.join(late.select("digest", F.col("keeper").alias("other")), "digest", "left")
+        if open_.where(~F.col("keeper").eqNullSafe(F.col("other"))).isEmpty():
+            break
         closer = keepers(whole(late))
         moved = closer.join(late.select("digest", F.col("keeper").alias("other")), "digest", "left")
         if moved.where(~F.col("keeper").eqNullSafe(F.col("other"))).isEmpty():
@@ -169,19 +195,19 @@ def _settled(places: DataFrame, repeated: DataFrame, total: int, rounds: int) ->
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per wanted chunk its place, digest, role and bytes."""
-    kinds = {"line": pa.int32(), "n": pa.int32(), "digest": pa.binary(), "first": pa.bool_(), "copies": pa.int64(), "body": pa.binary()}
     for batch in batches:
-        row: list[int] = []
-        made: dict[str, list] = {c: [] for c in kinds}
-        for k, (text, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4)), strict=True)):
+        row, made = [], {"span": [], "digest": [], "first": [], "copies": [], "body": []}
+        for k, (text, wanted) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)):
             lines = (text or "").split("\n")
             for w in wanted:
+                at = w["span"] >> 32
                 row.append(k)
-                made["body"].append("\n".join(lines[w["line"] : w["line"] + w["n"]]).encode())
-                for c in ("line", "n", "digest", "first", "copies"):
+                made["body"].append("\n".join(lines[at : at + (w["span"] & 0xFFFFFFFF)]).encode())
+                for c in ("span", "digest", "first", "copies"):
                     made[c].append(w[c])
-        doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]]
-        yield pa.RecordBatch.from_arrays([*doc, *(pa.array(made[c], t) for c, t in kinds.items())], names=[*_DOC, *kinds])
+        doc = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:2]]
+        kinds = (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([*doc, *(pa.array(v, t) for v, t in zip(made.values(), kinds, strict=True))], names=[*_DOC, *made])
 
 
 def _rebuilt(text_at: int):
@@ -197,7 +223,7 @@ def _rebuilt(text_at: int):
                 if removed and text is not None:
                     lines = text.split("\n")
                     for r in removed:
-                        drop.update(range(r["line"], r["line"] + r["n"]))
+                        drop.update(range(r >> 32, (r >> 32) + (r & 0xFFFFFFFF)))
                     if drop:
                         text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 texts.append(text)
@@ -232,15 +258,22 @@ def dedup(
     docs = docs.drop("n_removed_lines")
     names = docs.columns
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    key = [F.coalesce(doc_id, F.lit(0)).alias("k0"), doc_id.isNotNull().alias("k1"), F.xxhash64(text).alias("tie")]
+    tie = F.xxhash64(text).bitwiseAND(~1).bitwiseOR(doc_id.isNotNull().cast("long"))
+    key = [F.coalesce(doc_id, F.lit(0)).alias("id"), tie.alias("tie")]
     slim = docs.select(*key, text.alias("text"))
     found = stored(slim.mapInArrow(_candidates(rules, min_lines), _PLACE), "line-chunks")
     repeated = stored(found.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"), "line-repeats")
     rows = found.count()
-    places = stored(spread_join(found, repeated, "digest", rows).drop("copies"), "line-places")
-    judged = spread_join(places, _settled(places, repeated, rows, rounds), "digest", rows)
-    judged = judged.withColumn("first", _place() == F.col("keeper")).where(F.col("first") | _goes())
-    wanted = judged.groupBy(*_DOC).agg(F.collect_set(F.struct("line", "n", "digest", "first", "copies")).alias("wanted"))
+    places = stored(spread_join(found, repeated, "digest", rows).select(found.columns), "line-places")
+    keepers = _settled(places, repeated, rows, rounds)
+    going = spread_join(places, keepers, "digest", rows).where(_goes())
+    going = going.groupBy(*_DOC).agg(F.collect_set(F.struct("span", "digest")).alias("found")).mapInArrow(_cover, _PLACE)
+    going = stored(going, "line-cover")
+    used = keepers.join(going.groupBy("digest").agg(F.count("*").alias("uses")), "digest")
+    used = stored(used.select("digest", "keeper", F.col("uses").alias("copies")), "line-used")
+    firsts = used.select("keeper.id", "keeper.tie", F.struct("keeper.span", "digest", F.lit(True).alias("first"), "copies").alias("w"))
+    others = spread_join(going, used, "digest", rows).select(*_DOC, F.struct("span", "digest", F.lit(False).alias("first"), "copies").alias("w"))
+    wanted = firsts.unionByName(others).groupBy(*_DOC).agg(F.collect_list("w").alias("wanted"))
     with_wanted = slim.join(wanted, _DOC).select(*_DOC, "text", "wanted")
     bodies = stored(
         with_wanted.mapInArrow(_texts, f"{_PLACE}, first boolean, copies long, body binary"), "line-bodies"
@@ -249,12 +282,12 @@ def dedup(
     firsts = bodies.where("first").select(
         "digest", F.col("body").alias("kept"), F.explode(F.sequence(F.lit(0), salts)).alias("salt")
     )
-    others = bodies.where("not first").withColumn("salt", F.pmod(F.xxhash64("k0", "tie", "line"), salts + 1).cast("int"))
+    others = bodies.where("not first").withColumn("salt", F.pmod(F.xxhash64(*_DOC, "span"), salts + 1).cast("int"))
     gone = (
         others.join(firsts.dropDuplicates(["digest", "salt"]), ["digest", "salt"])  # rows may repeat a keeper
         .where("body = kept")
         .groupBy(*_DOC)
-        .agg(F.collect_set(F.struct("line", "n")).alias("removed"))
+        .agg(F.collect_set("span").alias("removed"))
     )
     kept = [f"c{i}" for i in range(len(names))]
     carried = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], *key)
