@@ -65,16 +65,22 @@ def retrieval_context(impacts: DataFrame) -> DataFrame:
 # --- retrieval --------------------------------------------------------------------
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 4, metric: str = "l2sq", filters: list[str] = FILTERS) -> DataFrame:
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, k: int = 4, metric: str = "l2sq", filters: list[str] = FILTERS, blocks: int = 16
+) -> DataFrame:
     """Per query (query_id, filters, embedding) the k nearest chunks with equal metadata, nearest first.
 
-    An equi-join on the filter keys, so only chunks that can qualify are measured.
+    An equi-join on the filter keys, so only chunks that can qualify are measured. Filters
+    have few values, so chunks are dealt to `blocks` of each and queries go to all of
+    them; a task hands on k rows a query.
     A query without any match keeps one row with empty_reason. Ties go to the
     smaller chunk_id.
     """
     measure = {"l2sq": l2_squared, "cosine": cosine_distance}[metric]
-    c = chunks.select(*filters, "chunk_id", F.col("embedding").alias("e"))
-    pairs = queries.select("query_id", *filters, "embedding").join(c, filters)
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block")
+    c = chunks.select(*filters, block, "chunk_id", F.col("embedding").alias("e"))
+    dealt = queries.select("query_id", *filters, "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = dealt.join(c, [*filters, "block"])
     scored = pairs.select("query_id", "chunk_id", measure("embedding", "e").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -84,42 +90,36 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 4, metric: str = "l
 
 def query_text() -> Column:
     return F.concat(
-        "severity_tier", F.lit(" "), F.replace("hazard_class", F.lit("_"), F.lit(" ")), F.lit(" in a "), "region",
-        F.lit(" district, peak rainfall probability "), percent("peak_probability"), F.lit(", affecting "),
-        percent("affected_fraction"), F.lit(" of the area. Preparedness and mitigation actions."),
+        F.lit("What should people do about "), F.replace("hazard_class", F.lit("_"), F.lit(" ")), F.lit(" of severity "), "severity_tier",
+        F.lit(" in "), "region", F.lit(" terrain? Chance of heavy rain "), percent("peak_probability"), F.lit(", share of the district "),
+        percent("affected_fraction"), F.lit("."),
     )
 
 
 def prompt_text() -> Column:
-    """The situation and the excerpts, from an impact row with context, times, guidelines and drivers."""
-    hours = lambda c: decimal_text(F.col(c), "0.0")
-    # Fixed values below: the prompt's wording.
+    """The situation and the excerpts, one fact a line, from an impact row with context, times, guidelines and drivers."""
     clock = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX")
-    excerpts = F.when(
-        F.size("guidelines") > 0,
-        F.array_join(
-            F.transform("guidelines", lambda g: F.concat(F.lit("["), g["chunk_id"], F.lit("] ("), g["source"], F.lit(")\n"), F.trim(g["text"]), F.lit("\n"))),
-            "\n",
-        ),
-    ).otherwise(F.concat(F.lit("CONTEXT_EMPTY\nReason: "), F.coalesce("empty_reason", F.lit("none given"))))
-    lines = [
-        F.lit("FORECAST SUMMARY"),
-        F.concat(F.lit("District: "), area_description("district", "state")),
-        F.concat(F.lit("Issued (UTC): "), clock("valid_time")),
-        F.concat(F.lit("Impact begins: +"), hours("onset_hours"), F.lit(" h ("), clock("onset_time"), F.lit(")")),
-        F.concat(F.lit("Impact ends: +"), hours("expiry_hours"), F.lit(" h ("), clock("expiry_time"), F.lit(")")),
-        F.concat(F.lit("Peak probability of heavy rain: "), percent("peak_probability")),
-        F.concat(F.lit("Affected area: "), decimal_text("affected_area_km2", "0"), F.lit(" km2 ("), percent("affected_fraction"), F.lit(" of the district)")),
-        F.concat(F.lit("Forecast severity band: "), F.coalesce("severity", F.lit("unclassified"))),
-        F.when(F.col("peak_intensity").isNotNull(), F.concat(F.lit("Peak rain rate: "), decimal_text("peak_intensity", "0"), F.lit(" mm/h"))),
-        F.concat(F.lit("Hazard class: "), "hazard_class"),
-        F.concat(F.lit("Terrain: "), "region"),
-        F.when(F.size("defaulted") > 0, F.concat(F.lit("NOTE: "), F.array_join("defaulted", ", "), F.lit(" could not be determined and fell back to a default. Do not describe the district's terrain or hazard type as established."))),
-        F.when(F.size("drivers") > 0, F.concat(F.lit("\nLEADING FORECAST DRIVERS (for context, not for quoting)\n"), F.array_join(F.transform("drivers", lambda d: F.concat(F.lit("- "), d["channel"], F.lit(": "), d["direction"], F.lit(" the probability"))), "\n"))),
-        F.lit("\nNDMA GUIDELINE EXCERPTS"),
-        excerpts,
-    ]
-    return F.concat_ws("\n", *lines)
+    fact = lambda name, *value: F.concat(F.lit(f"{name} = "), *value)
+    hours = lambda c: decimal_text(F.col(c), "0.0")
+    listed = lambda items, say: F.array_join(F.transform(items, say), "\n")
+    facts = [
+        fact("place", area_description("district", "state")),
+        fact("issued", clock("valid_time")),
+        fact("starts", clock("onset_time"), F.lit(", in "), hours("onset_hours"), F.lit(" h")),
+        fact("ends", clock("expiry_time"), F.lit(", in "), hours("expiry_hours"), F.lit(" h")),
+        fact("chance of heavy rain", percent("peak_probability")),
+        fact("area hit", decimal_text("affected_area_km2", "0"), F.lit(" km2, "), percent("affected_fraction"), F.lit(" of the place")),
+        fact("band", F.coalesce("severity", F.lit("none"))),
+        F.when(F.col("peak_intensity").isNotNull(), fact("strongest rain", decimal_text("peak_intensity", "0"), F.lit(" mm/h"))),
+        fact("hazard", F.col("hazard_class")),
+        fact("terrain", F.col("region")),
+        F.when(F.size("defaulted") > 0, fact("assumed, not known", F.array_join("defaulted", ", "))),
+    ]
+    driven = F.when(F.size("drivers") > 0, F.concat(F.lit("[what moved the forecast]\n"), listed("drivers", lambda d: F.concat(d["channel"], F.lit(" "), d["direction"], F.lit(" it")))))
+    quoted = F.when(
+        F.size("guidelines") > 0, listed("guidelines", lambda g: F.concat(g["chunk_id"], F.lit(" from "), g["source"], F.lit(": "), F.trim(g["text"])))
+    ).otherwise(F.concat(F.lit("nothing found: "), F.coalesce("empty_reason", F.lit("no reason given"))))
+    return F.concat_ws("\n", F.lit("[situation]"), *facts, driven, F.lit("[guidelines to draw on]"), quoted)
 
 
 # --- CAP ----------------------------------------------------------------------------
@@ -225,14 +225,14 @@ def build_alerts(rows: DataFrame, sender: str = "nowcast", language: str = "en-I
     return rows.withColumn("alert", alert)
 
 
-def advisories(impacts: DataFrame, profiles: DataFrame, texts: DataFrame) -> DataFrame:
+def advisories(impacts: DataFrame, profiles: DataFrame, texts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Every impact with its text's verdict: alert-ready, or the reason why not.
 
-    impacts carry onset_hours; texts (state, district, cap_* ..) may lack
+    impacts carry onset_hours; texts (by, state, district, cap_* ..) may lack
     districts. The impact is reported in any case.
     """
     context = with_profile(impacts, profiles)
-    joined = context.join(texts.withColumn("has_text", F.lit(True)), DISTRICT, "left")
+    joined = context.join(texts.withColumn("has_text", F.lit(True)), [*(by or []), *DISTRICT], "left")
     checked = validate_texts(joined.withColumnRenamed("reason", "profile_reason"))
     reason = F.coalesce(
         "profile_reason", F.when(F.col("has_text").isNull(), F.lit("no text is available")), F.col("reason")

@@ -36,10 +36,10 @@ def pool_mean(mask: DataFrame, factor: int, value: str = "mask") -> DataFrame:
     return out.withColumn("weight", F.when(total > 0, F.col("weight")).otherwise(F.raise_error(F.lit("the region is empty")).cast("double")))
 
 
-def convergence_check(attr: DataFrame, difference: float, tolerance: float = 0.05) -> DataFrame:
-    """Residual of the attributions' sum against the output difference they should explain."""
+def convergence_check(attr: DataFrame, difference: float, tolerance: float = 0.05, keys: list[str] | None = None) -> DataFrame:
+    """Residual of the attributions' sum, of each of `keys`, against the output difference they should explain."""
     total = F.sum("attribution")
-    out = attr.agg(total.alias("total"), F.abs(total - difference).alias("residual"))
+    out = attr.groupBy(*(keys or [])).agg(total.alias("total"), F.abs(total - difference).alias("residual"))
     return out.withColumn("converged", F.col("residual") <= tolerance * F.greatest(F.abs("total"), F.lit(1e-6)))
 
 

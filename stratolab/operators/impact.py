@@ -115,9 +115,10 @@ def extract_impacts(
     return out.withColumn("severity", severity_band(F.col("peak_probability"), F.col("peak_intensity")))
 
 
-def rank_impacts(impacts: DataFrame, limit: int) -> DataFrame:
-    """By peak probability, then state and district; the limit is the report's length."""
-    return impacts.orderBy(F.desc("peak_probability"), *DISTRICT).limit(limit)
+def rank_impacts(impacts: DataFrame, limit: int, by: list[str]) -> DataFrame:
+    """The first `limit` of each forecast (`by`), the report's length: by peak probability, then state and district."""
+    order = Window.partitionBy(*by).orderBy(F.desc("peak_probability"), *DISTRICT)
+    return impacts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("rank")
 
 
 def onset_expiry(series: DataFrame, keys: list[str], floor: float = REPORT_FLOOR) -> DataFrame:
@@ -160,17 +161,17 @@ def point_series(cells: DataFrame, keys: list[str], value: str = "probability")
 
 
 def point_forecast(
-    points: DataFrame, nowcast: DataFrame, districts: DataFrame, grid: Grid = DOMAIN, floor: float = REPORT_FLOOR
+    points: DataFrame, nowcast: DataFrame, districts: DataFrame, grid: Grid = DOMAIN, floor: float = REPORT_FLOOR, by: list[str] | None = None
 ) -> DataFrame:
-    """Per point (point_id, lat, lon): its cell, series, peak, onset, expiry and districts.
+    """Per forecast (`by`) and point (point_id, lat, lon): its cell, series, peak, onset, expiry and districts.
 
-    nowcast: (row, col, lead, probability); districts: (state, district, row,
+    nowcast: (by, row, col, lead, probability); districts: (state, district, row,
     col, ..). Points outside the domain give no row.
     """
     at = points.withColumn("at", latlon_to_indices("lat", "lon", grid)).where("at is not null")
     at = at.select("point_id", "at.row", "at.col")
     joined = at.join(nowcast, ["row", "col"])
-    keys = ["point_id", "row", "col"]
+    keys = [*(by or []), "point_id", "row", "col"]
     late = F.when(F.col("probability") >= floor, F.col("lead"))
     pairs = F.sort_array(F.collect_list(F.struct("lead", "probability")))
     rows = joined.groupBy(*keys).agg(

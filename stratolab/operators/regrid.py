@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import DOMAIN, Grid, haversine_km
 
 KM_PER_DEGREE = 111.32
+MAX_BROADCAST_CELLS = 160_000
+MAX_POINTS = 1024
 
 
 def default_radius_km(spacing_deg: float) -> float:
@@ -70,16 +72,24 @@ def bilinear_corners(target: DataFrame, source: Grid, offset: float = 0.0, scale
 def regrid_bilinear(cells: DataFrame, source: Grid, target: DataFrame, keys: list[str], frame: list[str] | None = None) -> DataFrame:
     """Values at target points (keys, lat, lon) from a regular source grid; null if a needed corner has none.
 
-    cells: (frame, row, col, value). Corners with weight zero are not needed.
+    cells: (frame, row, col, value). Corners with weight zero are not needed. Corners are
+    fixed by the grids: each source cell gets the array of points that it serves,
+    so one equi-join and one aggregation reach them. A frame's points none of whose
+    corners has a row are left out, as are points outside the source grid.
     """
     frame = frame or []
     corners = bilinear_corners(target, source)
-    src = cells.select(*frame, F.col("row").alias("src_row"), F.col("col").alias("src_col"), "value")
-    if frame:
-        corners = corners.join(cells.select(*frame).distinct(), how="cross")  # target grid x frames: the result's size
-    joined = corners.join(src, [*frame, "src_row", "src_col"], "left")
-    whole = F.count("*") == F.count("value")
-    return joined.groupBy(*frame, *keys).agg(F.when(whole, F.sum(F.col("w") * F.col("value"))).alias("value"))
+    size = Window.partitionBy(*keys)
+    needed = corners.withColumn("need", F.count("*").over(size))
+    served = needed.groupBy(F.col("src_row").alias("row"), F.col("src_col").alias("col")).agg(
+        F.collect_list(F.struct(*keys, "w", "need")).alias("points")
+    )
+    # At most as many rows as the source grid has cells.
+    served = F.broadcast(served) if source.height * source.width <= MAX_BROADCAST_CELLS else served
+    joined = cells.join(served, ["row", "col"]).select(*frame, "value", F.explode("points").alias("p"))
+    whole = F.count("value") == F.first("p.need")
+    point = [F.col(f"p.{k}").alias(k) for k in keys]
+    return joined.groupBy(*frame, *point).agg(F.when(whole, F.sum(F.col("p.w") * F.col("value"))).alias("value"))
 
 
 def regrid_stream(cells: DataFrame, kind: str, source: Grid, target: DataFrame, *, grid: Grid = DOMAIN, radius_km: float | None = None) -> DataFrame:
@@ -128,13 +138,16 @@ def resize_map(maps: DataFrame, src: int, dst: int, keys: list[str] | None = Non
 def hazard_density(alerts: DataFrame, grid: DataFrame) -> DataFrame:
     """Gaussian influence of open alerts (hazard_type, lat, lng, risk_score) on grid points, at most 100.
 
-    The sum at a point takes in every alert, so each partition of alerts meets
-    the whole grid, whose size is a display parameter; sums are partial first.
+    The sum at a point takes in every alert, so every alert is carried to all points of the
+    grid, whose size is a display parameter and checked; sums are partial first.
     """
+    points = [(r.lat, r.lng) for r in grid.select("lat", "lng").limit(MAX_POINTS + 1).collect()]
+    if len(points) > MAX_POINTS:
+        raise ValueError(f"a display grid has at most {MAX_POINTS} points")
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("g_lat"), F.lit(b).alias("g_lng")) for a, b in points]))
     sigma = 60 + 1.4 * F.col("risk_score")
     km = haversine_km("g_lat", "g_lng", F.col("lat"), F.col("lng"))
-    points = grid.select(F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng"))
-    pairs = alerts.where("status != 'resolved'").crossJoin(F.broadcast(points))
+    pairs = alerts.where("status != 'resolved'").withColumn("g", at).select("*", "g.g_lat", "g.g_lng")
     value = F.sum(F.col("risk_score") * F.exp(-km * km / (2 * sigma * sigma)))
     out = pairs.groupBy("hazard_type", F.col("g_lat").alias("lat"), F.col("g_lng").alias("lng")).agg(value.alias("v"))
     return out.select("hazard_type", "lat", "lng", F.round(F.least(F.lit(100.0), "v"), 1).alias("value"))

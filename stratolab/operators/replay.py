@@ -91,9 +91,14 @@ def storm_score(target: DataFrame, threshold: float = POLICY.heavy_mm_h, keys: l
     )
 
 
-def admission_threshold(scores: DataFrame, policy: Policy = POLICY, score: str = "score") -> DataFrame:
-    """(threshold, rule): the floor until min_history scores, then their quantile, linear between ranks."""
-    out = scores.agg(F.count(score).alias("n"), F.percentile(score, F.lit(policy.quantile)).alias("q"))
+def admission_threshold(scores: DataFrame, policy: Policy = POLICY, score: str = "score", *, time: str = "t_s", history: int = 100_000) -> DataFrame:
+    """(threshold, rule): the floor until min_history scores, then the quantile of the latest, linear between ranks.
+
+    The quantile is exact over the `history` latest scores, a documented bound as in the
+    streaming form; each task hands on no more than that.
+    """
+    latest = scores.where(F.col(score).isNotNull()).orderBy(F.desc(time), score).limit(history)
+    out = latest.agg(F.count(score).alias("n"), F.percentile(score, F.lit(policy.quantile)).alias("q"))
     cold = F.col("n") < policy.min_history
     return out.select(
         F.when(cold, F.lit(policy.floor)).otherwise(F.col("q")).alias("threshold"),
@@ -117,16 +122,19 @@ def weighted_reservoir(rows: DataFrame, n: int, key: str = "reservoir_key", tie:
     return rows.orderBy(F.desc(key), tie).limit(n)
 
 
-def session_strongest(scores: DataFrame, minutes: int = POLICY.separation_minutes, time: str = "t_s") -> DataFrame:
-    """One row a storm: times with gaps under the separation belong together, the strongest, then earliest, stays."""
+def session_strongest(scores: DataFrame, minutes: int = POLICY.separation_minutes, time: str = "t_s", *, by: list[str]) -> DataFrame:
+    """One row a storm: within `by`, such as a season, times with gaps under the separation belong together.
+
+    The strongest, then earliest, stays.
+    """
     from pyspark.sql import Window
 
-    order = Window.orderBy(time)
+    order = Window.partitionBy(*by).orderBy(time)
     gap = F.col(time) - F.lag(time).over(order)
     storm = F.sum(F.when(gap < minutes * 60, 0).otherwise(1)).over(order)
     best = F.max_by(F.struct(time, "score"), F.struct("score", -F.col(time)))
-    return scores.withColumn("storm", storm).groupBy("storm").agg(best.alias("b"), F.count("*").alias("members")).select(
-        "storm", F.col(f"b.{time}").alias(time), F.col("b.score").alias("score"), "members"
+    return scores.withColumn("storm", storm).groupBy(*by, "storm").agg(best.alias("b"), F.count("*").alias("members")).select(
+        *by, "storm", F.col(f"b.{time}").alias(time), F.col("b.score").alias("score"), "members"
     )
 
 

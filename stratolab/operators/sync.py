@@ -80,13 +80,11 @@ def asof_backward(left: DataFrame, right: DataFrame, step_s: int, *, time: str =
     return left.withColumn("snap_s", snap_backward(F.col(time), step_s)).join(r, [*by, "snap_s"], "left")
 
 
-def asof_latest(left: DataFrame, right: DataFrame, *, time: str = "t_s", value: str = "value", by: list[str] | None = None) -> DataFrame:
-    """left with right's latest value at or before it, of any age: one ordered pass over both sides."""
-    by = by or []
+def asof_latest(left: DataFrame, right: DataFrame, *, time: str = "t_s", value: str = "value", by: list[str]) -> DataFrame:
+    """left with right's latest value at or before it, of any age: one ordered pass over both sides of each key."""
     l = left.select(*by, F.col(time), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v"))
     r = right.select(*by, F.col(time), F.lit(None).cast(l.schema["row"].dataType).alias("row"), F.col(value).alias("v"))
-    group = by or [F.lit(1)]
-    w = Window.partitionBy(*group).orderBy(time, F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(time, F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     merged = l.unionByName(r).withColumn("latest", F.last("v", ignorenulls=True).over(w))
     return merged.where("row is not null").select("row.*", "latest")
 
@@ -141,15 +139,18 @@ def neighbours(df: DataFrame, keys: list[str], order: str, value: str = "value")
     )
 
 
-def fill_gaps(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:
+def fill_gaps(df: DataFrame, keys: list[str], order: str, value: str = "value", blended: Column | None = None) -> DataFrame:
     """df with value filled between neighbours, fill_method, filled, and flags OR-ed with what was done.
 
-    Both neighbours: linear in order; one: held; none: GAP_FILL_FAILED. Old
+    Both neighbours: linear in order, or the nearer one, the earlier of equals, where
+    `blended` is false, as for categories; one: held; none: GAP_FILL_FAILED. Old
     flags stay, so a filled frame that was missing is still not usable.
     """
     n = neighbours(df, keys, order, value)
     share = (F.col(order) - F.col("prev_order")) / (F.col("next_order") - F.col("prev_order"))
     blend = F.col("prev_value") + (F.col("next_value") - F.col("prev_value")) * share
+    if blended is not None:
+        blend = F.when(blended, blend).when(share <= 0.5, F.col("prev_value")).otherwise(F.col("next_value"))
     p, q = F.col("prev_value").isNotNull(), F.col("next_value").isNotNull()
     gap = F.col(value).isNull()
     method = F.when(~gap, F.lit(None)).when(p & q, "linear").when(p | q, "hold").otherwise("failed")
@@ -177,19 +178,21 @@ def lift(df: DataFrame, keys: list[str], order: str, kind: str, value: str = "va
     return n.withColumn(value, F.coalesce(F.col(value), new)).select(df.columns)
 
 
-def fill_advective(cells: DataFrame, tile: int, radius: int) -> DataFrame:
+def fill_advective(cells: DataFrame, tile: int, radius: int, coverage: float = 0.25) -> DataFrame:
     """Cells of gap frames moved in from the anchor frames on both sides.
 
-    cells: (seq, frame, row, col, value) of whole sequences, gaps null. Per tile
+    cells: (seq, frame, row, col, value) of whole sequences, gaps null, and qc_flag if
+    there is one. Anchors are frames with a value in at least `coverage` of their cells; a frame
+    between two anchors that is none itself is a gap. Per tile
     the shift of least mean absolute difference between the two anchors is found
     among (2 radius + 1)^2; a gap at share s takes the earlier anchor moved by s
     of it and the later moved back by 1 - s, blended by nearness, or the one
-    that has a value there.
+    that has a value there. Filled cells carry GAP_FILLED_OPTICAL_FLOW.
     """
     keys = ["seq", "row", "col"]
-    present = cells.where("value is not null")
-    anchors = present.select("seq", "frame").distinct()
-    frames = cells.select("seq", "frame").distinct().join(anchors.withColumn("ok", F.lit(True)), ["seq", "frame"], "left")
+    seen = cells.groupBy("seq", "frame").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("share"))
+    frames = seen.select("seq", "frame", F.when(F.col("share") >= coverage, F.lit(True)).alias("ok"))
+    present = cells.where("value is not null").select("seq", "frame", "row", "col", "value")
     w = Window.partitionBy("seq").orderBy("frame")
     at = F.when(F.col("ok"), F.col("frame"))
     gaps = frames.select(
@@ -225,9 +228,11 @@ def fill_advective(cells: DataFrame, tile: int, radius: int) -> DataFrame:
         F.col("early").isNotNull() & F.col("late").isNotNull(), F.col("early") * (1 - F.col("s")) + F.col("late") * F.col("s")
     ).otherwise(F.coalesce("early", "late"))
     filled = both.select("seq", "frame", "row", "col", blend.alias("moved"))
+    new = F.col("value").isNull() & F.col("moved").isNotNull()
+    flag = F.col("qc_flag") if "qc_flag" in cells.columns else F.lit(0)
     return cells.join(filled, ["frame", *keys], "left").select(
-        "seq", "frame", "row", "col", F.coalesce("value", "moved").alias("value"),
-        (F.col("value").isNull() & F.col("moved").isNotNull()).alias("filled"),
+        "seq", "frame", "row", "col", F.coalesce("value", "moved").alias("value"), new.alias("filled"),
+        F.when(new, set_flag(flag, "GAP_FILLED_OPTICAL_FLOW")).otherwise(flag).alias("qc_flag"),
     )
 
 

@@ -104,28 +104,57 @@ def crps_cells(pairs: DataFrame, keys: list[str] = CELL) -> DataFrame:
     cells = pairs.groupBy(*keys).agg(
         F.sort_array(F.collect_list("rain_mm_h")).alias("x"), F.first("observed").alias("y")
     )
-    n = F.size("x").cast("double")
-    gap = F.aggregate("x", F.lit(0.0), lambda s, v: s + F.abs(v - F.col("y"))) / n
-    ranked = F.transform("x", lambda v, i: (2 * i + 1 - F.size("x")) * v)
-    spread = F.aggregate(ranked, F.lit(0.0), lambda s, v: s + v) / (n * n)
-    return cells.select(*keys, (gap - spread).alias("crps"))
+    return cells.select(*keys, _crps(F.col("x"), F.col("y")).alias("crps"))
+
+
+def _crps(x: Column, y: Column) -> Column:
+    """Of sorted members x: mean distance from y, less half the members' mean distance from each other."""
+    n = F.size(x).cast("double")
+    gap = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.abs(v - y)) / n
+    ranked = F.transform(x, lambda v, i: (2 * i + 1 - F.size(x)) * v)
+    return gap - F.aggregate(ranked, F.lit(0.0), lambda s, v: s + v) / (n * n)
 
 
 def crps(pairs: DataFrame, keys: list[str] = CELL) -> DataFrame:
     return crps_cells(pairs, keys).agg(F.avg("crps").alias("crps"))
 
 
-def score(pairs: DataFrame, threshold: float, band: str) -> DataFrame:
-    """One row (name, value) a metric: counts pooled first, ratios last. Undefined metrics have a null value."""
-    counts = skill(contingency(pairs, threshold))
-    rows = counts.select(
-        F.col("csi").alias(f"csi_{band}"),
-        F.col("pod").alias(f"pod_{band}"),
-        F.col("far").alias(f"far_{band}"),
-        F.coalesce("events_observed", F.lit(0)).cast("double").alias("events_observed"),
+METRICS = tuple(HIGHER_IS_BETTER)
+
+
+def score(pairs: DataFrame, threshold: float, band: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """One row (name, value) a metric: counts pooled first, ratios last. Undefined metrics have a null value.
+
+    metrics: which of csi, pod, far, crps and mae; events_observed goes with the
+    first three, and windows with all. One aggregation of the pairs by cell serves them all.
+    """
+    unknown = [m for m in metrics if m not in METRICS]
+    if unknown or not metrics:
+        raise ValueError(f"metrics are some of {METRICS}, not {unknown or 'none'}")
+    if not threshold > 0:
+        raise ValueError("the threshold is positive")
+    cells = pairs.groupBy(*CELL).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("rain_mm_h").alias("v"), "member"))).alias("m"), F.first("observed").alias("y")
     )
-    windows = pairs.agg(F.count_distinct("window_id").cast("double").alias("windows"))
-    wide = rows.crossJoin(ensemble_mae(pairs)).crossJoin(crps(pairs)).crossJoin(windows)  # one row each
+    x = F.transform("m", lambda r: r["v"])
+    facts = [F.col("window_id")]
+    if "mae" in metrics:
+        facts.append(F.abs(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size("m") - F.col("y")).alias("mae"))
+    if "crps" in metrics:
+        facts.append(_crps(x, F.col("y")).alias("crps"))
+    counted = [m for m in ("csi", "pod", "far") if m in metrics]
+    if counted:
+        say = F.transform("m", lambda r: F.struct(r["member"].alias("member"), r["v"].alias("rain_mm_h"), F.col("y").alias("observed")))
+        facts.append(say.alias("said"))
+    per_cell = cells.select(*facts)
+    plain = [F.avg(m).alias(m) for m in ("mae", "crps") if m in metrics]
+    wide = per_cell.agg(*plain, F.count_distinct("window_id").cast("double").alias("windows"))
+    if counted:
+        members = per_cell.select(F.explode("said").alias("s")).select("s.*")
+        skills = skill(contingency(members, threshold)).select(
+            *[F.col(m).alias(f"{m}_{band}") for m in counted], F.coalesce("events_observed", F.lit(0)).cast("double").alias("events_observed")
+        )
+        wide = skills.join(wide)  # one row each
     return wide.unpivot([], wide.columns, "name", "value")
 
 
@@ -220,12 +249,12 @@ def promotion_gate(
     )
 
 
-def best_run(runs: DataFrame, metric: str, *, order: str = "step", value: str = "value", keep: int = 3) -> DataFrame:
-    """Whether each run beats all before it (NaN and null never do), and whether it is among the last `keep`."""
+def best_run(runs: DataFrame, metric: str, *, by: list[str], order: str = "step", value: str = "value", keep: int = 3) -> DataFrame:
+    """Whether each run of a model (`by`) beats all before it (NaN and null never do), and whether it is among the last `keep`."""
     v = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     up = higher_is_better(metric)
     best = F.max(v).over(before) if up else F.min(v).over(before)
     beats = v.isNotNull() & (best.isNull() | (v > best if up else v < best))
-    late = F.row_number().over(Window.orderBy(F.desc(order))) <= keep
+    late = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))) <= keep
     return runs.withColumns({"is_best": F.coalesce(beats, F.lit(False)), "kept": late})

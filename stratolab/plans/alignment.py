@@ -145,14 +145,30 @@ def w15_lift(s, d):
     return rounded(sync.lift(synced(s, d), ["stream"], "slot_s", "continuous").select("stream", "slot_s", "value"))
 
 
-@R.add()
+ADVECT = """c AS (SELECT CAST(floor(obs_s / 21600) AS bigint) % 9 AS frame, event_id % 16 AS r, event_id % 13 AS c, avg(value) AS v FROM fx_obs GROUP BY ALL),
+  b AS (SELECT frame, r, c, CASE WHEN frame % 3 <> 1 THEN v END AS v FROM c),
+  fr AS (SELECT frame, avg(CASE WHEN v IS NULL THEN 0.0 ELSE 1.0 END) >= 0.25 AS ok FROM b GROUP BY frame),
+  gp AS (SELECT frame, bf, af, (frame - bf) / (af - bf) AS s FROM (SELECT frame, ok, max(CASE WHEN ok THEN frame END) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf,
+    min(CASE WHEN ok THEN frame END) OVER (ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS af FROM fr) WHERE NOT ok AND bf IS NOT NULL AND af IS NOT NULL),
+  tr AS (SELECT p.bf, p.af, floor(x.r / 8) AS tr, floor(x.c / 8) AS tc, dr, dc, avg(abs(x.v - y.v)) AS cost FROM (SELECT DISTINCT bf, af FROM gp) p JOIN b x ON x.frame = p.bf AND x.v IS NOT NULL
+    CROSS JOIN (SELECT unnest(range(-2, 3)) AS dr) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dc) JOIN b y ON y.frame = p.af AND y.r = x.r + dr AND y.c = x.c + dc AND y.v IS NOT NULL GROUP BY ALL),
+  fl AS (SELECT bf, af, tr, tc, arg_min({'dr': dr, 'dc': dc}, (cost, abs(dr) + abs(dc), dr, dc)) AS m FROM tr GROUP BY ALL),
+  wa AS (SELECT g.frame, s, r + CAST(round(s * coalesce(m.dr, 0)) AS bigint) AS r, c + CAST(round(s * coalesce(m.dc, 0)) AS bigint) AS c, v FROM gp g JOIN b ON b.frame = bf AND v IS NOT NULL
+    LEFT JOIN fl ON fl.bf = g.bf AND fl.af = g.af AND tr = floor(r / 8) AND tc = floor(c / 8)),
+  wb AS (SELECT g.frame, s, r + CAST(round((s - 1) * coalesce(m.dr, 0)) AS bigint) AS r, c + CAST(round((s - 1) * coalesce(m.dc, 0)) AS bigint) AS c, v FROM gp g JOIN b ON b.frame = af AND v IS NOT NULL
+    LEFT JOIN fl ON fl.bf = g.bf AND fl.af = g.af AND tr = floor(r / 8) AND tc = floor(c / 8)),
+  mv AS (SELECT frame, r, c, coalesce(e * (1 - s) + l * s, e, l) AS x FROM (SELECT frame, s, r, c, avg(v) AS e FROM wa GROUP BY ALL) FULL JOIN (SELECT frame, s, r, c, avg(v) AS l FROM wb GROUP BY ALL) USING (frame, s, r, c))"""
+
+
+@R.add(f"""WITH {ADVECT} SELECT 0 AS seq, CAST(frame AS int) AS frame, CAST(r AS int) AS "row", CAST(c AS int) AS col, round(coalesce(v, x), 6) AS value, v IS NULL AND x IS NOT NULL AS filled,
+  CASE WHEN v IS NULL AND x IS NOT NULL THEN 1024 ELSE 0 END AS qc_flag FROM b LEFT JOIN mv USING (frame, r, c)""")
 def w5_fill_advective(s, d):
     """A drifting field of event counts with every third frame blanked."""
     e = view(s, d, "fx_obs").withColumn("frame", F.floor(F.col("obs_s") / 21600).cast("int") % 9)
     at = e.select(F.lit(0).alias("seq"), "frame", (F.col("event_id") % 16).cast("int").alias("row"), (F.col("event_id") % 13).cast("int").alias("col"), "value")
     cells = at.groupBy("seq", "frame", "row", "col").agg(F.avg("value").alias("value"))
     blank = cells.withColumn("value", F.when(F.col("frame") % 3 != 1, F.col("value")))
-    return sync.fill_advective(blank, 8, 2)
+    return rounded(sync.fill_advective(blank, 8, 2))
 
 
 @R.add(f"""WITH {SPINE} SELECT stream, round(avg(CASE WHEN present THEN 1.0 ELSE 0.0 END), 6) AS usable_fraction,
@@ -359,31 +375,34 @@ def j5_regrid_nearest(s, d):
     return out.select(F.col("row").alias("grid_row"), F.col("col").alias("grid_col"), "value")
 
 
-BILINEAR = """t AS (SELECT DISTINCT event_id % 60 AS k FROM events), p AS (SELECT k, 20 + k / 300 AS lat, 77 + (k % 45) / 200 AS lon FROM t),
+BILINEAR = """p AS (SELECT event_id AS k, 20 + (event_id * 37 % 2500) / 10000 AS lat, 77 + (event_id * 53 % 2500) / 10000 AS lon FROM events),
   a AS (SELECT *, round((lat - 20) * 12, 9) AS y, round((lon - 77) * 12, 9) AS x FROM p),
   w AS (SELECT k, CAST(floor(y) + i AS int) AS r, CAST(floor(x) + j AS int) AS c,
     (CASE i WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE j WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w
     FROM a, (VALUES (0), (1)) i(i), (VALUES (0), (1)) j(j)),
-  v AS (SELECT window_id, grid_row, grid_col, avg(rain_mm_h) AS value FROM fx_ensemble JOIN fx_cell USING (cell) WHERE lead = 0 GROUP BY ALL),
-  u AS (SELECT DISTINCT window_id FROM v)"""
+  v AS (SELECT window_id, lead, grid_row, grid_col, avg(rain_mm_h) AS value FROM fx_ensemble JOIN fx_cell USING (cell) GROUP BY ALL),
+  u AS (SELECT DISTINCT window_id, lead FROM v)"""
 
 
-@R.add(f"""WITH {BILINEAR} SELECT window_id, k, round(CASE WHEN count(*) = count(value) THEN sum(w * value) END, 6) AS value
-  FROM w CROSS JOIN u LEFT JOIN v ON v.window_id = u.window_id AND grid_row = r AND grid_col = c WHERE w > 0 GROUP BY ALL""".replace("SELECT window_id, k", "SELECT u.window_id, k"))
+@R.add(f"""WITH {BILINEAR}, z AS (SELECT u.window_id, u.lead, k, CASE WHEN count(*) = count(value) THEN sum(w * value) END AS value
+  FROM w CROSS JOIN u LEFT JOIN v ON v.window_id = u.window_id AND v.lead = u.lead AND grid_row = r AND grid_col = c WHERE w > 0 GROUP BY ALL)
+  SELECT k, count(value) AS frames, round(sum(value), 3) AS total FROM z GROUP BY k""")
 def j6_regrid_bilinear(s, d):
-    cells = view(s, d, "fx_ensemble").where("lead = 0").join(view(s, d, "fx_cell"), "cell")
-    cells = cells.groupBy("window_id", F.col("grid_row").alias("row"), F.col("grid_col").alias("col")).agg(F.avg("rain_mm_h").alias("value"))
-    k = view(s, d, "events").select((F.col("event_id") % 60).alias("k")).distinct()
-    target = k.select("k", (20 + F.col("k") / 300).alias("lat"), (77 + (F.col("k") % 45) / 200).alias("lon"))
-    return rounded(regrid.regrid_bilinear(cells, SMALL, target, ["k"], ["window_id"]))
+    """Every event's place, in every frame."""
+    cells = view(s, d, "fx_ensemble").join(view(s, d, "fx_cell"), "cell")
+    cells = cells.groupBy("window_id", "lead", F.col("grid_row").alias("row"), F.col("grid_col").alias("col")).agg(F.avg("rain_mm_h").alias("value"))
+    k = view(s, d, "events").select(F.col("event_id").alias("k"))
+    target = k.select("k", (20 + F.col("k") * 37 % 2500 / 10000).alias("lat"), (77 + F.col("k") * 53 % 2500 / 10000).alias("lon"))
+    out = regrid.regrid_bilinear(cells, SMALL, target, ["k"], ["window_id", "lead"])
+    return rounded(out.groupBy("k").agg(F.count("value").alias("frames"), F.sum("value").alias("total")), 3)
 
 
-@R.add("""SELECT window_id AS slot, 'rain' AS channel, 0 AS level, grid_row AS "row", grid_col AS "col", round(avg(rain_mm_h), 6) AS value
-  FROM fx_ensemble JOIN fx_cell USING (cell) WHERE lead = 0 GROUP BY ALL""")
+@R.add("""SELECT window_id * 100 + lead AS slot, 'rain' AS channel, 0 AS level, grid_row AS "row", grid_col AS "col", round(avg(rain_mm_h), 6) AS value
+  FROM fx_ensemble JOIN fx_cell USING (cell) GROUP BY ALL""")
 def j7_regrid_stream(s, d):
-    cells = view(s, d, "fx_ensemble").where("lead = 0").join(view(s, d, "fx_cell"), "cell")
+    cells = view(s, d, "fx_ensemble").join(view(s, d, "fx_cell"), "cell")
     cells = cells.groupBy(
-        F.col("window_id").alias("slot"), F.lit("rain").alias("channel"), F.lit(0).alias("level"),
+        (F.col("window_id") * 100 + F.col("lead")).alias("slot"), F.lit("rain").alias("channel"), F.lit(0).alias("level"),
         F.col("grid_row").alias("row"), F.col("grid_col").alias("col"), "lat", "lon",
     ).agg(F.avg("rain_mm_h").alias("value"))
     target = view(s, d, "fx_cell").select(F.col("grid_row").alias("row"), F.col("grid_col").alias("col"), "lat", "lon")

@@ -8,6 +8,7 @@ from ..functions import scalar
 from ..operators import advisory, assemble, attrib, dashboard, norm, regrid, replay
 from ..schema import BOUNDS
 from ..sources import windows
+from . import inputs
 from .fixtures import view
 from .registry import Registry
 from .verification import IMPACT, districts, impacts, rounded
@@ -36,11 +37,13 @@ def channels(s, d):
 
 
 def stats(s, d):
-    return norm.build_channel_stats(channels(s, d).join(F.broadcast(policy(s).select("channel", "transform")), "channel"))
+    return norm.build_channel_stats(channels(s, d).join(F.broadcast(policy(s).select("channel", "transform")), "channel"), source="lineitem")
 
 
 @R.add(f"""WITH {CH_SQL} SELECT channel, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max, n AS count,
-  round(pm, 6) AS physical_mean FROM st""")
+  round(pm, 6) AS physical_mean, round(p1, 6) AS p1, round(p5, 6) AS p5, round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75, round(p95, 6) AS p95, round(p99, 6) AS p99,
+  'lineitem' AS source FROM st JOIN (SELECT channel, quantile_disc(t, 0.01) AS p1, quantile_disc(t, 0.05) AS p5, quantile_disc(t, 0.25) AS p25, quantile_disc(t, 0.5) AS p50,
+  quantile_disc(t, 0.75) AS p75, quantile_disc(t, 0.95) AS p95, quantile_disc(t, 0.99) AS p99 FROM tv GROUP BY channel) USING (channel)""")
 def a1_channel_stats(s, d):
     return rounded(stats(s, d))
 
@@ -56,7 +59,7 @@ def f2_normalise(s, d):
 
 @R.add("SELECT window_id, lead, cell, member, 'c' || (lead % 4) AS channel, rain_mm_h AS value FROM fx_ensemble")
 def f3_round_trip(s, d):
-    st = stats(s, d).cache()
+    st = stats(s, d)
     return rounded(norm.denormalise(norm.normalise(channels(s, d), st, policy(s)), st, policy(s)))
 
 
@@ -276,13 +279,13 @@ def d9_validate_texts(s, d):
 
 
 @R.add(f"""WITH {CONTEXT} SELECT window_id, state, district, CASE WHEN district = 'NATION_3' THEN 'no terrain profile' WHEN district = 'NATION_2' THEN 'no text is available' END AS reason
-  FROM cx WHERE window_id = 3""")
+  FROM cx""")
 def d13_advisories(s, d):
-    one = impacts(s, d).where("window_id = 3").withColumn("onset_hours", scalar.lead_hours("onset_lead"))
+    one = impacts(s, d).where("severity is not null").withColumn("onset_hours", scalar.lead_hours("onset_lead"))
     t = one.where("district != 'NATION_2'").select(
-        "state", "district", F.lit("Extreme").alias("cap_severity"), advisory.cap_urgency(F.col("onset_hours")).alias("cap_urgency"), F.lit("Unlikely").alias("cap_certainty")
+        "window_id", "state", "district", F.lit("Extreme").alias("cap_severity"), advisory.cap_urgency(F.col("onset_hours")).alias("cap_urgency"), F.lit("Unlikely").alias("cap_certainty")
     )
-    return advisory.advisories(one, profiles(s, d).where("district != 'NATION_3'"), t).select("window_id", "state", "district", "reason")
+    return advisory.advisories(one, profiles(s, d).where("district != 'NATION_3'"), t, ["window_id"]).select("window_id", "state", "district", "reason")
 
 
 @R.add("""SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(substr(text, 1, doc_id % 3 * 100)) = '' THEN 'headline is blank' END,
@@ -307,7 +310,7 @@ def a37_corpus_label(s, d):
     return advisory.corpus_label(view(s, d, "documents"), "src1")
 
 
-KNN = """q AS (SELECT * FROM fx_chunk WHERE chunk_id < 20), p AS (SELECT q.chunk_id AS query_id, c.chunk_id,
+KNN = """q AS (SELECT * FROM fx_chunk WHERE chunk_id % 20 = 0), p AS (SELECT q.chunk_id AS query_id, c.chunk_id,
     {0} AS distance FROM q JOIN fx_chunk c USING (hazard_class, severity_tier, region)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM p)
   SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM r WHERE rank <= 4"""
@@ -315,7 +318,7 @@ KNN = """q AS (SELECT * FROM fx_chunk WHERE chunk_id < 20), p AS (SELECT q.chunk
 
 def retrieved(s, d, metric):
     c = view(s, d, "fx_chunk")
-    q = c.where("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
+    q = c.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
     return rounded(advisory.retrieve(q, c, 4, metric).select("query_id", "rank", "chunk_id", "distance"))
 
 
@@ -335,9 +338,9 @@ def f15_titles(s, d):
     return context(s, d).select("window_id", "state", "district", scalar.event_title("hazard_class").alias("event"), scalar.area_description("district", "state").alias("area_desc"))
 
 
-@R.add(f"""WITH {CONTEXT} SELECT window_id, state, district, severity_tier || ' ' || replace(hazard_class, '_', ' ') || ' in a ' || region ||
-  ' district, peak rainfall probability ' || CAST(CAST(round_even(peak_probability * 100, 0) AS int) AS varchar) || '%, affecting ' ||
-  CAST(CAST(round_even(affected_fraction * 100, 0) AS int) AS varchar) || '% of the area. Preparedness and mitigation actions.' AS query FROM cx""")
+@R.add(f"""WITH {CONTEXT} SELECT window_id, state, district, 'What should people do about ' || replace(hazard_class, '_', ' ') || ' of severity ' || severity_tier || ' in ' || region ||
+  ' terrain? Chance of heavy rain ' || CAST(CAST(round_even(peak_probability * 100, 0) AS int) AS varchar) || '%, share of the district ' ||
+  CAST(CAST(round_even(affected_fraction * 100, 0) AS int) AS varchar) || '%.' AS query FROM cx""")
 def f13_query_text(s, d):
     return context(s, d).select("window_id", "state", "district", advisory.query_text().alias("query"))
 
@@ -472,11 +475,11 @@ def a24_admission_threshold(s, d):
     return rounded(replay.admission_threshold(storm_rows(s, d), replay.Policy(min_history=10)))
 
 
-@R.add(f"""WITH {ROWS_SQL}, g AS (SELECT *, sum(CASE WHEN gap < 10800 THEN 0 ELSE 1 END) OVER (ORDER BY t_s) AS storm FROM
-    (SELECT *, t_s - lag(t_s) OVER (ORDER BY t_s) AS gap FROM sr))
-  SELECT storm, arg_max(t_s, (score, -t_s)) AS t_s, max(score) AS score, count(*) AS members FROM g GROUP BY storm""")
+@R.add(f"""WITH {ROWS_SQL}, g AS (SELECT *, sum(CASE WHEN gap < 10800 THEN 0 ELSE 1 END) OVER (PARTITION BY window_id ORDER BY t_s) AS storm FROM
+    (SELECT *, t_s - lag(t_s) OVER (PARTITION BY window_id ORDER BY t_s) AS gap FROM sr))
+  SELECT window_id, storm, arg_max(t_s, (score, -t_s)) AS t_s, max(score) AS score, count(*) AS members FROM g GROUP BY window_id, storm""")
 def w9_session_strongest(s, d):
-    return replay.session_strongest(storm_rows(s, d))
+    return replay.session_strongest(storm_rows(s, d), by=["window_id"])
 
 
 @R.add(f"""WITH {ROWS_SQL} SELECT t_s, score, round(ln(((t_s / 7200) % 97 + 0.5) / 97) / score, 6) AS reservoir_key FROM sr ORDER BY 3 DESC, t_s LIMIT 10""".replace("(t_s / 7200)", "CAST(floor(t_s / 7200) AS bigint)"))
@@ -486,8 +489,13 @@ def t4_weighted_reservoir(s, d):
     return rounded(replay.weighted_reservoir(keyed, 10, tie="t_s"))
 
 
+def season():
+    """Windows are of a year each, so they are the seasons whose reservoirs are folded side by side."""
+    return F.col("window_id").cast("int").alias("season")
+
+
 def folded(s, d):
-    rows = storm_rows(s, d).select(F.lit(0).alias("season"), "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"))
+    rows = storm_rows(s, d).select(season(), "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"))
     return replay.decorrelate(rows, replay.Policy(min_history=10, quantile=0.3), capacity=8)
 
 
@@ -617,14 +625,14 @@ def a40_outcome_scorecard(s, d):
 
 DENSE = """g AS (SELECT 8 + 4 * r AS glat, 70 + 4 * c AS glng FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c)),
   a AS (SELECT hazard_type, glat, glng, risk_score, 60 + 1.4 * risk_score AS sg, power(sin(radians(glat - lat) / 2), 2) + cos(radians(glat)) * cos(radians(lat)) *
-    power(sin(radians(glng - lng) / 2), 2) AS h FROM fx_alert, g WHERE status <> 'resolved' AND id % 97 = 0),
+    power(sin(radians(glng - lng) / 2), 2) AS h FROM fx_alert, g WHERE status <> 'resolved'),
   b AS (SELECT *, 2 * 6371 * atan2(sqrt(h), sqrt(1 - h)) AS km FROM a),
   dn AS (SELECT hazard_type, glat AS lat, glng AS lng, round(least(100, sum(risk_score * exp(-km * km / (2 * sg * sg)))), 1) AS value FROM b GROUP BY ALL)"""
 
 
 def density(s, d):
     axis = s.range(64).select((8 + 4 * F.floor(F.col("id") / 8)).cast("double").alias("lat"), (70 + 4 * (F.col("id") % 8)).cast("double").alias("lng"))
-    return regrid.hazard_density(alerts(s, d).where("id % 97 = 0"), axis)
+    return regrid.hazard_density(alerts(s, d), axis)
 
 
 @R.add(f"WITH {DENSE} SELECT hazard_type, CAST(lat AS double) AS lat, CAST(lng AS double) AS lng, value FROM dn")
@@ -638,11 +646,14 @@ def j21_dominant_hazard(s, d):
     return regrid.dominant_hazard(density(s, d))
 
 
-@R.add("""SELECT hazard_type, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(lng AS double) || ',' || CAST(lat AS double) ||
-  ']},"properties":{"value":' || risk_score || '}}', ',' ORDER BY lat, lng) || ']}' AS geojson FROM fx_alert WHERE id < 30 GROUP BY hazard_type""")
+@R.add("""SELECT hazard_type, CAST(floor(lat / 4) AS bigint) AS tile_lat, CAST(floor(lng / 4) AS bigint) AS tile_lng, '{"type":"FeatureCollection","features":[' || string_agg('{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(lng AS double) || ',' || CAST(lat AS double) ||
+  ']},"properties":{"value":' || risk_score || '}}', ',' ORDER BY lat, lng) || ']}' AS geojson
+  FROM (SELECT hazard_type, lat, lng, max(risk_score) AS risk_score FROM fx_alert GROUP BY ALL) GROUP BY ALL""")
 def s18_to_geojson(s, d):
-    points = alerts(s, d).where("id < 30").select("hazard_type", "lat", "lng", F.col("risk_score").alias("value"))
-    return dashboard.to_geojson(points, ["hazard_type"])
+    """A collection for each tile of 4 degrees: of each place, of which there are at most a million, the highest risk."""
+    tile = lambda c: F.floor(F.col(c) / 4).cast("long").alias(f"tile_{c}")
+    points = alerts(s, d).groupBy("hazard_type", tile("lat"), tile("lng"), "lat", "lng").agg(F.max("risk_score").alias("value"))
+    return dashboard.to_geojson(points, ["hazard_type", "tile_lat", "tile_lng"])
 
 
 # --- stores and whole pipelines -----------------------------------------------------------------------
@@ -657,11 +668,11 @@ def s5_read_cells(s, d):
     return windows.read_cells(s, path, "hem", "2017-06-03", "2017-06-03").select("window_id", "lead", "cell", "rain_mm_h")
 
 
-@R.add()
+@R.add(inputs.FIXTURE_SQL)
 def v13_build_inputs(s, d):
-    from . import inputs
-
-    return inputs.fixture_inputs(s, d)
+    out = inputs.fixture_inputs(s, d).groupBy("valid_time", "t", "channel_idx")
+    counts = [F.count("*").alias("cells"), *[F.count_if(c).alias(c) for c in ("filled", "valid", "cell_valid")]]
+    return rounded(out.agg(*counts, F.sum("value").alias("total")))
 
 
 @R.add("SELECT b.k AS \"bound\", CAST(b.lo AS double) AS low, CAST(b.hi AS double) AS high, count(e.event_id) AS n FROM (VALUES " + ", ".join(f"('{k}', {a}, {z})" for k, (a, z) in BOUNDS.items()) + ") b(k, lo, hi) LEFT JOIN events e ON e.value BETWEEN b.lo AND b.hi GROUP BY ALL")

@@ -10,7 +10,7 @@ from ..operators.dashboard import limits_table
 from ..sources.windows import shared_path
 from ..streaming import online
 from .fixtures import view
-from .products import IDS, TELE, storm_rows
+from .products import IDS, TELE, season, storm_rows
 from .registry import Registry
 from .verification import rounded
 
@@ -74,23 +74,23 @@ def r3_stream_latest(s, d):
 @R.add()
 def r4_stream_reservoir(s, d):
     """The same rows in one batch give the batch fold's decisions."""
-    rows = storm_rows(s, d).select(F.lit(0).alias("season"), "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"))
+    rows = storm_rows(s, d).select(season(), "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"))
     key = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(key)
     s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return finished(s, online.stream_reservoir(arriving(s, rows.coalesce(1)), replay.Policy(min_history=10, quantile=0.3), capacity=8))
+        return finished(s, online.stream_reservoir(arriving(s, rows.repartition("season").sortWithinPartitions("season", "t_s")), replay.Policy(min_history=10, quantile=0.3), capacity=8))
     finally:
         s.conf.set(key, before)
 
 
-@R.add("""WITH e AS (SELECT user_id % 5 AS season, CAST(floor(epoch(ts)) AS bigint) AS s, value FROM events WHERE user_id % 10 < 5 AND event_type = 'purchase'),
+@R.add("""WITH e AS (SELECT user_id AS season, CAST(floor(epoch(ts)) AS bigint) AS s, value FROM events),
   g AS (SELECT *, sum(CASE WHEN gap <= 10800 THEN 0 ELSE 1 END) OVER (PARTITION BY season ORDER BY s) AS storm FROM (SELECT *, s - lag(s) OVER (PARTITION BY season ORDER BY s) AS gap FROM e))
   SELECT season, min(s) AS start_s, max(s) + 10800 AS end_s, count(*) AS members, round(max(value), 4) AS score FROM g GROUP BY season, storm""")
 def r6_storm_sessions(s, d):
-    e = events(s, d).where("user_id % 10 < 5 and stream = 'imd_surface'")
+    e = events(s, d)
     whole = F.timestamp_seconds(F.unix_seconds("ts"))
-    out = finished(s, online.storm_sessions(arriving(s, e.select(whole.alias("ts"), (F.col("user_id") % 5).alias("season"), F.col("value").alias("score")).coalesce(1)), late="60 days"), "complete")
+    out = finished(s, online.storm_sessions(arriving(s, e.select(whole.alias("ts"), F.col("user_id").alias("season"), F.col("value").alias("score"))), late="60 days"), "complete")
     last = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
     return rounded(last.select("season", F.unix_seconds("start").alias("start_s"), F.unix_seconds("end").alias("end_s"), "members", "score"), 4)
 

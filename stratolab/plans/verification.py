@@ -157,17 +157,17 @@ def d14_promotion_gate(s, d):
     return rounded(decided.withColumn("reasons", F.concat_ws(",", "reasons")))
 
 
-RUNS = "(SELECT row_number() OVER (ORDER BY window_id, lead) AS step, avg(rain_mm_h) AS value FROM fx_target GROUP BY window_id, lead)"
+RUNS = "(SELECT window_id AS model, lead AS step, avg(rain_mm_h) AS value FROM fx_target GROUP BY window_id, lead)"
 
 
-@R.add(f"""WITH r AS {RUNS}, b AS (SELECT *, min(value) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best,
-    max(step) OVER () AS n FROM r)
-  SELECT step, round(value, 6) AS value, coalesce(value IS NOT NULL AND (best IS NULL OR value < best), false) AS is_best,
-    n - step < 3 AS kept FROM b""")
+@R.add(f"""WITH r AS {RUNS}, b AS (SELECT *, min(value) OVER (PARTITION BY model ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best,
+    row_number() OVER (PARTITION BY model ORDER BY step DESC) AS n FROM r)
+  SELECT model, step, round(value, 6) AS value, coalesce(value IS NOT NULL AND (best IS NULL OR value < best), false) AS is_best,
+    n <= 3 AS kept FROM b""")
 def w14_best_run(s, d):
     t = view(s, d, "fx_target").groupBy("window_id", "lead").agg(F.avg("rain_mm_h").alias("value"))
-    runs = t.select(F.row_number().over(Window.orderBy("window_id", "lead")).cast("long").alias("step"), "value")
-    return rounded(verify.best_run(runs, "mae"))
+    runs = t.select(F.col("window_id").alias("model"), F.col("lead").alias("step"), "value")
+    return rounded(verify.best_run(runs, "mae", by=["model"]))
 
 
 # --- districts ----------------------------------------------------------------------
@@ -230,13 +230,9 @@ def a22_extract_impacts(s, d):
     return rounded(impacts(s, d))
 
 
-@R.add(f"{IMPACT} SELECT {COLS} FROM v ORDER BY v.peak_probability DESC, state, district LIMIT 5")
+@R.add(f"{IMPACT} SELECT {COLS} FROM v QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY v.peak_probability DESC, state, district) <= 5")
 def t1_rank_impacts(s, d):
-    one = impact.extract_impacts(probability(s, d).where("window_id = 1"), districts(s, d), by=["window_id"])
-    return rounded(impact.rank_impacts(one, 5))
-
-
-R.sql["t1_rank_impacts"] = R.sql["t1_rank_impacts"].replace("FROM v ORDER", "FROM v WHERE window_id = 1 ORDER")
+    return rounded(impact.rank_impacts(impacts(s, d), 5, ["window_id"]))
 
 
 @R.add(f"""WITH {PROB} SELECT window_id, cell, min(lead) FILTER (probability >= 0.9) AS onset_lead,
@@ -301,8 +297,8 @@ def f23_point_series(s, d):
     return out.select("window_id", "cell", F.concat_ws(",", text).alias("series"))
 
 
-@R.add(f"""WITH {PROB}, one AS (SELECT lead, cell, probability FROM pr WHERE window_id = 1)
-  SELECT c.cell AS point_id, c.grid_row AS "row", c.grid_col AS "col",
+@R.add(f"""WITH {PROB}, one AS (SELECT window_id, lead, cell, probability FROM pr)
+  SELECT window_id, c.cell AS point_id, c.grid_row AS "row", c.grid_col AS "col",
     array_to_string(list(CAST(CAST(round(probability * 1000) AS bigint) AS varchar) ORDER BY lead), ',') AS series,
     round(max(probability), 6) AS peak_probability, arg_max(lead, (probability, -lead)) AS peak_lead,
     min(lead) FILTER (probability >= 0.15) AS onset_lead, max(lead) FILTER (probability >= 0.15) AS expiry_lead,
@@ -311,10 +307,10 @@ def f23_point_series(s, d):
   GROUP BY ALL""")
 def d21_point_forecast(s, d):
     cells = view(s, d, "fx_cell").select("cell", F.col("grid_row").alias("row"), F.col("grid_col").alias("col"), "lat", "lon")
-    now = probability(s, d).where("window_id = 1").join(cells.select("cell", "row", "col"), "cell")
+    now = probability(s, d).join(cells.select("cell", "row", "col"), "cell")
     dc = districts(s, d).join(cells.select("cell", "row", "col"), "cell")
     points = cells.select(F.col("cell").alias("point_id"), "lat", "lon")
-    out = impact.point_forecast(points, now.select("row", "col", "lead", "probability"), dc, SMALL)
+    out = impact.point_forecast(points, now.select("window_id", "row", "col", "lead", "probability"), dc, SMALL, by=["window_id"])
     text = F.transform("series", lambda v: F.round(v * 1000).cast("long").cast("string"))
     out = out.withColumn("series", F.concat_ws(",", text)).withColumn("n_districts", F.size("districts"))
     return rounded(out.drop("districts"))
@@ -322,55 +318,69 @@ def d21_point_forecast(s, d):
 
 # --- index ----------------------------------------------------------------------------
 
-YEARS, MONTHS = [2017, 2018, 2019, 2020], [6, 7, 8, 9]
-SEASON_SQL = """y AS (SELECT DISTINCT 2017 + CAST(n_nationkey % 4 AS int) AS year FROM nation),
-  s AS (SELECT year, 6 AS first_month, 9 AS last_month, make_timestamp(year, 6, 1, 0, 0, 0) AS a,
+# The record is the orders': seasons of its years, and how many orders the day of each valid time has.
+MONTHS = [6, 7, 8, 9]
+SPLIT = {"train_until": "1996-09-30 23:59:59", "validation_from": "1997-06-01 00:00:00"}
+SEASON_SQL = """o AS (SELECT CAST(o_orderdate AS date) AS day, count(*) AS orders FROM orders GROUP BY 1), y AS (SELECT DISTINCT year(day) AS year FROM o),
+  s AS (SELECT CAST(year AS int) AS year, 6 AS first_month, 9 AS last_month, make_timestamp(year, 6, 1, 0, 0, 0) AS a,
     make_timestamp(year, 9, 30, 23, 30, 0) AS b FROM y)"""
 
 
-def years(s, d) -> list[int]:
-    """Season years named by the nation table."""
-    rows = view(s, d, "nation").select((F.lit(2017) + F.col("n_nationkey") % 4).cast("int").alias("y")).distinct()
-    return [r.y for r in rows.collect()]
+def seasons(s, d):
+    years = view(s, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().collect()  # one row a year
+    return index.season_runs(s, sorted(r.y for r in years), MONTHS)
+
+
+def recorded(s, d, times):
+    """times with the orders of their day."""
+    days = view(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
+    return times.withColumn("day", F.to_date("valid_time")).join(days, "day", "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
+
 
+def split(s, d):
+    return index.split_times(index.valid_times(seasons(s, d)), **SPLIT)
 
-@R.add(f"""WITH {SEASON_SQL} SELECT year, first_month, last_month, CAST(epoch(a) AS bigint) AS start_s, CAST(epoch(b) AS bigint) AS end_s FROM s""")
+
+@R.add(f"""WITH {SEASON_SQL} SELECT year, first_month, last_month, CAST(epoch(a) AS bigint) AS start_s, CAST(epoch(b) AS bigint) AS end_s,
+  (SELECT CAST(coalesce(sum(orders), 0) AS bigint) FROM o WHERE day BETWEEN a AND b) AS orders FROM s""")
 def w11_season_runs(s, d):
-    out = index.season_runs(s, years(s, d), MONTHS)
-    return out.select(
-        "year", "first_month", "last_month", F.unix_seconds("season_start").alias("start_s"), F.unix_seconds("season_end").alias("end_s")
-    )
+    runs = seasons(s, d)
+    held = view(s, d, "orders").select(F.year("o_orderdate").alias("year"), F.col("o_orderdate").cast("timestamp").alias("at")).join(runs, "year")
+    counts = held.where("at between season_start and season_end").groupBy("year", "season_start").agg(F.count("*").alias("orders"))
+    return runs.join(counts, ["year", "season_start"], "left").select(
+        "year", "first_month", "last_month", F.unix_seconds("season_start").alias("start_s"), F.unix_seconds("season_end").alias("end_s"),
+        F.coalesce("orders", F.lit(0)).alias("orders"),
+    )
 
 
 TIMES_SQL = f"""{SEASON_SQL}, t AS (SELECT year, unnest(range(CAST(epoch(a) AS bigint) + 6 * 3600, CAST(epoch(b) AS bigint) - 6 * 3600 + 1, 1800)) AS t
   FROM s)"""
 
 
-@R.add(f"WITH {TIMES_SQL} SELECT year, t AS valid_s FROM t")
+@R.add(f"WITH {TIMES_SQL} SELECT year, t AS valid_s, coalesce(orders, 0) AS orders FROM t LEFT JOIN o ON day = CAST(to_timestamp(t) AS date)")
 def v1_valid_times(s, d):
-    out = index.valid_times(index.season_runs(s, years(s, d), MONTHS))
-    return out.select("year", F.unix_seconds("valid_time").alias("valid_s"))
+    return recorded(s, d, index.valid_times(seasons(s, d))).select("year", F.unix_seconds("valid_time").alias("valid_s"), "orders")
 
 
-SPLIT_SQL = f"""WITH {TIMES_SQL}, sp AS (SELECT year, t, CASE WHEN t + 21600 <= epoch(TIMESTAMP '2019-09-30 23:59:59') THEN 'train'
-  WHEN t - 21600 >= epoch(TIMESTAMP '2020-06-01') THEN 'validation' ELSE 'discarded' END AS split FROM t)"""
+SPLIT_SQL = f"""WITH {TIMES_SQL}, sp AS (SELECT year, t, CASE WHEN t + 21600 <= epoch(TIMESTAMP '1996-09-30 23:59:59') THEN 'train'
+  WHEN t - 21600 >= epoch(TIMESTAMP '1997-06-01') THEN 'validation' ELSE 'discarded' END AS split FROM t)"""
 
 
-@R.add(f"{SPLIT_SQL} SELECT year, t AS valid_s, split FROM sp")
+@R.add(f"{SPLIT_SQL} SELECT year, t AS valid_s, split, coalesce(orders, 0) AS orders FROM sp LEFT JOIN o ON day = CAST(to_timestamp(t) AS date)")
 def u2_split_times(s, d):
-    out = index.build_index(s, years(s, d), MONTHS)
-    return out.select("year", F.unix_seconds("valid_time").alias("valid_s"), "split")
+    return recorded(s, d, split(s, d)).select("year", F.unix_seconds("valid_time").alias("valid_s"), "split", "orders")
 
 
-@R.add(f"{SPLIT_SQL} SELECT split, count(*) AS windows FROM sp WHERE split = 'train' OR split = 'validation' GROUP BY split")
+@R.add(f"""{SPLIT_SQL} SELECT split, count(*) AS windows, CAST(sum(coalesce(orders, 0)) AS bigint) AS orders FROM sp LEFT JOIN o ON day = CAST(to_timestamp(t) AS date)
+  WHERE split = 'train' OR split = 'validation' GROUP BY split""")
 def v2_build_index(s, d):
-    return index.build_index(s, years(s, d), MONTHS).where("split != 'discarded'").groupBy("split").agg(F.count("*").alias("windows"))
+    return recorded(s, d, split(s, d)).where("split != 'discarded'").groupBy("split").agg(F.count("*").alias("windows"), F.sum("orders").alias("orders"))
 
 
 @R.add(f"""{SPLIT_SQL} SELECT split, count(*) AS windows, min(t) AS first_s, max(t) AS last_s, min(t) - 21600 AS from_s, max(t) + 21600 AS to_s
   FROM sp GROUP BY split""")
 def a32_split_summary(s, d):
-    out = index.split_summary(index.build_index(s, years(s, d), MONTHS))
+    out = index.split_summary(split(s, d))
     seconds = {"first_s": "first_time", "last_s": "last_time", "from_s": "reaches_from", "to_s": "reaches_to"}
     return out.select("split", "windows", *[F.unix_seconds(c).alias(n) for n, c in seconds.items()])
 
@@ -378,7 +388,7 @@ def a32_split_summary(s, d):
 @R.add(f"""{SPLIT_SQL} SELECT max(t) FILTER (split = 'train') + 21600 AS train_to, min(t) FILTER (split = 'validation') - 21600 AS validation_from,
   (SELECT count(*) FROM (SELECT t FROM sp WHERE split = 'train' INTERSECT SELECT t FROM sp WHERE split = 'validation')) AS shared FROM sp""")
 def u3_disjoint(s, d):
-    out = index.overlap(index.build_index(s, years(s, d), MONTHS))
+    out = index.overlap(split(s, d))
     return out.select(F.unix_seconds("train_to").alias("train_to"), F.unix_seconds("validation_from").alias("validation_from"), "shared")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,52 +43,65 @@ def parse_documents(texts: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("skipped", reason)
 
 
-def _slide(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of at most size characters over one long paragraph, ended at a space where there is one."""
-    out, at = [], 0
-    while True:
-        stop = at + size
-        if stop >= len(text):
-            out.append(text[at:])
-            break
-        gap = text.rfind(" ", at, stop)
-        stop = gap if gap > at else stop
-        out.append(text[at:stop])
-        at = max(stop - overlap, at + size - overlap)
-        if at >= len(text):
-            break
-    return [w for w in (x.strip() for x in out) if w]
+def _next_span(text: str, ends: list[int], done: int, size: int, overlap: int) -> tuple[int, int]:
+    """Where the chunk after the first `done` characters starts and stops.
 
+    It stops at the last paragraph's end within reach. A paragraph that would fit by
+    itself pushes the start forward; a longer one stops at its last space.
+    """
+    start = max(0, done - overlap)
+    reach = bisect_right(ends, start + size)
+    if reach and ends[reach - 1] > done:
+        return start, ends[reach - 1]
+    end = ends[bisect_right(ends, done)]
+    begins = text.rfind("\n\n", done, end) + 2 if "\n\n" in text[done:end] else done
+    if end - begins <= size:
+        return end - size, end
+    space = text.rfind(" ", done + 1, start + size + 1)
+    return start, space if space > 0 else start + size
 
-def chunk_text(body: str | None, size: int = 1200, overlap: int = 150) -> list[str]:
-    """Whole paragraphs packed up to size; a chunk starts with the tail of the one before; long paragraphs slide."""
+
+def chunk_spans(body: str | None, size: int = 1200, overlap: int = 150) -> tuple[str, list[tuple[int, int]]]:
+    """The body with its paragraphs one blank line apart, and where its pieces start and stop."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("the overlap is smaller than the chunk, which is positive")
-    chunks: list[str] = []
-    held = ""
-    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", body or ""))):
-        if len(paragraph) > size:
-            chunks += [held] if held else []
-            chunks += _slide(paragraph, size, overlap)
-            held = ""
-        elif held and len(held) + 2 + len(paragraph) > size:
-            chunks.append(held)
-            held = (held[len(held) - overlap :] + "\n\n" + paragraph).strip() if overlap else paragraph
-        else:
-            held = held + "\n\n" + paragraph if held else paragraph
-    return chunks + [held] if held else chunks
+    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", body or "") if p.strip()]
+    text = "\n\n".join(paragraphs)
+    ends = list(accumulate(len(p) + 2 * (i > 0) for i, p in enumerate(paragraphs)))
+    spans, done = [], 0
+    while done < len(text):
+        start, done = _next_span(text, ends, done, size, overlap)
+        spans.append((start, done))
+    return text, spans
 
 
-def chunks(documents: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """(document, n, text, metadata) of documents (document, body, metadata), n from 0."""
+def chunk_text(body: str | None, size: int = 1200, overlap: int = 150) -> list[str]:
+    """Pieces of at most size characters that cover the body, each from up to overlap characters before the last one's end.
+
+    Paragraphs stand apart by one blank line. A piece ends with a paragraph where it
+    can, else at a space, else anywhere. White space at a piece's ends is left out; null and blank bodies have no piece.
+    """
+    text, spans = chunk_spans(body, size, overlap)
+    return [piece for a, b in spans if (piece := text[a:b].strip())]
 
-    @F.udtf(returnType="n int, text string")
+
+def chunk_places(documents: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
+    """(document, n, start, stop, text) of documents (document, body), n from 0, places in the body as chunk_spans has it."""
+
+    @F.udtf(returnType="n int, start int, stop int, text string")
     class Chunker:
         def eval(self, body: str):
-            yield from enumerate(chunk_text(body, size, overlap))
+            text, spans = chunk_spans(body, size, overlap)
+            kept = [(a, b, piece) for a, b in spans if (piece := text[a:b].strip())]
+            for n, (a, b, piece) in enumerate(kept):
+                yield n, a, b, piece
+
+    return documents.lateralJoin(Chunker(F.col("body").outer()))
 
-    cut = documents.lateralJoin(Chunker(F.col("body").outer()))
-    return cut.select("document", "n", "text", "metadata")
+
+def chunks(documents: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
+    """(document, n, text, metadata) of documents (document, body, metadata), n from 0."""
+    return chunk_places(documents, size, overlap).select("document", "n", "text", "metadata")
 
 
 def chunk_id(document: Column, n: Column) -> Column:

@@ -14,10 +14,15 @@ RESERVOIR_VERSION = 1
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a session on one machine gets a folder of its own; a cluster is refused.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-stratolab-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -38,6 +43,11 @@ def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
 
 
+def fingerprint_of(config) -> F.Column:
+    """The same of a map<string,string> column: sixteen hex digits of its JSON in order of keys."""
+    return F.substring(F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(config)))), 256), 1, 16)
+
+
 def write_windows(windows: DataFrame, root: str, fp: str) -> None:
     """Windows (valid_time, kind, accepted, reason, ..) under their fingerprint, kind and date.
 

@@ -7,12 +7,14 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratolab.functions import geo, scalar
 from stratolab.functions.geo import Grid
 from stratolab.operators import advisory, assemble, dashboard, impact, index, norm, qc, regrid, replay, sync, verify
-from stratolab.plans import checks
+from stratolab.plans import checks, inputs
 from stratolab.schema import BIT, CHANNELS
 from stratolab.sources import catalog, corpus, grd, windows
 
@@ -31,40 +33,52 @@ def pairs(spark, members, observed):
 
 
 def test_contingency_counts(spark):
-    r = verify.contingency(pairs(spark, [[20, 2, 20, 2]], [20, 20, 2, 2]), 15.0).first()
-    assert (r.hits, r.misses, r.false_alarms, r.correct_negatives) == (1, 1, 1, 1)
-    s = verify.skill(verify.contingency(pairs(spark, [[20, 2, 20, 2]], [20, 20, 2, 2]), 15.0)).first()
-    assert (s.csi, s.pod, s.far, s.events_observed) == (pytest.approx(1 / 3), 0.5, 0.5, 2)
+    said, seen = [[14, 3, 30, 1, 13]], [13, 12, 5, 0, 40]
+    r = verify.contingency(pairs(spark, said, seen), 12.0).first()
+    assert (r.hits, r.misses, r.false_alarms, r.correct_negatives) == (2, 1, 1, 1)
+    s = verify.skill(verify.contingency(pairs(spark, said, seen), 12.0)).first()
+    assert (s.csi, s.pod, s.far, s.events_observed) == (0.5, pytest.approx(2 / 3), pytest.approx(1 / 3), 3)
 
 
 def test_threshold_is_inclusive_and_masks_count_nowhere(spark):
-    r = verify.contingency(pairs(spark, [[15, 20]], [15, None]), 15.0).first()
-    assert (r.hits, r.false_alarms) == (1, 0)
+    r = verify.contingency(pairs(spark, [[12, 50, 4]], [12, None, 12.5]), 12.0).first()
+    assert (r.hits, r.false_alarms, r.misses, r.correct_negatives) == (1, 0, 1, 0)
 
 
 def test_undefined_score_is_null(spark):
-    s = verify.skill(verify.contingency(pairs(spark, [[0, 1]], [0, 1]), 15.0)).first()
+    s = verify.skill(verify.contingency(pairs(spark, [[3, 5, 7]], [1, 2, 3]), 12.0)).first()
     assert s.csi is None and s.pod is None and s.far is None and s.events_observed == 0
 
 
 def test_mean_over_members(spark):
-    s = verify.skill(verify.contingency(pairs(spark, [[20], [0]], [20]), 15.0)).first()
-    assert s.csi == 0.5
+    s = verify.skill(verify.contingency(pairs(spark, [[30], [40], [5]], [25]), 12.0)).first()
+    assert s.csi == pytest.approx(2 / 3)
 
 
 def test_pooling_counts_beats_averaging_scores(spark):
-    rows = [(0, 10, 0, 0, 0, 15.0), (0, 0, 1, 0, 0, 15.0)]
+    rows = [(7, 3, 1, 0, 2, 12.0), (7, 0, 1, 4, 9, 12.0)]  # alone 3/4 and 0, pooled 3 of 9
     t = spark.createDataFrame(rows, "member int, hits int, misses int, false_alarms int, correct_negatives int, threshold double")
-    assert verify.skill(verify.pool_tables(t)).first().csi == pytest.approx(10 / 11)
-    mixed = t.unionByName(t.withColumn("threshold", F.lit(2.5)))
+    assert verify.skill(verify.pool_tables(t)).first().csi == pytest.approx(1 / 3)
+    mixed = t.unionByName(t.withColumn("threshold", F.lit(3.5)))
     with pytest.raises(Exception, match="do not pool"):
         verify.pool_tables(mixed).collect()
 
 
 def test_mae_and_crps(spark):
-    assert verify.ensemble_mae(pairs(spark, [[10], [20]], [12])).first().mae == 3.0
-    assert verify.crps(pairs(spark, [[10], [10]], [12])).first().crps == 2.0
-    assert verify.crps(pairs(spark, [[10], [14]], [12])).first().crps < 2.0
+    assert verify.ensemble_mae(pairs(spark, [[4], [9], [11]], [6])).first().mae == 2.0
+    assert verify.crps(pairs(spark, [[7], [7], [7]], [3])).first().crps == 4.0
+    assert verify.crps(pairs(spark, [[1], [5]], [4])).first().crps == 1.0  # mean distance 2, half the spread 1
+
+
+def test_score_takes_the_metrics_asked_for(spark):
+    p = pairs(spark, [[1, 20], [5, 20]], [4, 20])
+    names = lambda m: {r.name for r in verify.score(p, 12.0, "heavy", m).collect()}
+    assert names(("crps",)) == {"crps", "windows"} and names(("far", "mae")) == {"far_heavy", "events_observed", "mae", "windows"}
+    got = {r.name: r.value for r in verify.score(p, 12.0, "heavy").collect()}
+    assert got == {"csi_heavy": 1.0, "pod_heavy": 1.0, "far_heavy": 0.0, "events_observed": 2.0, "mae": 0.5, "crps": 0.5, "windows": 1.0}
+    for wrong in ({"threshold": 0.0}, {"metrics": ("bias",)}, {"metrics": ()}):
+        with pytest.raises(ValueError):
+            verify.score(p, **({"threshold": 12.0, "band": "heavy"} | wrong))
 
 
 def gate(spark, cand, inc):
@@ -73,16 +87,16 @@ def gate(spark, cand, inc):
     return verify.promotion_gate(verify.gate_join(spark.createDataFrame(row(cand), kind), spark.createDataFrame(row(inc), kind))).first()
 
 
-BASE = {"csi_heavy": 0.40, "far_heavy": 0.30, "crps": 1.0, "events_observed": 200.0}
+BASE = {"csi_heavy": 0.31, "far_heavy": 0.52, "crps": 2.4, "events_observed": 340.0}
 
 
 @pytest.mark.parametrize(
     ("change", "promote", "reason"),
     [
-        ({"csi_heavy": 0.42}, True, "improved"),
-        ({"csi_heavy": 0.402}, False, "short_of_delta"),
-        ({"csi_heavy": 0.42, "far_heavy": 0.40}, False, "regressed:far_heavy"),
-        ({"csi_heavy": 0.42, "events_observed": 4.0}, False, "event_floor"),
+        ({"csi_heavy": 0.35}, True, "improved"),
+        ({"csi_heavy": 0.313}, False, "short_of_delta"),
+        ({"csi_heavy": 0.35, "far_heavy": 0.6}, False, "regressed:far_heavy"),
+        ({"csi_heavy": 0.35, "events_observed": 12.0}, False, "event_floor"),
         ({"csi_heavy": float("nan")}, False, "undefined_monitor"),
     ],
 )
@@ -94,7 +108,7 @@ def test_gate_decisions(spark, change, promote, reason):
 def test_gate_without_an_incumbent(spark):
     r = gate(spark, BASE, {})
     assert r.promote and r.reasons == ["first_model"] and r.delta is None
-    r = gate(spark, BASE, {"crps": 1.0})
+    r = gate(spark, BASE, {"crps": 2.6})
     assert r.promote and r.reasons == ["unknown_incumbent"]
 
 
@@ -358,6 +372,40 @@ def test_moving_field_is_filled(spark):
     out = sync.fill_advective(spark.createDataFrame(rows, "seq int, frame int, row int, col int, value double"), 12, 4)
     got = {(r.row, r.col): r.value for r in out.where("frame = 1").collect()}
     assert got[4, 5] == 100.0 and got[5, 5] == 100.0 and got[4, 3] == 0.0 and got[4, 7] == 0.0
+    assert {r.qc_flag for r in out.where("frame = 1").collect()} == {BIT["GAP_FILLED_OPTICAL_FLOW"]}
+    assert {r.qc_flag for r in out.where("frame != 1").collect()} == {0}
+
+
+@pytest.mark.parametrize(("seen", "filled"), [(10, 0), (40, 144)])
+def test_anchors_need_coverage(spark, seen, filled):
+    """A frame with a value in fewer than a quarter of its cells is no anchor."""
+    rows = [(0, f, r, c, 5.0 if f == 0 or (f == 2 and 12 * r + c < seen) else None) for f in range(3) for r in range(12) for c in range(12)]
+    out = sync.fill_advective(spark.createDataFrame(rows, "seq int, frame int, row int, col int, value double"), 12, 2)
+    assert out.where("filled and frame = 1").count() == filled
+
+
+def test_missing_slots_stay_in_the_window(spark):
+    """13 frames come out of 12, the missing one blended, categories not, statics in every frame."""
+    grid = Grid(0.0, 1.0, 0.0, 1.0, 1.0, 2, 2)
+    slots = [k * 1800 for k in range(13) if k != 5]
+    frames = spark.createDataFrame([("insat", x, 0) for x in slots], "stream string, slot_s long, qc_flag int")
+    cells = spark.createDataFrame(
+        [(x, ch, r, c, float(r), float(c), float(v)) for x in slots for r in (0, 1) for c in (0, 1) for ch, v in (("rain", x / 1800), ("kind", 1 + 2 * (x > 9000)))],
+        "slot_s long, channel string, row int, col int, lat double, lon double, value double",
+    )
+    static = spark.createDataFrame([("dem", r, c, 7.0) for r in (0, 1) for c in (0, 1)], "channel string, row int, col int, value double")
+    channels = spark.createDataFrame(
+        [(0, "g", "rain", "continuous", "none", None, False), (1, "g", "kind", "categorical", "none", None, False), (2, "s", "dem", "continuous", "none", None, True)],
+        "idx int, grp string, channel string, kind string, method string, transform string, is_static boolean",
+    )
+    stats = norm.build_channel_stats(cells)
+    times = spark.createDataFrame([(12 * 1800,), (40 * 1800,)], "t0_s long")
+    got = inputs.build_inputs(times, frames, cells, static, stats, channels, channels, streams=["insat"], source=grid, target=grid)
+    assert {r.valid_time for r in got.collect()} == {12 * 1800} and got.count() == 13 * 3 * 4
+    at = {(r.t, r.channel_idx): r for r in got.where("row = 1 and col = 0").collect()}
+    assert at[5, 0].value == 5.0 and at[5, 0].filled and at[4, 0].value == 4.0 and not at[4, 0].filled
+    assert at[5, 1].value in (1.0, 3.0) and at[5, 2].value == 7.0 and not at[5, 2].filled
+    assert all(r.valid and r.cell_valid for r in at.values())
 
 
 # --- replay -----------------------------------------------------------------------------------------
@@ -432,7 +480,8 @@ def test_corpus(spark, tmp_path):
 
 def test_chunker(spark):
     assert corpus.chunk_text("one\n\ntwo\n\nthree", 9, 0) == ["one\n\ntwo", "three"]
-    assert corpus.chunk_text("one\n\ntwo\n\nthree", 9, 3) == ["one\n\ntwo", "two\n\nthree"]
+    assert corpus.chunk_text("one\n\ntwo\n\nthree", 9, 3) == ["one\n\ntwo", "wo\n\nthree"]
+    assert corpus.chunk_text("x" * 2000 + " tail of it", 1200, 150)[-1].endswith("tail of it")
     long = "word " * 50
     cut = corpus.chunk_text(long, 40, 10)
     assert all(len(c) <= 40 for c in cut) and all(c.split() == ["word"] * len(c.split()) for c in cut[:1])
@@ -443,6 +492,21 @@ def test_chunker(spark):
     assert [(r.document, r.n, r.text) for r in corpus.chunks(docs, 4, 0).collect()] == [("d", 0, "one"), ("d", 1, "two")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bcd", " ", "\n\n", "\n", "x" * 40, "é"]), max_size=60).map("".join), st.integers(1, 50), st.integers(0, 49))
+def test_chunks_cover_the_text(body, size, overlap):
+    if overlap >= size:
+        return
+    text, spans = corpus.chunk_spans(body, size, overlap)
+    assert "".join(text.split()) == "".join(body.split())
+    assert all(0 <= b - a <= size for a, b in spans)
+    done = 0
+    for a, b in spans:
+        assert not text[done:a].strip() and done < b and done - a <= overlap
+        done = b
+    assert done == len(text)
+
+
 def test_stores(spark, tmp_path):
     root = f"file://{tmp_path}"
     rows = [(dt.datetime(2017, 6, 1, 6), "input", True, None, 1.0), (dt.datetime(2017, 6, 2, 6), "input", False, "gap", 2.0)]
@@ -515,10 +579,10 @@ def test_alert_document(spark):
 
 def test_prompt(spark):
     text = alert_row(spark).select(advisory.prompt_text().alias("p")).first().p
-    for part in ("District: D, S", "Impact begins: +1.0 h (2020-07-01T07:00:00Z)", "heavy rain: 75%", "Affected area: 160 km2 (31% of the district)", "Peak rain rate: 36 mm/h", "NOTE: region could not", "- u850: raised the probability", "[k1] (src)\ntext"):
+    for part in ("place = D, S", "starts = 2020-07-01T07:00:00Z, in 1.0 h", "heavy rain = 75%", "area hit = 160 km2, 31% of the place", "strongest rain = 36 mm/h", "not known = region", "u850 raised it", "k1 from src: text"):
         assert part in text, part
     empty = alert_row(spark).withColumns({"guidelines": F.slice("guidelines", 1, 0), "empty_reason": F.lit("none match")})
-    assert "CONTEXT_EMPTY\nReason: none match" in empty.select(advisory.prompt_text().alias("p")).first().p
+    assert "nothing found: none match" in empty.select(advisory.prompt_text().alias("p")).first().p
 
 
 def test_event_peaks_and_timeline(spark):

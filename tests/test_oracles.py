@@ -8,9 +8,9 @@ import os
 import duckdb
 import pytest
 
-from stratolab.plans import alignment, products, streams, verification
+from stratolab.plans import alignment, catalogue, products, streams, verification
 
-REGISTRIES = [m.R for m in (verification, alignment, products, streams)]
+REGISTRIES = [m.R for m in (verification, alignment, products, catalogue, streams)]
 QUERIES = {n: q for r in REGISTRIES for n, q in r.queries.items()}
 ORACLES = {n: q for r in REGISTRIES for n, q in r.oracles().items()}
 
