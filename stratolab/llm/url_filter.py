@@ -16,9 +16,11 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread_join, stored
+
 
 class Rule(NamedTuple):
     name: str
@@ -38,11 +40,13 @@ def host_rule(verdict: str, rule: str) -> Rule:
 
 
 def pattern_rule(verdict: str, pattern: str) -> Rule:
-    """A pattern with `*` for any run and `^` for a separator or the end, anywhere in the URL.
+    """A pattern with `*` for any run and `^` for a separator or the end, or in front for a separator or the start, anywhere in the URL.
 
     Tokens are its literal runs that stand between separators; one is needed.
     """
-    regex = "".join({"*": ".*", "^": r"(?:[^\w.%-]|$)"}.get(c, re.escape(c)) for c in pattern)
+    rest = pattern.removeprefix("^")
+    start = r"(?:^|[^\w%-])" if rest != pattern else ""
+    regex = start + "".join({"*": ".*", "^": r"(?:[^\w.%-]|$)"}.get(c, re.escape(c)) for c in rest)
     tokens = tuple(re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", pattern.lower()))
     if not tokens:
         raise ValueError(f"no whole literal token in {pattern!r}")
@@ -57,12 +61,28 @@ HOST_RULES = (
     host_rule("block", "net/fr/"),
 )
 PATTERN_RULES = (
-    pattern_rule("block", ".cheap-pills."),
-    pattern_rule("block", ".casino."),
-    pattern_rule("block", "/adult/"),
+    pattern_rule("block", "spam-farm."),
+    pattern_rule("block", "casino-win."),
+    pattern_rule("block", "free-bets."),
+    pattern_rule("block", "cheap-pills."),
+    pattern_rule("block", "adult-x."),
     pattern_rule("block", "?affiliate="),
     pattern_rule("allow", "/en/help/"),
 )
+RULE = "name string, verdict string, regex string, tokens array<string>, weight int"
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """Rules of a text file: a line each with verdict, `host` or `pattern`, and the rule; `#` starts a comment."""
+    found = []
+    for r in spark.read.text(path).collect():  # a rule list is a small file, made by hand
+        parts = r.value.partition("#")[0].split(maxsplit=2) if not r.value.startswith("#") else []
+        if parts:
+            verdict, kind, rule = (*parts, "", "")[:3]
+            if verdict not in ("allow", "block") or kind not in ("host", "pattern") or not rule:
+                raise ValueError(f"no rule: {r.value!r}")
+            found.append({"host": host_rule, "pattern": pattern_rule}[kind](verdict, rule.strip()))
+    return tuple(found)
 
 
 def host_of(url: Column) -> Column:
@@ -114,26 +134,29 @@ def judge(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
-    rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES,
-    max_rules: int = 1000,
+    rules: tuple[Rule, ...] | DataFrame = HOST_RULES + PATTERN_RULES,
+    max_rules: int = 500,
 ) -> DataFrame:
     """Per row: id, host, path, rule (the host rule that decides, else null), verdict.
 
     Null URLs, and those without `://`, have empty host and path and are
-    allowed, as is all that no rule fits. Rows repeat as they come. The index is
-    a literal of the plan, so it reaches tasks without a shuffle; more than
-    max_rules rules are judged in parts of that many, and the parts' findings
-    merged in the row, so their number has no bound.
+    allowed, as is all that no rule fits. Rows repeat as they come. An index of up to
+    max_rules rules is a literal of the plan, so it reaches tasks without a shuffle. A
+    longer list, or one that is a table (name, verdict, regex, tokens, weight), is joined by token:
+    both ways give the same rows.
     """
+    if isinstance(rules, DataFrame) or len(rules) > max_rules:
+        if not isinstance(rules, DataFrame):
+            rows = [(r.name, r.verdict, r.regex, list(r.tokens), r.weight) for r in rules]
+            rules = urls.sparkSession.createDataFrame(rows, RULE)
+        return _by_table(urls, rules, id_col, url_col)
     counts = token_counts(urls, rules, url_col) if rules else {}
     url = F.col(url_col)
     read = urls.select(
         F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), _target(url).alias("target")
     ).withColumn("tokens", _tokens(F.col("target")))
     found = F.array().cast("array<struct<weight:int,name:string,verdict:string>>")
-    for at in range(0, len(rules), max_rules):
-        found = F.concat(found, _fitting(rules[at : at + max_rules], counts))
-    judged = read.withColumn("found", found)
+    judged = read.withColumn("found", _fitting(rules, counts) if rules else found)
     hosts = F.filter("found", lambda r: r["weight"] > 0)
     best = F.array_max(hosts)
     plain = F.filter("found", lambda r: r["weight"] == 0)
@@ -146,6 +169,39 @@ def judge(
     )
 
 
+def _by_table(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> DataFrame:
+    """Distinct URLs' tokens meet the index in an equi-join; what it fetches is tried, and goes back by the URL's digest.
+
+    Only tokens that a rule is filed under leave the first join, so common ones are
+    dropped before any shuffle of rules or texts.
+    """
+    url = F.col(url_col)
+    rows = urls.select(F.col(id_col), url.alias("__url"), F.unhex(F.sha2(F.encode(url, "UTF-8"), 256)).alias("key"))
+    texts = stored(rows.where("key is not null").groupBy("key").agg(F.first("__url").alias("u"), F.count("*").alias("copies")), "urls")
+    target = texts.select("key", _target(F.col("u")).alias("target"))
+    held = target.select("key", F.explode(_tokens(F.col("target"))).alias("token"))
+    named = rules.withColumn("rule", F.struct("weight", "name", "verdict", "regex")).select("rule", F.explode("tokens").alias("token"))
+    counts = held.join(named.select("token").distinct(), "token").groupBy("token").count()
+    filed = named.join(counts, "token", "left").groupBy("rule").agg(
+        F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")
+    )
+    fetched = held.join(stored(filed, "url-rules"), "token").select("key", "rule")
+    tried = fetched.join(target, "key").where(F.regexp_like("target", F.col("rule.regex")))
+    host = F.col("rule.weight") > 0
+    best = tried.groupBy("key").agg(
+        F.max(F.when(host, F.struct("rule.weight", "rule.name", "rule.verdict"))).alias("best"),
+        F.bool_or(F.when(~host, F.col("rule.verdict") == "block")).alias("block"),
+        F.bool_or(F.when(~host, F.col("rule.verdict") == "allow")).alias("allow"),
+    )
+    known = stored(best.join(texts.select("key", "copies"), "key"), "url-verdicts")
+    joined = spread_join(rows, known, "key", rows.count(), "left")
+    fallback = F.when(F.coalesce("block", F.lit(False)) & ~F.coalesce("allow", F.lit(False)), "block").otherwise("allow")
+    return joined.select(
+        id_col, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"),
+        F.col("best.name").alias("rule"), F.coalesce("best.verdict", fallback).alias("verdict"),
+    )
+
+
 def _fitting(rules: tuple[Rule, ...], counts: dict[str, int]) -> Column:
     """The rules that fit: fetched by token from the index, then tried."""
     index: dict[str, list[Rule]] = {}
@@ -189,8 +245,9 @@ m AS (
   GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, m.rule,
   coalesce(m.rule_verdict,
-    CASE WHEN (contains(host || tail, '.cheap-pills.') OR contains(host || tail, '.casino.')
-               OR contains(host || tail, '/adult/') OR contains(host || tail, '?affiliate='))
+    CASE WHEN (contains(host || tail, 'spam-farm.') OR contains(host || tail, 'casino-win.')
+               OR contains(host || tail, 'free-bets.') OR contains(host || tail, 'cheap-pills.')
+               OR contains(host || tail, 'adult-x.') OR contains(host || tail, '?affiliate='))
               AND NOT contains(host || tail, '/en/help/')
          THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (page_id)

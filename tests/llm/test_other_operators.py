@@ -94,7 +94,7 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("most", [1000, 2])
+@pytest.mark.parametrize("most", [500, 2])
 def test_url_rules(spark, most):
     frame = spark.createDataFrame(
         [(i, u[0], "t") for i, u in enumerate(URLS)], "page_id long, url string, tokens string"
@@ -107,6 +107,30 @@ def test_url_rules(spark, most):
 def test_url_plan_has_no_python(spark, sf_dir):
     plan = url_filter.judge(table(spark, sf_dir, "pages"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+    long = url_filter.judge(table(spark, sf_dir, "pages"), max_rules=2)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in long and "BatchEvalPython" not in long
+
+
+def test_long_rule_lists_and_long_urls(spark, tmp_path):
+    """A list too long for a plan, read from a file; a very long URL; repeated and null rows; pattern rules decide some."""
+    lines = ["# hosts", "block host bad7.example.org/", "allow pattern /en/help/  # help", *[f"block pattern ^rare{i}.host" for i in range(3000)], ""]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    rules = url_filter.read_rules(spark, f"file://{tmp_path}/rules.txt")
+    assert len(rules) == 3002
+    urls = [f"http://rare{i}.host/x" for i in (5, 2999, 3000)] + ["http://rare5.host/en/help/a", "http://a.bad7.example.org/q", None, None]
+    urls += ["http://rare5.host/x", "http://ok.org/" + "a/" * 100_000 + "rare17.host"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(frame, rules=rules).collect()}
+    block, allow = (None, "block"), (None, "allow")
+    assert got == dict(enumerate([block, block, allow, allow, ("bad7.example.org/", "block"), allow, allow, block, block]))
+    (tmp_path / "bad.txt").write_text("deny host x/")
+    with pytest.raises(ValueError, match="no rule"):
+        url_filter.read_rules(spark, f"file://{tmp_path}/bad.txt")
+
+
+def test_patterns_decide_given_pages(spark):
+    got = url_filter.judge(table(spark, "/root/testdata/sf0.01", "pages"))
+    assert got.where("rule is null and verdict = 'block'").count() > 2
 
 
 def test_shards_obey_the_law(spark):
