@@ -4,14 +4,17 @@ Words are runs of characters other than ASCII control, punctuation and
 space, with A-Z lower-cased. Separators are single ASCII bytes, so one byte
 translation normalises a text; words keep their order, which maps hits back to
 offsets of the original text. Each text is scanned once per automaton. The
-automaton is broadcast, so its size is checked: a benchmark above the bound is
+items are sent to every task, so their size is checked: a benchmark above the bound is
 cut into blocks of items that are scanned one after the other in the same
-narrow pass over the documents. No shuffle takes place.
+narrow pass over the documents. A Python worker builds a block's automaton once. No shuffle takes place.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -23,6 +26,7 @@ _SEPARATOR = bytes(
     32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
 )
 _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else _SEPARATOR[c] for c in range(256))
+_FIRST = 0xE000  # the first word's character, behind those that no text may hold
 _SCANNED = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
 
 
@@ -30,47 +34,59 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def windows(text: str | None, window: int) -> set[bytes]:
-    """The item's windows; an item shorter than a window is one window itself."""
-    found = words(text)
-    if not found:
-        return set()
-    return {b" ".join(found[i : i + window]) for i in range(max(1, len(found) - window + 1))}
+class Scanner(NamedTuple):
+    """The automaton over words as numbers, each a character, and the numbers of the items' words."""
 
+    built: ahocorasick.Automaton
+    number: dict[bytes, str]
 
-def automaton(items: list[tuple[str, str]], window: int) -> ahocorasick.Automaton | None:
-    """One automaton over all windows; a value is (words in the window, items that hold it)."""
-    holders: dict[bytes, set[str]] = {}
+
+def automaton(items: list[tuple[str, str]], window: int) -> Scanner | None:
+    """One automaton over all windows; a value is (words in the window, items that hold it).
+
+    Words are numbered, so a window takes as many states as it has words at most, and windows
+    that begin alike share them. A word that no item has is no step of the automaton.
+    """
+    number: dict[bytes, str] = {}
+    holders: dict[str, set[str]] = {}
     for item_id, text in items:
-        for w in windows(text, window):
-            holders.setdefault(w, set()).add(item_id)
+        found = "".join([number.setdefault(w, chr(_FIRST + len(number))) for w in words(text)])
+        for i in range(max(1, len(found) - window + 1)) if found else ():
+            holders.setdefault(found[i : i + window], set()).add(item_id)
     if not holders:
         return None
     built = ahocorasick.Automaton()
     for w, ids in holders.items():
-        built.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, sorted(ids)))
+        built.add_word(w, (len(w), sorted(ids)))
     built.make_automaton()
-    return built
+    return Scanner(built, number)
+
+
+_BUILT: dict[tuple[str, int], Scanner | None] = {}
 
 
-def _hits(built: ahocorasick.Automaton | None, found: list[bytes]) -> tuple[np.ndarray, set[str]] | None:
+def _cached(items: list[tuple[str, str]], digest: str, window: int) -> Scanner | None:
+    """One automaton for each benchmark block and Python worker, of the few last used."""
+    if (digest, window) not in _BUILT:
+        if len(_BUILT) >= 2:
+            _BUILT.clear()
+        _BUILT[digest, window] = automaton(items, window)
+    return _BUILT[digest, window]
+
+
+def _hits(scanner: Scanner | None, found: list[bytes]) -> tuple[np.ndarray, set[str]] | None:
     """Which words are hit, and by which items; None without any hit."""
-    if built is None or not found:
+    if scanner is None or not found:
         return None
-    line = f" {b' '.join(found).decode('latin-1')} "
-    matches = list(built.iter(line))
-    if not matches:
-        return None
-    # The space after word i stands at ends[i]; a match ends on that of its last word.
-    ends = np.cumsum([1 + len(w) for w in found])
-    last = np.searchsorted(ends, [end for end, _ in matches])
-    edge = np.zeros(len(found) + 1, dtype=np.int64)
-    items: set[str] = set()
-    for stop, (_, (n, ids)) in zip(last.tolist(), matches, strict=True):
-        edge[stop + 1 - n] += 1
-        edge[stop + 1] -= 1
+    line = "".join(map(scanner.number.get, found, repeat("\0")))
+    edge = items = None
+    for last, (n, ids) in scanner.built.iter(line):
+        if edge is None:
+            edge, items = np.zeros(len(found) + 1, dtype=np.int64), set()
+        edge[last + 1 - n] += 1
+        edge[last + 1] -= 1
         items.update(ids)
-    return np.cumsum(edge)[:-1] > 0, items
+    return None if edge is None else (np.cumsum(edge)[:-1] > 0, items)
 
 
 def _char_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
@@ -90,8 +106,10 @@ def _char_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 def _scanner(items: list[tuple[str, str]], window: int, at: int, previous: int | None):
     """A pass over Arrow batches; the found columns stand last and are added to, if there already."""
 
+    digest = hashlib.sha256(repr(sorted(items)).encode()).hexdigest()
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(items, window)
+        built = _cached(items, digest, window)
         for batch in batches:
             kept = batch.columns if previous is None else batch.columns[:previous]
             before = None if previous is None else [c.to_pylist() for c in batch.columns[previous:]]
@@ -142,7 +160,7 @@ def scan(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    max_block_chars: int = 4_000_000,
+    max_block_chars: int = 1_500_000,
 ) -> DataFrame:
     """docs with n_words, n_hit, items and spans (character offsets) of benchmark windows.
 
@@ -150,7 +168,8 @@ def scan(
     or empty text has no words and no hit. Benchmark rows with a null id or text
     take no part; rows that repeat an id add to that item's windows. Columns of
     docs named as one of the four results are replaced. max_block_chars bounds
-    the item text in one broadcast automaton; larger benchmarks take more passes.
+    the item text in one automaton, whose states take some hundred bytes a character at
+    most; larger benchmarks take more automata.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")
