@@ -8,9 +8,10 @@ the full distance then drops the rest, and the floats of what remains are
 reranked by exact cosine.
 
 Rotations and radius are fitted on a bounded sample. The index holds every row,
-in blocks of a fixed number of rows; queries are dealt to blocks in blocks of
-their own, and a pair of blocks is one unit of work whose memory is bounded.
-It returns k rows a query, so nothing of the candidates is shuffled.
+in blocks of a fixed number of rows; queries, a stated set, are dealt to blocks in blocks
+of their own. A task takes one block and a bounded number of query blocks, so its
+memory and its work are bounded. It returns k rows a query, so nothing of the
+candidates is shuffled.
 """
 
 from __future__ import annotations
@@ -185,13 +186,14 @@ def nearest(
     vector_col: str = "embedding",
     block_rows: int = 4000,
     query_rows: int = 500,
+    task_blocks: int = 32,
     **fit_options,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of rows whose id is divisible by query_every.
 
     Vectors that are null, zero, or hold a null or non-finite component take no
-    part, nor do null ids, nor vectors whose length is not that of the row with
-    the smallest id. Ties go to the smaller id. A query's own id is never
+    part, nor do null ids, nor vectors whose length is not the commonest, the larger of
+    equals. Ties go to the smaller id. A query's own id is never
     returned; further rows that repeat an id count as candidates of other queries,
     and as further queries give no rows of their own. With fewer than k
     candidates all are returned. An empty table gives no row.
@@ -203,11 +205,12 @@ def nearest(
         .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
         .where(F.exists("v", lambda x: x != 0))
     )
-    about = usable.agg(F.min_by(F.size("v"), F.struct("vec_id", "v")).alias("dims"), F.count("*").alias("n")).first()
-    dims = about.dims or 1
+    lengths = usable.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims"))
+    about = lengths.first()
+    dims, n_rows = (about.dims, about.n) if about else (1, 0)
     usable = usable.where(F.size("v") == dims)
     model = fit(usable, dims, k=k, **fit_options)
-    base_blocks = max(1, -(-about.n // block_rows))
+    base_blocks = max(1, -(-n_rows // block_rows))
     asked = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0)
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_asked = asked.count()
@@ -216,8 +219,11 @@ def nearest(
         model = Model(np.zeros((dims, _SUB)), 0)
     base = stored(_blocks(usable, "b", base_blocks), "ann-base")
     asks = stored(_blocks(asked, "q", query_blocks), "ann-queries")
-    pairs = base.select("bb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    dealt = pairs.join(asks, "qb").join(base, "bb").select("bi", "bx", "qi", "qx")
+    # Query blocks in groups: one row each to every block; a block once to each group.
+    groups = -(-query_blocks // task_blocks)
+    asked_of = asks.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(base_blocks - 1)))).withColumn("group", F.pmod("qb", F.lit(groups)))
+    blocks = base.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = blocks.join(asked_of, ["bb", "group"]).select("bi", "bx", "qi", "qx")
     found = dealt.mapInArrow(_search(model, k, dims), "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
