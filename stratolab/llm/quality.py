@@ -143,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_r
 
     At most max_rows labels are taken, those with the smallest hash of the id, so
     the choice depends on nothing else. Null ids and labels take no part; ids that
-    repeat count as often as they are paired. Only texts of chosen rows are
-    turned into statistics, and only statistics reach the driver.
+    repeat count as often as they are paired, but of the pairs as well no more than max_rows are
+    learned from. Only texts of chosen rows are turned into statistics, and only those reach the driver.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("double").alias("y"))
@@ -154,14 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_r
         .limit(max_rows)
     )
     # At most max_rows ids and labels: a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "id", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "id", "y"])
 
-    got = sorted((tuple(r.x), r.y) for r in rows.mapInArrow(run, "x array<double>, y double").collect())
+    id_type = chosen.schema["id"].dataType.simpleString()
+    paired = rows.mapInArrow(run, f"x array<double>, id {id_type}, y double").orderBy(F.xxhash64("id"), "id", "y", "x").limit(max_rows)
+    got = sorted((tuple(r.x), r.y) for r in paired.select("x", "y").collect())
     x = np.array([r[0] for r in got]).reshape(len(got), N_FEATURES)
     return learn(x, np.array([r[1] for r in got]), **options)
 
