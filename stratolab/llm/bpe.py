@@ -7,7 +7,8 @@ merge list's sufficient lookahead: a token that ends so far before the last byte
 read is stable. A long run of bytes is encoded through a buffer of fixed size;
 stable tokens leave it, and encoding starts anew at their end. Short pieces, which
 fit the buffer whole, are remembered in a table of fixed size. Decoding is a
-byte-to-text state machine that holds back an unfinished character.
+byte-to-text state machine that holds back an unfinished character. Ids go from
+the encoder to a digest and to the decoder as they become stable.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -30,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # On texts of these characters the two engines agree, and the standard library's is faster.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ſ–—‘’“”…¿¡«»]*")
 _QUICK = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 _PIECE_CHARS = 1 << 16
 _ID, _NONE = (1 << 24) - 1, 1 << 62
 
@@ -140,64 +143,83 @@ class Transducer:
         yield from self.merged(held)
 
     def _fresh(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece that fits the buffer; short ones are remembered."""
         raw = piece.encode()
-        ids = tuple(self.merged(raw) if len(raw) < self.buffer else self.stream([raw]))
+        ids = tuple(self.merged(raw))
         if len(raw) <= 64:
             if len(self.cache) >= self.cache_pieces:
                 self.cache.clear()
             self.cache[piece] = ids
         return ids
 
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a text, some at a time: cut where a space follows a character and leads a letter."""
-        at = 0
-        while at < len(text):
-            end = min(len(text), at + _PIECE_CHARS)
-            while end < len(text) and not (
-                text[end] == " " and text[end - 1].isalpha() and text[end + 1 : end + 2].isalpha()
-            ):
-                end += 1
-            part = text[at:end]
-            quick = _PLAIN.fullmatch(part)
-            yield (_QUICK.findall(part) if quick else self._split.findall(part))
+    def pieces(self, text: str, start: int, stop: int) -> Iterator[list[str]]:
+        """The pieces of text[start:stop], some at a time: parts end where a space follows a letter and leads one."""
+        at = start
+        while at < stop:
+            cut = _CUT.search(text, min(stop, at + _PIECE_CHARS), stop)
+            end = cut.start() if cut else stop
+            pattern = _QUICK if _PLAIN.fullmatch(text, at, end) else self._split
+            if end - at <= 2 * _PIECE_CHARS:
+                yield pattern.findall(text, at, end)
+            else:
+                found = pattern.finditer(text, at, end)
+                while some := [m[0] for m in islice(found, 4096)]:
+                    yield some
             at = end
 
-    def encode(self, text: str | None) -> list[int]:
-        """As the file's tokenizer without added ends: special strings in the text are their ids."""
-        ids: list[int] = []
-        for is_special, part in self._parts(text or ""):
-            if is_special:
-                ids.append(self.special[part])
+    def encode_parts(self, text: str | None) -> Iterator[list[int]]:
+        """Ids as they become stable, some at a time; the file's tokenizer without added ends.
+
+        Special strings in the text are their ids. What is held at a time does not grow with the text.
+        """
+        cache, fresh, short = self.cache, self._fresh, self.buffer // 4
+        for number, start, stop in self._parts(text or ""):
+            if number is not None:
+                yield [number]
                 continue
-            for pieces in self.pieces(part):
-                cache, fresh = self.cache, self._fresh
+            for pieces in self.pieces(text, start, stop):
+                ids: list[int] = []
                 for p in pieces:
-                    ids += cache.get(p) or fresh(p)
-        return ids
+                    if got := cache.get(p):
+                        ids += got
+                    elif len(p) < short:
+                        ids += fresh(p)
+                    else:
+                        yield ids
+                        ids = []
+                        stable = self.stream(p[i : i + 4096].encode() for i in range(0, len(p), 4096))
+                        while some := list(islice(stable, 4096)):
+                            yield some
+                yield ids
 
-    def _parts(self, text: str) -> Iterator[tuple[bool, str]]:
+    def encode(self, text: str | None) -> list[int]:
+        """All ids of a text."""
+        return list(chain.from_iterable(self.encode_parts(text)))
+
+    def _parts(self, text: str) -> Iterator[tuple[int | None, int, int]]:
+        """Special tokens, by id, and what stands between them, by place."""
         at = 0
         for m in self._specials.finditer(text) if self._specials else ():
             if m.start() > at:
-                yield False, text[at : m.start()]
-            yield True, m[0]
+                yield None, at, m.start()
+            yield self.special[m[0]], m.start(), m.end()
             at = m.end()
         if at < len(text):
-            yield False, text[at:]
+            yield None, at, len(text)
 
-    def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
-        """Text of ids; bytes that form no character become U+FFFD, unknown ids nothing.
+    def decode_parts(self, parts: Iterable[list[int]]) -> Iterator[str]:
+        """Text of ids that arrive some at a time; bytes that form no character become U+FFFD, unknown ids nothing.
 
         A special token's string stands by itself: bytes do not join across it.
         """
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        held: list[bytes] = []
-        for i in ids:
-            held.append(self.bytes_of.get(i, b""))
-            if len(held) >= chunk:
-                yield machine.decode(b"".join(held))
-                held.clear()
-        yield machine.decode(b"".join(held), final=True)
+        machine, of = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of
+        for ids in parts:
+            yield machine.decode(b"".join([of.get(i, b"") for i in ids]))
+        yield machine.decode(b"", final=True)
+
+    def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
+        ids = iter(ids)
+        return self.decode_parts(iter(lambda: list(islice(ids, chunk)), []))
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
@@ -241,14 +263,22 @@ def report(docs: DataFrame, vocabulary: str) -> DataFrame:
         t = transducer(vocabulary)
         for batch in _small(batches):
             n, of_ids, of_text = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = t.encode(text)
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                digest = hashlib.sha256()
-                for part in t.decode_stream(ids):
-                    digest.update(part.encode())
-                of_text.append(digest.hexdigest())
+            for k in range(batch.num_rows):
+                found, ids_of, text_of = 0, hashlib.sha256(), hashlib.sha256()
+
+                def counted(text: str | None) -> Iterator[list[int]]:
+                    nonlocal found
+                    for ids in t.encode_parts(text):
+                        if ids:
+                            ids_of.update(("," * (found > 0) + ",".join(map(str, ids))).encode())  # noqa: B023
+                            found += len(ids)
+                            yield ids
+
+                for part in t.decode_parts(counted(batch.column(1)[k].as_py())):
+                    text_of.update(part.encode())
+                n.append(found)
+                of_ids.append(ids_of.hexdigest())
+                of_text.append(text_of.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
