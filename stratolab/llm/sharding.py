@@ -7,9 +7,9 @@ shard) within that shard's quota. Unlinked documents cut no edge wherever they
 are, so they make room: a last step moves them, and only if need be others,
 until counts are at most one apart. That is the law `rows`.
 
-Texts are read once; what goes through the rounds is a few numbers a row.
-Quotas and offsets are tables of shards x buckets, a bound that does not depend
-on the input.
+Texts are read once; what goes through the rounds is a few numbers a row. The
+rows of a very large group are not moved to meet its counts: those few counts are
+broadcast. A shard's queue is cut into as many buckets as its size asks for.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, stored, utf8
+from .common import crc32_of, spread_join, stored, utf8
 
 
 def _facts(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
@@ -37,8 +37,9 @@ def _room(linked: DataFrame, cap: int, shards: int) -> list[int]:
     return [max(0, cap - held.get(s, 0)) for s in range(shards)]
 
 
-def _propagated(linked: DataFrame, room: list[int], cap: int, buckets: int) -> DataFrame:
-    """One round: linked rows (.., grp, shard) with shards after the moves that quotas allow."""
+def _propagated(linked: DataFrame, total: int, room: list[int], cap: int, buckets: int) -> DataFrame:
+    """One round: linked rows (.., grp, shard, moved) with shards after the moves that quotas allow."""
+    linked = linked.drop("moved")
     counts = linked.groupBy("grp", "shard").agg(F.count("*").alias("c"))
     at = lambda shard: F.element_at(F.array(*map(F.lit, room)), shard + 1)
     order = Window.partitionBy("grp").orderBy(F.desc("c"), F.xxhash64("grp", "shard"), "shard")
@@ -48,15 +49,16 @@ def _propagated(linked: DataFrame, room: list[int], cap: int, buckets: int) -> D
     targets = ranked.groupBy("grp").agg(
         F.sort_array(F.collect_list(F.struct("place", "shard", "c", (at(F.col("shard")) > 0).alias("free")))).alias("t"),
         homes.alias("homes"),
+        F.max("n").alias("copies"),
     )
     home = F.exists(F.slice("t", 1, F.col("homes")), lambda x: x["shard"] == F.col("shard"))
     own = F.filter("t", lambda x: x["shard"] == F.col("shard"))[0]
     free = F.slice(F.filter("t", lambda x: x["free"]), 1, F.col("homes"))
     pick = F.try_element_at(free, (F.pmod(F.xxhash64("doc_id", "grp"), F.greatest(F.size(free), F.lit(1))) + 1).cast("int"))
-    looked = linked.join(targets, "grp", "left").withColumn("pick", pick)
+    looked = spread_join(linked, targets, "grp", total).withColumn("pick", pick)
     looked = looked.withColumn("to", F.when(~home & (F.col("pick.place") < own["place"]), F.col("pick")))
     looked = looked.select(*linked.columns, F.col("to.shard").alias("target"), F.col("to.c").alias("gain"))
-    stay = looked.where("target is null").select(*linked.columns)
+    stay = looked.where("target is null").select(*linked.columns, F.lit(False).alias("moved"))
     bucket = F.pmod(F.xxhash64("doc_id", "shard"), F.lit(buckets))
     queue = Window.partitionBy("target", "bucket").orderBy(F.desc("gain"), "grp", "doc_id")
     free = at(F.col("target"))
@@ -64,8 +66,9 @@ def _propagated(linked: DataFrame, room: list[int], cap: int, buckets: int) -> D
     moved = (
         looked.where("target is not null")
         .withColumn("bucket", bucket)
-        .withColumn("shard", F.when(F.row_number().over(queue) <= share, F.col("target")).otherwise(F.col("shard")))
-        .select(*linked.columns)
+        .withColumn("moved", F.row_number().over(queue) <= share)
+        .withColumn("shard", F.when(F.col("moved"), F.col("target")).otherwise(F.col("shard")))
+        .select(*linked.columns, "moved")
     )
     return stay.unionByName(moved)
 
@@ -73,12 +76,11 @@ def _propagated(linked: DataFrame, room: list[int], cap: int, buckets: int) -> D
 def _levelled(rows: DataFrame, total: int, shards: int, buckets: int) -> DataFrame:
     """rows with shard and slot such that counts are at most one apart; linked rows keep their places first."""
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int"))
-    cells = rows.groupBy("shard", "single", "bucket").count().collect()  # at most 2 x shards x buckets
+    cells = stored(rows.groupBy("shard", "single", "bucket").count(), "shard-cells")
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    held, offsets = [0] * shards, []
-    for r in sorted(cells):
-        offsets.append((r.shard, r.single, r.bucket, held[r.shard]))
-        held[r.shard] += r["count"]
+    held = [0] * shards
+    for r in cells.groupBy("shard").agg(F.sum("count").alias("n")).collect():  # one row a shard
+        held[r.shard] = r.n
     kept = [min(h, q) for h, q in zip(held, quota, strict=True)]
     surplus, needs, free = [], [], []
     over = under = 0
@@ -88,11 +90,11 @@ def _levelled(rows: DataFrame, total: int, shards: int, buckets: int) -> DataFra
         free.append(under)
         under += quota[s] - kept[s]
         needs.append(under)
-    spark = rows.sparkSession
-    starts = spark.createDataFrame(offsets, "shard int, single boolean, bucket int, start long")
+    before = Window.partitionBy("shard").orderBy("single", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("shard", "single", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     place = Window.partitionBy("shard", "single", "bucket").orderBy("doc_id", "text_crc32")
     at = lambda values, index: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index + 1)
-    ranked = rows.join(F.broadcast(starts), ["shard", "single", "bucket"]).withColumn(
+    ranked = rows.join(starts, ["shard", "single", "bucket"]).withColumn(
         "rank", F.col("start") + F.row_number().over(place) - 1
     )
     index = at(surplus, F.col("shard")) + F.col("rank") - at(quota, F.col("shard"))
@@ -126,11 +128,14 @@ def shard(
     linked = stored(facts.join(sizes, "grp", "left_semi").select(facts.columns), "linked")
     single = facts.join(sizes, "grp", "left_anti").select(facts.columns)
     cap = total // shards
-    buckets = min(64, cap // bucket_rows + 1)  # queues a shard, so that one task sorts no whole shard
+    buckets = cap // bucket_rows + 1  # queues a shard, so that one task sorts no whole shard
+    n_linked = linked.count()
     for _ in range(rounds):
         room = _room(linked, cap, shards)
-        linked = stored(_propagated(linked, room, cap, buckets), "linked")
-    rows = linked.withColumn("single", F.lit(False)).unionByName(single.withColumn("single", F.lit(True)))
+        linked = stored(_propagated(linked, n_linked, room, cap, buckets), "linked")
+        if linked.where("moved").isEmpty():
+            break
+    rows = linked.drop("moved").withColumn("single", F.lit(False)).unionByName(single.withColumn("single", F.lit(True)))
     rows = stored(rows.drop("grp"), "placed")
     return _levelled(rows, total, shards, buckets).select(
         "doc_id",
