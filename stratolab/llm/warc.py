@@ -9,16 +9,18 @@ archives are, and a digest that many records share is salted in the join.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, spread_join
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -110,7 +112,7 @@ def write_archive(pages: DataFrame, path: str, *, min_revisit_bytes: int = 1000,
     facts = spark.read.parquet(f"{path}/facts")
     groups = facts.groupBy("sha256").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
     many = groups.where("copies > 1")
-    judged = facts.join(many, "sha256", "left").select(
+    judged = spread_join(facts, many, "sha256", facts.count(), "left").select(
         "page_id",
         "url",
         "n",
@@ -183,6 +185,37 @@ def warc_bytes(head: bytes, payload: bytes) -> bytes:
     return head + (b"" if b"\r\nWARC-Type: revisit\r\n" in head else payload) + b"\r\n\r\n"
 
 
+def write_warc_files(spark: SparkSession, path: str, out: str, *, salt_rows: int = 2000) -> DataFrame:
+    """Rebuild an archive's records into files that WARC readers open; (file, records, bytes) of each.
+
+    A task writes one file of gzip members, a record each, under `out`, a URI that every
+    worker reaches. It is written under the attempt's own name and then moved, so a task
+    that is run again leaves one whole file. An archive without a record gives no file.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        context = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(out)
+        name = f"part-{context.partitionId():05d}.warc.gz"
+        part = f"{root}/.{name}-{context.taskAttemptId()}"
+        records = 0
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(part, compression=None) as f:
+            for batch in _records(batches):
+                for head, payload in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                    f.write(gzip.compress(warc_bytes(head, payload), mtime=0))
+                    records += 1
+        if not records:
+            store.delete_file(part)
+            return
+        size = store.get_file_info(part).size
+        store.move(part, f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size]})
+
+    return _joined(spark, path, salt_rows).mapInArrow(run, "file string, records long, bytes long")
+
+
 def _page(name: str | None) -> int | None:
     found = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
     return int(found[1]) if found else None
