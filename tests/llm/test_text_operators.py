@@ -440,6 +440,67 @@ def test_quality_odd_rows(spark):
     assert quality.report(docs.limit(0), some).count() == 0
 
 
+def test_flattened_trees_are_walked_node_by_node():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(700, 5))
+    forest = quality.learn(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float), trees=12, depth=3)
+    for row, score in zip(x[:200], forest.score(x[:200]), strict=True):
+        margin = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += leaf[node - len(feature)]
+        assert abs(score - 1 / (1 + np.exp(-margin))) < 1e-12
+
+
+def test_learning_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(7, f"text {i} of one id") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    assert quality.report(docs, labels, max_rows=50).count() == 400
+
+
+def test_memory_stays_flat_on_one_long_text():
+    """Ids and text of 20 million characters without a space pass through in parts."""
+    import tracemalloc
+
+    t = bpe.Transducer(queries.vocabulary_path(), cache_pieces=1000)
+    peaks = []
+    for n in (1_000_000, 4_000_000):
+        text = "ab1-" * (n // 4)
+        tracemalloc.start()
+        total = sum(len(p) for p in t.decode_parts(t.encode_parts(text)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert total == n
+    assert peaks[1] < 1.5 * peaks[0] + 1_000_000
+
+
+def test_automaton_of_a_full_block_fits_a_worker():
+    """At the default bound on a block's text, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, random
+from stratolab.llm import decontaminate
+rng, items, size = random.Random(1), [], 0
+while size < 1_500_000:
+    text = ' '.join(rng.choice('abcdefgh') * 2 + str(rng.randrange(10**4)) for _ in range(300))
+    items.append((str(len(items)), text)); size += len(text)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert decontaminate.automaton(items, 10).built
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root}, check=True)
+    assert int(out.stdout) < 400, out.stdout
+
+
 def test_flattened_trees_learn_a_rule():
     import numpy as np
 
