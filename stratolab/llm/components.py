@@ -1,41 +1,40 @@
-"""Connected components of an edge table by smallest labels and pointer jumps."""
+"""Connected components of an edge table by hooking to smaller neighbours and contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
+
+
+def _mapped(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """df with `column` replaced by its label (node, to), kept where it has none; a node that many rows name is no hot key."""
+    uses = df.groupBy(F.col(column).alias("node")).agg(F.count("*").alias("copies"))
+    named = labels.join(uses, "node").select(F.col("node").alias(column), F.col("to").alias("label"), "copies")
+    joined = spread_join(df, named, column, df.count(), "left")
+    return joined.withColumn(column, F.coalesce("label", column)).select(df.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the component's smallest node.
 
-    Each round a node takes the smallest label among itself and its neighbours,
-    then its label's label; both steps keep every label inside the component, so
-    the fixed point is exact. Rounds grow with the logarithm of the longest
-    shortest path in practice. A round's table is checkpointed to the shared
-    folder. No edges give no rows.
+    Each round a node is mapped to the smallest among itself and its neighbours, and
+    once more to where that is mapped; edges between what is left then go into the next round,
+    each once. Nodes are only ever mapped to smaller ones of their component, so what
+    remains of it is its smallest. Edges shrink from round to round, and rounds grow with
+    the logarithm of the longest shortest path in practice. A round's tables are written to
+    the shared folder. Null ends and loops take no part. No edges give no rows.
     """
-    both = stored(
-        edges.where("a is not null and b is not null and a != b")
-        .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
-        .distinct(),
-        "edges",
-    )
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        nearest = (
-            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        )
-        mine = labels.join(nearest.withColumnRenamed("a", "node"), "node").select(
-            "node", "root", F.least("root", "near").alias("next")
-        )
-        jumped = mine.join(labels.select(F.col("node").alias("next"), F.col("root").alias("far")), "next").select(
-            "node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")
-        )
-        step = stored(jumped, "labels")
-        labels = step.select("node", "root")
-        if step.where("moved").isEmpty():
-            return labels
+    ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    left = stored(edges.where("a is not null and b is not null and a != b").select(*ends("a", "b")).distinct(), "edges")
+    known = None
+    while known is None or not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        labels = stored(near.select("node", F.least("node", "near").alias("to")), "labels")
+        labels = stored(_mapped(labels, "to", labels), "labels")
+        moved = _mapped(_mapped(left, "a", labels), "b", labels).where("a != b")
+        left = stored(moved.select(*ends("a", "b")).distinct(), "edges")
+        known = labels if known is None else stored(_mapped(known, "to", labels), "roots")
+    return known.withColumnRenamed("to", "root")

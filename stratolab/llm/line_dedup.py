@@ -298,6 +298,13 @@ def dedup(
     return out.withColumnsRenamed(dict(zip(kept, names, strict=True)))
 
 
+def deduped(docs: DataFrame, **options) -> DataFrame:
+    """dedup() without the count: the columns of docs, one named n_removed_lines unchanged."""
+    aside = {"n_removed_lines": "__n_removed_lines"} if "n_removed_lines" in docs.columns else {}
+    out = dedup(docs.withColumnsRenamed(aside), **options).drop("n_removed_lines")
+    return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document row: doc_id, the text left, n_removed_lines."""
     return dedup(docs.select("doc_id", "text"), **options)
