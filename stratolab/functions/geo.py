@@ -105,29 +105,33 @@ def geodetic_to_ecef(lat, lon, height=0.0) -> Column:
     )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ecef_to_geodetic(x, y, z, iterations: int = 5) -> Column:
     """struct(lat, lon, height). The iteration is a fold over a struct, so the plan stays small."""
-    px, py, pz = _c(x), _c(y), _c(z)
-    state = F.struct(
-        F.hypot(px, py).alias("p"), pz.alias("z"), F.atan2(pz, F.hypot(px, py) * (1 - E2)).alias("lat")
-    )
+    point = F.struct(_c(x).alias("x"), _c(y).alias("y"), _c(z).alias("z"), F.hypot(_c(x), _c(y)).alias("p"))
 
-    def height(s: Column) -> Column:
-        return s["p"] / F.greatest(F.cos(s["lat"]), F.lit(1e-12)) - _curvature(F.sin(s["lat"]))
-
-    def again(s: Column, _: Column) -> Column:
-        n = _curvature(F.sin(s["lat"]))
-        lat = F.atan2(s["z"], s["p"] * (1 - E2 * n / (n + height(s))))
-        return F.struct(s["p"].alias("p"), s["z"].alias("z"), lat.alias("lat"))
-
-    steps = F.sequence(F.lit(1), F.lit(iterations))
-    lon = F.degrees(F.atan2(py, px))
-    return F.aggregate(
-        steps,
-        state,
-        again,
-        lambda s: F.struct(F.degrees(s["lat"]).alias("lat"), lon.alias("lon"), height(s).alias("height")),
-    )
+    def height(p: Column, lat: Column) -> Column:
+        return p["p"] / F.greatest(F.cos(lat), F.lit(1e-12)) - _curvature(F.sin(lat))
+
+    def closer(p: Column, lat: Column) -> Column:
+        n = _curvature(F.sin(lat))
+        return F.atan2(p["z"], p["p"] * (1 - E2 * n / (n + height(p, lat))))
+
+    def found(p: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(iterations))
+        lat = F.aggregate(steps, F.atan2(p["z"], p["p"] * (1 - E2)), lambda lat, _: closer(p, lat))
+        return _let(
+            lat,
+            lambda lat: F.struct(
+                F.degrees(lat).alias("lat"), F.degrees(F.atan2(p["y"], p["x"])).alias("lon"), height(p, lat).alias("height")
+            ),
+        )
+
+    return _let(point, found)
 
 
 def parallax_corrected(lat, lon, height_m, satellite_lon: float = 82.0, altitude_km: float = 35_786.0) -> Column:
@@ -139,21 +143,25 @@ def parallax_corrected(lat, lon, height_m, satellite_lon: float = 82.0, altitude
     """
     import math
 
-    la, lo, h = _c(lat), _c(lon), _c(height_m)
     radius = WGS84_A + altitude_km * 1000
     sx, sy = radius * math.cos(math.radians(satellite_lon)), radius * math.sin(math.radians(satellite_lon))
     stretch = WGS84_A / WGS84_B
-    ground = geodetic_to_ecef(la, lo)
-    ray = F.struct((ground["x"] - sx).alias("x"), (ground["y"] - sy).alias("y"), ground["z"].alias("z"))
-    squared = ray["x"] * ray["x"] + ray["y"] * ray["y"] + F.pow(ray["z"] * stretch, 2)
-    along = 2 * (ray["x"] * sx + ray["y"] * sy)
-    offset = F.lit(radius**2) - F.pow(F.lit(WGS84_A) + h, 2)
-    inside = along * along - 4 * squared * offset
-    t = F.when((h > 0) & (inside >= 0) & (squared > 0), (-along - F.sqrt(inside)) / (2 * squared))
-    top = ecef_to_geodetic(ray["x"] * t + sx, ray["y"] * t + sy, ray["z"] * t)
-    moved = t.isNotNull() & (t > 0)
-    return F.struct(
-        F.when(moved, top["lat"]).otherwise(la).alias("lat"),
-        F.when(moved, F.pmod(top["lon"] + 180, F.lit(360.0)) - 180).otherwise(lo).alias("lon"),
-        F.coalesce(moved, F.lit(False)).alias("moved"),
-    )
+
+    def meeting(r: Column) -> Column:
+        """Along the ray r, where it meets the surface at height r.h first; null where it does not."""
+        squared = r["x"] * r["x"] + r["y"] * r["y"] + F.pow(r["z"] * stretch, 2)
+        offset = F.lit(radius**2) - F.pow(F.lit(WGS84_A) + r["h"], 2)
+        parts = F.struct(squared.alias("a"), (2 * (r["x"] * sx + r["y"] * sy)).alias("b"), offset.alias("c"))
+        root = lambda q: q["b"] * q["b"] - 4 * q["a"] * q["c"]
+        return _let(parts, lambda q: F.when((r["h"] > 0) & (root(q) >= 0) & (q["a"] > 0), (-q["b"] - F.sqrt(root(q))) / (2 * q["a"])))
+
+    def ground(r: Column, t: Column) -> Column:
+        top = ecef_to_geodetic(r["x"] * t + sx, r["y"] * t + sy, r["z"] * t)
+        kept = F.struct(r["lat"].alias("lat"), r["lon"].alias("lon"), F.lit(False).alias("moved"))
+        moved = _let(top, lambda g: F.struct(g["lat"].alias("lat"), (F.pmod(g["lon"] + 180, F.lit(360.0)) - 180).alias("lon"), F.lit(True).alias("moved")))
+        return F.when(t > 0, moved).otherwise(kept)
+
+    seen = _let(geodetic_to_ecef(lat, lon), lambda g: F.struct(
+        (g["x"] - sx).alias("x"), (g["y"] - sy).alias("y"), g["z"].alias("z"), _c(height_m).alias("h"), _c(lat).alias("lat"), _c(lon).alias("lon")
+    ))
+    return _let(seen, lambda r: _let(meeting(r), lambda t: ground(r, t)))

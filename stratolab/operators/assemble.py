@@ -16,7 +16,7 @@ def stack_channels(parts: list[DataFrame], channels: DataFrame) -> DataFrame:
     """Streams' cells in one table with channel_idx in declared order; undeclared channels are left out."""
     stacked = reduce(lambda a, b: a.unionByName(b), parts)
     dims = channels.select("channel", F.col("idx").alias("channel_idx"))
-    return stacked.join(F.broadcast(dims), "channel")
+    return stacked.join(dims, "channel")
 
 
 def broadcast_static(window: DataFrame, static: DataFrame, cell: list[str] | None = None) -> DataFrame:
@@ -50,9 +50,8 @@ def channel(window: DataFrame, channels: DataFrame, name: str) -> DataFrame:
 
 def resolve_alias(cells: DataFrame, aliases: DataFrame) -> DataFrame:
     """cells with `variable`: by short name first, else by key. aliases: (variable, short_name, key), one row each."""
-    a = F.broadcast(aliases)
-    short = a.select(F.col("short_name").alias("name"), F.col("variable").alias("v1"))
-    exact = a.select(F.col("key").alias("name"), F.col("variable").alias("v2"))
+    short = aliases.select(F.col("short_name").alias("name"), F.col("variable").alias("v1"))
+    exact = aliases.select(F.col("key").alias("name"), F.col("variable").alias("v2"))
     return cells.join(short, "name", "left").join(exact, "name", "left").withColumn("variable", F.coalesce("v1", "v2")).drop("v1", "v2")
 
 

@@ -38,7 +38,7 @@ def limits_table(spark: SparkSession) -> DataFrame:
 
 def rule_join(telemetry: DataFrame, limits: DataFrame) -> DataFrame:
     """Telemetry of known regions with their limits, one row a region."""
-    return telemetry.join(F.broadcast(limits), "region_id")
+    return telemetry.join(limits, "region_id")
 
 
 def evaluate_rules(joined: DataFrame) -> DataFrame:

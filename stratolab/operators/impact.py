@@ -97,7 +97,7 @@ def extract_impacts(
         F.max("mm").alias("mm"),
     )
     total = districts.groupBy(*DISTRICT).agg(F.sum("area_km2").alias("district_area_km2"))
-    leads = leads.join(F.broadcast(total), DISTRICT)  # one row a district
+    leads = leads.join(total, DISTRICT)
     fraction = F.col("area") / F.greatest(F.col("district_area_km2"), F.lit(1e-9))
     passes = (F.round(F.col("area"), 6) >= min_area) | (F.round(fraction, 9) >= min_fraction)
     first = lambda v: F.struct(F.round(F.col(v), 9), -F.col("lead"))  # noqa: E731  the earliest lead of equals

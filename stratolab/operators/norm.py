@@ -23,7 +23,7 @@ def channel_policies(channels: DataFrame, overrides: DataFrame | None = None) ->
     out = channels
     if overrides is not None:
         o = overrides.select("channel", F.col("method").alias("m"), F.col("transform").alias("t"))
-        out = channels.join(F.broadcast(o), "channel", "left")  # one row a channel
+        out = channels.join(o, "channel", "left")
         out = out.withColumns({"method": F.coalesce("m", "method"), "transform": F.coalesce("t", "transform")}).drop("m", "t")
     plain = F.col("kind") == "categorical"
     return out.withColumns(
@@ -44,7 +44,7 @@ PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 def build_channel_stats(cells: DataFrame, period: Column | None = None, transform: str = "transform", source: str | None = None) -> DataFrame:
     """Statistics per channel after its transform, over the reference period; physical_mean before it.
 
-    Percentiles p1 to p99 come from a mergeable sketch, each within 1/10000 of its rank.
+    Percentiles p1 to p99 come from a mergeable sketch, each within 1/100000 of its rank.
     """
     used = cells.where(period) if period is not None else cells
     t = by_transform("value", transform, transformed) if transform in cells.columns else F.col("value")
@@ -55,7 +55,7 @@ def build_channel_stats(cells: DataFrame, period: Column | None = None, transfor
         F.max("tv").alias("max"),
         F.count("tv").alias("count"),
         F.avg("value").alias("physical_mean"),
-        F.percentile_approx("tv", [p / 100 for p in PERCENTILES], 10_000).alias("p"),
+        F.percentile_approx("tv", [p / 100 for p in PERCENTILES], 100_000).alias("p"),
     ).select("*", *[F.col("p")[i].alias(f"p{p}") for i, p in enumerate(PERCENTILES)], F.lit(source).cast("string").alias("source")).drop("p")
 
 
@@ -63,7 +63,7 @@ def with_stats(cells: DataFrame, stats: DataFrame, policy: DataFrame) -> DataFra
     """cells with their channel's policy and statistics, both one row a channel. Missing statistics fail the job."""
     p = policy.select("channel", "method", "transform")
     s = stats.select("channel", "mean", "std", F.col("min").alias("low"), F.col("max").alias("high"))
-    joined = cells.join(F.broadcast(p), "channel", "left").join(F.broadcast(s), "channel", "left")
+    joined = cells.join(p, "channel", "left").join(s, "channel", "left")
     message = F.concat(F.lit("no statistics for channel "), F.col("channel"))
     lacking = F.coalesce(F.col("method") != "none", F.lit(True)) & F.col("mean").isNull()
     checked = F.when(lacking, F.raise_error(message).cast("double")).otherwise(F.col("mean"))
@@ -90,7 +90,7 @@ def denormalise(cells: DataFrame, stats: DataFrame, policy: DataFrame) -> DataFr
 
 def channel_baseline(stats: DataFrame, policy: DataFrame) -> DataFrame:
     """(channel, passthrough, baseline): the physical mean through transform and scaling; categorical is null."""
-    j = stats.join(F.broadcast(policy.select("channel", "kind", "method", "transform")), "channel")
+    j = stats.join(policy.select("channel", "kind", "method", "transform"), "channel")
     v = by_transform("physical_mean", "transform", transformed)
     scaled = normalised(v, "mean", "std", "min", "max", "method")
     passed = F.col("kind") == "categorical"
@@ -99,7 +99,7 @@ def channel_baseline(stats: DataFrame, policy: DataFrame) -> DataFrame:
 
 def expand_baseline(window: DataFrame, baseline: DataFrame) -> DataFrame:
     """window with baseline values; a passthrough channel's is the input itself."""
-    j = window.join(F.broadcast(baseline), "channel")
+    j = window.join(baseline, "channel")
     return j.withColumn("baseline", F.when(F.col("passthrough"), F.col("value")).otherwise(F.coalesce("baseline", F.lit(0.0))))
 
 

@@ -36,8 +36,8 @@ def apply_bounds(df: DataFrame, low: float, high: float, action: str = "mask", v
 
 
 def apply_bounds_table(cells: DataFrame, bounds: DataFrame, action: str = "mask") -> DataFrame:
-    """Bounds by variable; a variable without bounds is left alone. One row a variable is broadcast."""
-    joined = cells.join(F.broadcast(bounds), "variable", "left")
+    """Bounds by variable; a variable without bounds is left alone."""
+    joined = cells.join(bounds, "variable", "left")
     v, free = F.col("value"), F.col("low").isNull()
     outside = F.coalesce(~v.between(F.col("low"), F.col("high")), F.lit(False))
     new = F.when(free, v).otherwise(_bounded(v, F.col("low"), F.col("high"), action))
@@ -54,8 +54,8 @@ def bounds_report(bounded: DataFrame, keys: list[str], present: Column) -> DataF
 
 
 def calibrate(counts: DataFrame, lut: DataFrame, mode: str = "nearest", count: str = "count") -> DataFrame:
-    """counts with temperature by table (idx, kelvin); null beyond it. The table has one row a level and is broadcast."""
-    table = F.broadcast(lut.select(F.col("idx").cast("long"), "kelvin"))
+    """counts with temperature by table (idx, kelvin); null beyond it. The table has one row a level."""
+    table = lut.select(F.col("idx").cast("long"), "kelvin")
     c = F.col(count)
     if mode == "nearest":
         keyed = counts.withColumn("idx", F.bround(c).cast("long"))

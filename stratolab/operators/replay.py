@@ -113,8 +113,8 @@ def unit_hash(seed: int, *keys) -> Column:
 
 
 def reservoir_key(score, draw) -> Column:
-    """log(u) / score: the largest keys are a sample weighted by score."""
-    return F.log(draw) / score
+    """log(u) / score: the largest keys are a sample weighted by score. Null, the least, where the score is 0 or null."""
+    return F.try_divide(F.log(draw), score)
 
 
 def weighted_reservoir(rows: DataFrame, n: int, key: str = "reservoir_key", tie: str = "valid_time") -> DataFrame:

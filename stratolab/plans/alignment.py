@@ -380,20 +380,20 @@ BILINEAR = """p AS (SELECT event_id AS k, 20 + (event_id * 37 % 2500) / 10000 AS
   w AS (SELECT k, CAST(floor(y) + i AS int) AS r, CAST(floor(x) + j AS int) AS c,
     (CASE i WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE j WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) AS w
     FROM a, (VALUES (0), (1)) i(i), (VALUES (0), (1)) j(j)),
-  v AS (SELECT window_id, lead, grid_row, grid_col, avg(rain_mm_h) AS value FROM fx_ensemble JOIN fx_cell USING (cell) GROUP BY ALL),
-  u AS (SELECT DISTINCT window_id, lead FROM v)"""
+  v AS (SELECT lead, grid_row, grid_col, avg(rain_mm_h) AS value FROM fx_ensemble JOIN fx_cell USING (cell) GROUP BY ALL),
+  u AS (SELECT DISTINCT lead FROM v)"""
 
 
-@R.add(f"""WITH {BILINEAR}, z AS (SELECT u.window_id, u.lead, k, CASE WHEN count(*) = count(value) THEN sum(w * value) END AS value
-  FROM w CROSS JOIN u LEFT JOIN v ON v.window_id = u.window_id AND v.lead = u.lead AND grid_row = r AND grid_col = c WHERE w > 0 GROUP BY ALL)
+@R.add(f"""WITH {BILINEAR}, z AS (SELECT u.lead, k, CASE WHEN count(*) = count(value) THEN sum(w * value) END AS value
+  FROM w CROSS JOIN u LEFT JOIN v ON v.lead = u.lead AND grid_row = r AND grid_col = c WHERE w > 0 GROUP BY ALL)
   SELECT k, count(value) AS frames, round(sum(value), 3) AS total FROM z GROUP BY k""")
 def j6_regrid_bilinear(s, d):
-    """Every event's place, in every frame."""
+    """Every event's place, in every lead's mean frame."""
     cells = view(s, d, "fx_ensemble").join(view(s, d, "fx_cell"), "cell")
-    cells = cells.groupBy("window_id", "lead", F.col("grid_row").alias("row"), F.col("grid_col").alias("col")).agg(F.avg("rain_mm_h").alias("value"))
+    cells = cells.groupBy("lead", F.col("grid_row").alias("row"), F.col("grid_col").alias("col")).agg(F.avg("rain_mm_h").alias("value"))
     k = view(s, d, "events").select(F.col("event_id").alias("k"))
     target = k.select("k", (20 + F.col("k") * 37 % 2500 / 10000).alias("lat"), (77 + F.col("k") * 53 % 2500 / 10000).alias("lon"))
-    out = regrid.regrid_bilinear(cells, SMALL, target, ["k"], ["window_id", "lead"])
+    out = regrid.regrid_bilinear(cells, SMALL, target, ["k"], ["lead"])
     return rounded(out.groupBy("k").agg(F.count("value").alias("frames"), F.sum("value").alias("total")), 3)
 
 

@@ -8,7 +8,7 @@ from ..functions import geo, scalar
 from ..operators import advisory, assemble, attrib, impact, index, norm, qc, regrid, replay
 from ..schema import BIT, CHANNELS
 from ..sources import catalog, corpus, grd, windows
-from . import products, verification
+from . import checks, products, verification
 from .alignment import COARSE
 from .fixtures import view
 from .products import CH_SQL, CONTEXT, WIN_SQL, attr, context, policy, storm_rows, window
@@ -368,6 +368,28 @@ def v12_train_only(s, d):
     return records.groupBy("year").agg(F.count("*").alias("records"))
 
 
+@R.add("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'grid' END, CASE WHEN k % 13 = 0 OR k % 17 < 2 THEN 'time' END, CASE WHEN k % 5 = 0 THEN 'leak' END,
+    CASE WHEN k % 19 = 0 THEN 'bands' END, CASE WHEN k % 3 = 0 OR k % 23 = 0 THEN 'replay' END, CASE WHEN k % 4 = 1 THEN 'methods' END, CASE WHEN k % 6 = 2 OR k % 29 = 0 THEN 'gates' END],
+    lambda x: x IS NOT NULL), ',') AS faults FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)""")
+def v4_v10_config_faults(s, d):
+    """A run's configuration an order, each wrong in places that its key says (V4 to V10 and V14)."""
+    k = F.col("o_orderkey")
+    wrong = lambda step, bad, good, at=0: F.when(k % step == at, F.lit(bad)).otherwise(F.lit(good))
+    back = F.sequence(F.lit(-12), F.when(k % 13 == 0, F.lit(-1)).otherwise(F.lit(0)))
+    runs = view(s, d, "orders").select(
+        "o_orderkey", wrong(7, 96, 384).alias("height"), F.lit(384).alias("width"), F.lit(6.0).alias("lat_min"), F.lit(38.0).alias("lat_max"),
+        wrong(11, 101.0, 68.0).alias("lon_min"), F.lit(100.0).alias("lon_max"), F.lit(1 / 12).alias("resolution"), back.alias("lookback"),
+        F.when(k % 17 == 0, F.sequence(F.lit(2), F.lit(12))).otherwise(F.sequence(F.lit(1), F.lit(12))).alias("leads"), wrong(17, 7, 30, 1).alias("step_minutes"),
+        F.lit("2017-06-01").alias("record_from"), F.lit("2020-09-30").alias("record_to"), F.lit("2017-06-01").alias("reference_from"),
+        wrong(5, "2020-06-30", "2019-09-30").alias("reference_to"), F.lit("2019-09-30").alias("train_until"), F.lit("2020-06-01").alias("validation_from"),
+        F.when(k % 19 == 0, F.array(F.lit(0.3), F.lit(0.15))).otherwise(F.array(F.lit(0.15), F.lit(0.3))).alias("bands"), F.array(F.lit(2.5), F.lit(7.5)).alias("classes"),
+        wrong(3, 35.0, 15.0).alias("heavy_mm_h"), F.lit(15.0).alias("monitor_mm_h"), F.lit(5).alias("gate_frames"), wrong(23, 1.5, 0.9).alias("quantile"),
+        F.lit("nearest").alias("categorical"), wrong(4, "linear", "hold", 1).alias("precipitation"), F.lit(0.0).alias("min_area"), wrong(6, 0.0, 0.05, 2).alias("min_fraction"),
+        wrong(29, "", "district").alias("dissolve_key"), F.lit(20.0).alias("coast_m"), F.lit(500.0).alias("mountain_m"),
+    )
+    return checks.config_faults(runs).select("o_orderkey", F.concat_ws(",", "faults").alias("faults"))
+
+
 # --- chunks and alert documents -------------------------------------------------------------------
 
 

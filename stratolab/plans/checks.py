@@ -1,8 +1,12 @@
-"""Configuration and its checks."""
+"""Configuration, its files and its checks, for one run and for a table of runs."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.geo import DOMAIN, Grid
 from ..operators.replay import POLICY, Policy
@@ -89,3 +93,63 @@ def check(c: Config) -> None:
     """All of them; the first that fails raises ValueError."""
     for one in (check_grid, check_time, check_leak, check_bands, check_replay, check_methods, check_gates):
         one(c)
+
+
+SECTIONS = {"grid": Grid, "policy": Policy}
+
+
+def read_config(spark: SparkSession, path: str) -> Config:
+    """A checked configuration from the JSON files of a folder, each with some of Config's keys; a handful of small files.
+
+    Unknown keys, keys that two files give, and wrong values are refused.
+    """
+    known = {f.name: f.default for f in fields(Config)}
+    found: dict = {}
+    for r in sorted(spark.read.text(path, wholetext=True).collect()):
+        for key, value in json.loads(r.value).items():
+            if key not in known:
+                raise ValueError(f"unknown key {key!r}")
+            if key in found:
+                raise ValueError(f"{key!r} is given twice")
+            if key in SECTIONS:
+                wrong = set(value) - {f.name for f in fields(SECTIONS[key])}
+                if wrong:
+                    raise ValueError(f"unknown keys {sorted(wrong)} in {key!r}")
+                value = SECTIONS[key](**value)
+            elif isinstance(value, list):
+                value = tuple(tuple(v) if isinstance(v, list) else v for v in value)
+            found[key] = value
+    config = Config(**found)
+    check(config)
+    return config
+
+
+def config_faults(runs: DataFrame) -> DataFrame:
+    """runs with `faults`: which checks the configuration of each run fails, in order.
+
+    Columns: height, width, lat_min, lat_max, lon_min, lon_max, resolution; lookback,
+    leads arrays, step_minutes; record_from, record_to, reference_from, reference_to,
+    train_until, validation_from as text; bands and classes, arrays of limits; heavy_mm_h
+    and monitor_mm_h; gate_frames, quantile; categorical and precipitation methods;
+    min_area, min_fraction, dissolve_key, coast_m, mountain_m.
+    """
+    c = F.col
+
+    def rising(name: str) -> F.Column:
+        return F.coalesce(c(name) == F.array_sort(F.array_distinct(name)), F.lit(False))
+
+    span = lambda n, low, high: F.abs(c(n) * c("resolution") - (c(high) - c(low))) < c("resolution") * 1.5
+    steps = F.zip_with(F.slice("lookback", F.lit(2), F.size("lookback")), "lookback", lambda b, a: b - a)
+    ascends = F.forall(F.slice(steps, F.lit(1), F.size("lookback") - 1), lambda d: d == 1)
+    sound = {
+        "grid": (c("lat_min") < c("lat_max")) & (c("lon_min") < c("lon_max")) & span("height", "lat_min", "lat_max") & span("width", "lon_min", "lon_max"),
+        "time": (F.element_at("lookback", -1) == 0) & ascends & (c("leads") == F.sequence(F.lit(1), F.size("leads"))) & (c("step_minutes") > 0) & (1440 % c("step_minutes") == 0),
+        "leak": (c("reference_to") <= c("train_until")) & (c("record_from") <= c("reference_from")) & (c("reference_from") <= c("reference_to"))
+        & (c("reference_to") <= c("record_to")) & (c("train_until") < c("validation_from")),
+        "bands": rising("bands") & rising("classes"),
+        "replay": (c("heavy_mm_h") == c("monitor_mm_h")) & (c("gate_frames") <= F.size("lookback")) & c("quantile").between(0, 1),
+        "methods": (c("categorical") == "nearest") & (c("precipitation") != "linear"),
+        "gates": ((c("min_area") > 0) | (c("min_fraction") > 0)) & (c("dissolve_key") != "") & (c("coast_m") < c("mountain_m")),
+    }
+    named = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in sound.items()]
+    return runs.withColumn("faults", F.array_compact(F.array(*named)))

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 # {name} stands for a table or another view; {epoch} for whole seconds of events.ts.
 VIEWS = {
     "fx_ensemble": """
-        SELECT year(l_shipdate) - 1995 AS window_id, l_suppkey % 12 AS lead, l_partkey % 16 AS cell,
+        SELECT 12 * (year(l_shipdate) - 1992) + month(l_shipdate) AS window_id, l_suppkey % 12 AS lead, l_partkey % 16 AS cell,
           l_orderkey % 8 AS member, CAST(CAST(sum(l_quantity) AS bigint) % 61 AS double) AS rain_mm_h
         FROM {lineitem} GROUP BY 1, 2, 3, 4""",
     "fx_target": """
         SELECT window_id, lead, cell, CASE WHEN s % 10 = 0 THEN NULL ELSE CAST(s % 61 AS double) END AS rain_mm_h
-        FROM (SELECT year(o_orderdate) - 1995 AS window_id, o_custkey % 12 AS lead, o_orderkey % 16 AS cell,
+        FROM (SELECT 12 * (year(o_orderdate) - 1992) + month(o_orderdate) AS window_id, o_custkey % 12 AS lead, o_orderkey % 16 AS cell,
             sum(CAST(floor(o_totalprice) AS bigint)) AS s
           FROM {orders} GROUP BY 1, 2, 3) t""",
     "fx_cell": """

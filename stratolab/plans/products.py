@@ -452,11 +452,11 @@ def d20_explanation_report(s, d):
 
 # --- replay ---------------------------------------------------------------------------------------
 
-STORM_SQL = """l AS (SELECT window_id, lead, count_if(rain_mm_h >= 15) / nullif(count(rain_mm_h), 0) AS area FROM fx_target GROUP BY ALL),
+STORM_SQL = """l AS (SELECT window_id, lead, coalesce(count_if(rain_mm_h >= 15) / nullif(count(rain_mm_h), 0), 0) AS area FROM fx_target GROUP BY ALL),
   sc AS (SELECT window_id, round(coalesce(max(area), 0), 6) AS score, CASE WHEN coalesce(max(area), 0) > 0 THEN arg_max(lead, (round(area, 12), -lead)) ELSE -1 END AS peak_lead FROM l GROUP BY window_id)"""
 
 
-@R.add(f"""WITH {STORM_SQL}, v AS (SELECT window_id, round(quantile_cont(rain_mm_h, 0.999), 3) AS p999, max(rain_mm_h) AS max_mm_h FROM fx_target GROUP BY window_id)
+@R.add(f"""WITH {STORM_SQL}, v AS (SELECT window_id, round(coalesce(quantile_cont(rain_mm_h, 0.999), 0), 3) AS p999, coalesce(max(rain_mm_h), 0) AS max_mm_h FROM fx_target GROUP BY window_id)
   SELECT window_id, score, peak_lead, p999, max_mm_h FROM sc JOIN v USING (window_id)""")
 def a23_storm_score(s, d):
     return replay.storm_score(view(s, d, "fx_target"))
@@ -477,12 +477,12 @@ def a24_admission_threshold(s, d):
 
 @R.add(f"""WITH {ROWS_SQL}, g AS (SELECT *, sum(CASE WHEN gap < 10800 THEN 0 ELSE 1 END) OVER (PARTITION BY window_id ORDER BY t_s) AS storm FROM
     (SELECT *, t_s - lag(t_s) OVER (PARTITION BY window_id ORDER BY t_s) AS gap FROM sr))
-  SELECT window_id, storm, arg_max(t_s, (score, -t_s)) AS t_s, max(score) AS score, count(*) AS members FROM g GROUP BY window_id, storm""")
+  SELECT window_id, storm, arg_max(t_s, (coalesce(score, -1), -t_s)) AS t_s, max(score) AS score, count(*) AS members FROM g GROUP BY window_id, storm""")
 def w9_session_strongest(s, d):
     return replay.session_strongest(storm_rows(s, d), by=["window_id"])
 
 
-@R.add(f"""WITH {ROWS_SQL} SELECT t_s, score, round(ln(((t_s / 7200) % 97 + 0.5) / 97) / score, 6) AS reservoir_key FROM sr ORDER BY 3 DESC, t_s LIMIT 10""".replace("(t_s / 7200)", "CAST(floor(t_s / 7200) AS bigint)"))
+@R.add(f"""WITH {ROWS_SQL} SELECT t_s, score, round(ln(((t_s / 7200) % 97 + 0.5) / 97) / nullif(score, 0), 6) AS reservoir_key FROM sr ORDER BY 3 DESC, t_s LIMIT 10""".replace("(t_s / 7200)", "CAST(floor(t_s / 7200) AS bigint)"))
 def t4_weighted_reservoir(s, d):
     draw = (F.floor(F.col("t_s") / 7200).cast("long") % 97 + 0.5) / 97
     keyed = storm_rows(s, d).select("t_s", "score", replay.reservoir_key(F.col("score"), draw).alias("reservoir_key"))
@@ -490,7 +490,7 @@ def t4_weighted_reservoir(s, d):
 
 
 def season():
-    """Windows are of a year each, so they are the seasons whose reservoirs are folded side by side."""
+    """Windows are the seasons whose reservoirs are folded side by side."""
     return F.col("window_id").cast("int").alias("season")
 
 

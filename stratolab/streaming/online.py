@@ -107,18 +107,22 @@ def stream_reservoir(sdf: DataFrame, policy: Policy = POLICY, capacity: int = 51
 
 
 def incremental_windows(sdf: DataFrame, root: str, checkpoint: str):
-    """Append windows whose valid_time the store does not hold yet; each is built once."""
+    """Append windows whose valid_time (seconds) the store does not hold yet; each is built once.
+
+    The store lies by day, so a batch reads the days that it has windows of.
+    """
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["valid_time"])
+        new = batch.dropDuplicates(["valid_time"]).withColumn("day", F.to_date(F.timestamp_seconds("valid_time")))
+        days = [r.day for r in new.select("day").distinct().collect()]  # of one batch
         try:
-            known = spark.read.parquet(root).select("valid_time")
+            known = spark.read.parquet(root).where(F.col("day").isin(days)).select("valid_time")
         except Exception as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
             new = new.join(known, "valid_time", "left_anti")
-        new.write.mode("append").parquet(root)
+        new.repartition("day").write.mode("append").partitionBy("day").parquet(root)
 
     return sdf.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
