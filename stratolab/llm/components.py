@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
-
-
-def _mapped(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """df with `column` replaced by its label (node, to), kept where it has none; a node that many rows name is no hot key."""
-    uses = df.groupBy(F.col(column).alias("node")).agg(F.count("*").alias("copies"))
-    named = labels.join(uses, "node").select(F.col("node").alias(column), F.col("to").alias("label"), "copies")
-    joined = spread_join(df, named, column, df.count(), "left")
-    return joined.withColumn(column, F.coalesce("label", column)).select(df.columns)
+from .common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     each once. Nodes are only ever mapped to smaller ones of their component, so what
     remains of it is its smallest. Edges shrink from round to round, and rounds grow with
     the logarithm of the longest shortest path in practice. A round's tables are written to
-    the shared folder. Null ends and loops take no part. No edges give no rows.
+    the shared folder. A node that many rows name is left to the skew handling of adaptive
+    execution. Null ends and loops take no part. No edges give no rows.
     """
     ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     left = stored(edges.where("a is not null and b is not null and a != b").select(*ends("a", "b")).distinct(), "edges")
@@ -32,9 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
     while known is None or not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        labels = stored(near.select("node", F.least("node", "near").alias("to")), "labels")
-        labels = stored(_mapped(labels, "to", labels), "labels")
-        moved = _mapped(_mapped(left, "a", labels), "b", labels).where("a != b")
-        left = stored(moved.select(*ends("a", "b")).distinct(), "edges")
-        known = labels if known is None else stored(_mapped(known, "to", labels), "roots")
+        near = near.select("node", F.least("node", "near").alias("to"))
+        far = near.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        labels = stored(near.join(far, "to").select("node", F.col("far").alias("to")), "labels")
+        of_a, of_b = (labels.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
+        moved = left.join(of_a, "a").join(of_b, "b").where("to_a != to_b")
+        left = stored(moved.select(*ends("to_a", "to_b")).distinct(), "edges")
+        if known is None:
+            known = labels
+        else:
+            later = labels.select(F.col("node").alias("to"), F.col("to").alias("root"))
+            known = stored(known.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
     return known.withColumnRenamed("to", "root")
