@@ -445,9 +445,18 @@ def a44_sum_frames(s, d):
     return attrib.sum_frames(attr(s, d))
 
 
-@R.add()
+@R.add(f"""WITH {SHARE}, dr AS (SELECT row_number() OVER (ORDER BY abs(s) DESC, channel) AS rank, channel, s FROM (SELECT channel, sum(attribution) AS s FROM fx_attr GROUP BY channel) QUALIFY rank <= 5),
+  ev AS (SELECT row_number() OVER (ORDER BY share DESC, t) AS rank, t, share, relative_to_uniform AS rel FROM g QUALIFY rank <= 5)
+  SELECT 'driver' AS part, rank, channel AS name, round(s, 6) AS value FROM dr UNION ALL SELECT 'frame', rank, CAST(t AS varchar), round(share, 5) FROM ev
+  UNION ALL SELECT 'caveat', row_number() OVER (ORDER BY k), name, NULL FROM (SELECT 1 AS k, 'attributions leave a residual of 1.00e+09; raise the steps above 32' AS name
+    UNION ALL SELECT 2, 'evidence frames are close to uniform' FROM ev WHERE rank = 1 AND round(rel, 3) < 1.2 UNION ALL SELECT 3, 'lulc_mask were held fixed and not assessed' UNION ALL SELECT 4, 'covers 4 of 8 members')""")
 def d20_explanation_report(s, d):
-    return attrib.explanation_report(attr(s, d), shares(s, d), ["lulc_mask"], residual=1e9, attributed=4, served=8)
+    """The report's parts as rows."""
+    one = attrib.explanation_report(attr(s, d), shares(s, d), ["lulc_mask"], residual=1e9, attributed=4, served=8)
+    drivers = one.select(F.explode("drivers").alias("x")).select(F.lit("driver").alias("part"), "x.rank", F.col("x.channel").alias("name"), F.col("x.score").cast("double").alias("value"))
+    frames = one.select(F.explode("evidence").alias("x")).select(F.lit("frame"), "x.rank", F.col("x.t").cast("string"), F.col("x.share").cast("double"))
+    caveats = one.select(F.posexplode("caveats").alias("i", "x")).select(F.lit("caveat"), F.col("i") + 1, "x", F.lit(None).cast("double"))
+    return drivers.union(frames).union(caveats)
 
 
 # --- replay ---------------------------------------------------------------------------------------
