@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, line_dedup, quality, sharding, simhash, token_files, url_filter, warc
+from . import ann, bpe, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_files, url_filter, variants, warc, whitening
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,7 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_simhash,
         op10_warc,
+        op11_spelling_variants,
+        op12_whitening,
+        op13_mixing,
     )
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": url_filter.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op13_mixing": mixing.ORACLE_SQL}
