@@ -1,19 +1,18 @@
-"""The input-window pipeline: align, accept, regrid, scale, stack, fill, mask."""
+"""The input-window pipeline: align, accept, regrid, scale, pack, fill, mask."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
-from ..functions.scalar import is_observed
-from ..operators import assemble, norm, regrid, sync
-from ..schema import BIT
+from ..operators import assemble, norm, packed, regrid, sync
+from ..operators.packed import Layout
 from ..sources import grd
 from .fixtures import view
 
 
-def build_inputs(
+def packed_inputs(
     times: DataFrame,
     frames: DataFrame,
     cells: DataFrame,
@@ -24,26 +23,22 @@ def build_inputs(
     *,
     streams: list[str],
     source: Grid,
-    target: Grid,
+    layout: Layout,
 ) -> DataFrame:
-    """(valid_time, t, channel_idx, row, col, value, valid, filled, cell_valid) of accepted windows, every cell of every frame.
+    """Accepted windows a row a tile and channel, frames and cells as arrays: see packed.windows.
 
     times: t0_s; frames: (stream, slot_s, qc_flag); cells: (slot_s, channel, row,
-    col, lat, lon, value); static: (channel, row, col, value) on the target grid, the same in
+    col, lat, lon, value); static: (channel, row, col, value) on the layout's grid, the same in
     each frame. Windows are judged on the frames of `streams` alone, and only cells of accepted ones
     are regridded: bilinear if continuous, nearest if categorical. Frames that are missing
-    are filled from their neighbours in the window. valid: there is a value after that;
-    cell_valid: all dynamic channels of the cell have one. channels: the declared ones that are wanted.
+    are filled from their neighbours in the window. channels: the declared ones that are wanted.
     """
-    slots = sync.lookback(times)
-    spine = slots.withColumn("stream", F.explode(F.array(*map(F.lit, streams))))
-    held = spine.join(frames, ["stream", "slot_s"], "left").withColumn("qc_flag", F.coalesce("qc_flag", F.lit(BIT["MISSING_FILE"])))
-    judged = sync.assess(held, ["t0_s", "stream"], "t", is_observed("qc_flag"))
+    judged = packed.judge(times, frames, streams, layout)
     good = judged.groupBy("t0_s").agg(F.bool_and("accepted").alias("ok")).where("ok").select("t0_s")
-    wanted = slots.join(good, "t0_s", "left_semi")
-    used = cells.join(wanted.select("slot_s").distinct(), "slot_s", "left_semi")
+    used = cells.join(good.select(F.explode(layout.slots("t0_s")).alias("slot_s")).distinct(), "slot_s", "left_semi")
 
     declared = channels.select("idx", "channel", "kind", "is_static").collect()  # one row a channel
+    target = layout.grid
     points = grd.grid_cells(times.sparkSession, target).select("row", "col", "lat", "lon")
     read = used.select(F.col("slot_s").alias("slot"), "channel", F.lit(0).alias("level"), "row", "col", "lat", "lon", "value")
     regridded = []
@@ -52,30 +47,31 @@ def build_inputs(
         if names:
             regridded.append(regrid.regrid_stream(read.where(F.col("channel").isin(names)), kind, source, points, grid=target))
     dynamic = [norm.normalise(x.select("slot", "channel", "row", "col", "value"), stats, policy) for x in regridded]
-    stacked = assemble.stack_channels(dynamic, channels).select(F.col("slot").alias("slot_s"), "channel_idx", "row", "col", F.col("value").alias("moving"))
-    fixed = assemble.stack_channels([norm.normalise(static, stats, policy)], channels).select("channel_idx", "row", "col", F.col("value").alias("still"))
-
-    named = F.array(*[F.struct(F.lit(c.idx).alias("channel_idx"), F.lit(c.is_static).alias("is_static"), F.lit(c.kind == "continuous").alias("blended")) for c in declared])
-    place = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dense = wanted.withColumn("c", F.explode(named)).select("t0_s", "t", "slot_s", "c.*")
-    dense = dense.withColumn("row", place(target.height)).withColumn("col", place(target.width))
-    joined = dense.join(stacked, ["slot_s", "channel_idx", "row", "col"], "left").join(fixed, ["channel_idx", "row", "col"], "left")
-    framed = joined.select(F.col("t0_s").alias("valid_time"), "t", "channel_idx", "is_static", "blended", "row", "col", F.coalesce("moving", "still").alias("value"))
-    filled = sync.fill_gaps(framed, ["valid_time", "channel_idx", "row", "col"], "t", blended=F.col("blended"))
-    cell = Window.partitionBy("valid_time", "t", "row", "col")
-    whole = F.min(F.when(~F.col("is_static"), F.col("value").isNotNull())).over(cell)
-    out = assemble.fill_missing(filled.withColumn("cell_valid", F.coalesce(whole, F.lit(True))))
-    return out.select("valid_time", "t", "channel_idx", "row", "col", "value", "valid", "filled", "cell_valid")
+    stacked = assemble.stack_channels(dynamic, channels).select(F.col("slot").alias("slot_s"), "channel_idx", "row", "col", "value")
+    fixed = assemble.stack_channels([norm.normalise(static, stats, policy)], channels)
+    tile = ["channel_idx", "tile_row", "tile_col"]
+    fixed = layout.placed(fixed).groupBy(*tile).agg(F.collect_list(F.struct("place", "value")).alias("held"))
+    fixed = fixed.select(*tile, packed.dense(F.col("held"), layout.places).alias("values"))
+    wanted = [(c.idx, c.is_static, c.kind == "continuous") for c in declared]
+    return packed.windows(good, packed.pack(stacked, layout), fixed, wanted, layout)
+
+
+def build_inputs(*tables: DataFrame, streams: list[str], source: Grid, target: Grid, **layout) -> DataFrame:
+    """packed_inputs a row a cell: (valid_time, t, channel_idx, row, col, value, valid, filled, cell_valid)."""
+    how = Layout(target, **layout)
+    return packed.unpacked(packed_inputs(*tables, streams=streams, source=source, layout=how), how)
 
 
 FIXTURE_CHANNELS = ("insat_tir1", "dem_elevation", "lulc_mask")
 
 
-def fixture_inputs(spark, sf_dir: str) -> DataFrame:
-    """The pipeline over every slot of the events' span on a 4 x 4 grid; slots without an event of the stream are missing."""
+FIXTURE_GRID = Grid(20.0, 20.25, 77.0, 77.25, 1 / 12, 4, 4)
+
+
+def fixture_tables(spark, sf_dir: str) -> tuple[DataFrame, ...]:
+    """times, frames, cells, static, stats, channels and policies from events: every slot of their span is a valid time."""
     f = view(spark, sf_dir, "fx_frame").where("stream = 'insat'")
     frames = f.select("stream", "slot_s", F.lit(0).alias("qc_flag"))
-    grid = Grid(20.0, 20.25, 77.0, 77.25, 1 / 12, 4, 4)
     k = F.explode(F.sequence(F.lit(0), F.lit(15)))
     cells = f.withColumn("k", k).select(
         "slot_s", F.lit("insat_tir1").alias("channel"), F.floor(F.col("k") / 4).cast("int").alias("row"), (F.col("k") % 4).cast("int").alias("col"),
@@ -89,7 +85,13 @@ def fixture_inputs(spark, sf_dir: str) -> DataFrame:
     channels = norm.channel_table(spark).where(F.col("channel").isin(*FIXTURE_CHANNELS))
     ends = f.agg(F.min("slot_s").alias("a"), F.max("slot_s").alias("z")).first()
     times = sync.slot_spine(spark, ends.a or 0, ends.z or 0, ["insat"]).select(F.col("slot_s").alias("t0_s"))
-    return build_inputs(times, frames, cells, static, stats, channels, norm.channel_policies(channels), streams=["insat"], source=grid, target=grid)
+    return times, frames, cells, static, stats, channels, norm.channel_policies(channels)
+
+
+def fixture_inputs(spark, sf_dir: str) -> DataFrame:
+    """The pipeline over every slot of the events' span on a 4 x 4 grid; slots without an event of the stream are missing."""
+    layout = Layout(FIXTURE_GRID, tile=3)
+    return packed_inputs(*fixture_tables(spark, sf_dir), streams=["insat"], source=FIXTURE_GRID, layout=layout)
 
 
 FIXTURE_SQL = """WITH f AS (SELECT slot_s, v FROM fx_frame WHERE stream = 'insat'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import advisory, assemble, attrib, dashboard, norm, regrid, replay
+from ..operators import advisory, assemble, attrib, dashboard, norm, packed, regrid, replay
 from ..schema import BOUNDS
 from ..sources import windows
 from . import inputs
@@ -679,9 +679,7 @@ def s5_read_cells(s, d):
 
 @R.add(inputs.FIXTURE_SQL)
 def v13_build_inputs(s, d):
-    out = inputs.fixture_inputs(s, d).groupBy("valid_time", "t", "channel_idx")
-    counts = [F.count("*").alias("cells"), *[F.count_if(c).alias(c) for c in ("filled", "valid", "cell_valid")]]
-    return rounded(out.agg(*counts, F.sum("value").alias("total")))
+    return rounded(packed.summary(inputs.fixture_inputs(s, d)))
 
 
 @R.add("SELECT b.k AS \"bound\", CAST(b.lo AS double) AS low, CAST(b.hi AS double) AS high, count(e.event_id) AS n FROM (VALUES " + ", ".join(f"('{k}', {a}, {z})" for k, (a, z) in BOUNDS.items()) + ") b(k, lo, hi) LEFT JOIN events e ON e.value BETWEEN b.lo AND b.hi GROUP BY ALL")
