@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import area_description, cosine_distance, decimal_text, event_title, l2_squared, percent
+from ..functions.scalar import area_description, decimal_text, event_title, percent
 from ..schema import CAP_CERTAINTY_RANK, CAP_SEVERITY, CAP_SEVERITY_RANK, COAST_M, MOUNTAIN_M, URBAN_FRACTION
+from . import retrieval
 from .impact import DISTRICT, district_class_fraction, district_mean
 
 FILTERS = ["hazard_class", "severity_tier", "region"]
@@ -65,25 +66,14 @@ def retrieval_context(impacts: DataFrame) -> DataFrame:
 # --- retrieval --------------------------------------------------------------------
 
 
-def retrieve(
-    queries: DataFrame, chunks: DataFrame, k: int = 4, metric: str = "l2sq", filters: list[str] = FILTERS, blocks: int = 16
-) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 4, metric: str = "l2sq", filters: list[str] = FILTERS, **options) -> DataFrame:
     """Per query (query_id, filters, embedding) the k nearest chunks with equal metadata, nearest first.
 
-    An equi-join on the filter keys, so only chunks that can qualify are measured. Filters
-    have few values, so chunks are dealt to `blocks` of each and queries go to all of
-    them; a task hands on k rows a query.
-    A query without any match keeps one row with empty_reason. Ties go to the
-    smaller chunk_id.
+    query_ids are unique. Only chunks that can qualify are measured: see retrieval. A query without
+    any match keeps one row with empty_reason. Ties go to the smaller chunk_id. Vectors that are null, not
+    finite, or of another length than the chunks' take no part, as do vectors of zeros under cosine.
     """
-    measure = {"l2sq": l2_squared, "cosine": cosine_distance}[metric]
-    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block")
-    c = chunks.select(*filters, block, "chunk_id", F.col("embedding").alias("e"))
-    dealt = queries.select("query_id", *filters, "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = dealt.join(c, [*filters, "block"])
-    scored = pairs.select("query_id", "chunk_id", measure("embedding", "e").alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = retrieval.nearest(queries, chunks, k, metric, filters, **options)
     out = queries.select("query_id").join(best, "query_id", "left")
     return out.withColumn("empty_reason", F.when(F.col("chunk_id").isNull(), "no chunk matches the filter"))
 
