@@ -114,6 +114,8 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + sql[15:]
     if sql[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql

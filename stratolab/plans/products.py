@@ -481,7 +481,9 @@ def storm_rows(s, d):
 
 @R.add(f"WITH {ROWS_SQL} SELECT round(quantile_cont(score, 0.9), 6) AS threshold, 'streaming_quantile' AS rule FROM sr")
 def a24_admission_threshold(s, d):
-    return rounded(replay.admission_threshold(storm_rows(s, d), replay.Policy(min_history=10)))
+    policy = replay.Policy(min_history=10)
+    rows = storm_rows(s, d).withColumn("place", replay.unit_hash(29, "t_s"))
+    return rounded(replay.admission_threshold(replay.score_history(rows, policy), policy))
 
 
 @R.add(f"""WITH {ROWS_SQL}, g AS (SELECT *, sum(CASE WHEN gap < 10800 THEN 0 ELSE 1 END) OVER (PARTITION BY window_id ORDER BY t_s) AS storm FROM
@@ -498,27 +500,50 @@ def t4_weighted_reservoir(s, d):
     return rounded(replay.weighted_reservoir(keyed, 10, tie="t_s"))
 
 
-def season():
-    """Windows are the seasons whose reservoirs are folded side by side."""
-    return F.col("window_id").cast("int").alias("season")
+SEASON_POLICY, SEASON_CAPACITY = replay.Policy(min_history=10, quantile=0.3, history=40), 8
+
+
+def season_rows(s, d):
+    """Storm rows by season, a year of windows, with draws and places from hashes of the time."""
+    year = F.floor((F.col("window_id") - 1) / 12).cast("int").alias("season")
+    return storm_rows(s, d).select(year, "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"), replay.unit_hash(29, "t_s").alias("place"))
+
+
+DRAW = "((CAST('0x' || substr(md5('{0}:' || t_s), 1, 13) AS bigint)::double + 0.5) / 4503599627370496)"
+# The ordered fold, a row a step: h is the history (place, score), r the records (time, score, key).
+FOLD = f"""RECURSIVE {ROWS_SQL},
+  n AS (SELECT CAST(floor((window_id - 1) / 12) AS int) AS season, t_s, score, {DRAW.format(23)} AS u, {DRAW.format(29)} AS p,
+    row_number() OVER (PARTITION BY floor((window_id - 1) / 12) ORDER BY t_s) AS i FROM sr),
+  f AS (SELECT season, 0::bigint AS i, 0::bigint AS t_s, 0::double AS score, '' AS code, CAST([] AS struct(p double, s double)[]) AS h, CAST([] AS struct(t bigint, s double, k double)[]) AS r FROM (SELECT DISTINCT season FROM n)
+    UNION ALL
+    SELECT season, i, t_s, score, code, h2, CASE WHEN code = 'admitted' THEN list_append(off, own) WHEN code = 'admitted_evicting' THEN list_append(list_filter(off, lambda x: x.k <> weak), own)
+      WHEN code = 'rejected_reservoir_key' THEN off ELSE r END
+    FROM (SELECT *, CASE WHEN score <= 0 THEN 'rejected_zero_score' WHEN score < thr THEN 'rejected_below_threshold' WHEN len(near) > 0 AND score <= list_max(list_transform(near, lambda x: x.s)) THEN 'rejected_temporal_duplicate'
+        WHEN len(off) < 8 THEN 'admitted' WHEN own.k <= weak THEN 'rejected_reservoir_key' ELSE 'admitted_evicting' END AS code
+      FROM (SELECT *, CASE WHEN len(h2) < 10 THEN 0.001 ELSE list_aggregate(list_transform(h2, lambda x: x.s), 'quantile_cont', 0.3) END AS thr, list_min(list_transform(off, lambda x: x.k)) AS weak,
+          {{'t': t_s, 's': score, 'k': ln(u) / nullif(score, 0)}} AS own
+        FROM (SELECT n.season, n.i, n.t_s, n.score, n.u, f.r, list_slice(list_sort(list_append(f.h, {{'p': n.p, 's': n.score}})), 1, 40) AS h2,
+            list_filter(f.r, lambda x: abs(x.t - n.t_s) < 10800) AS near, list_filter(f.r, lambda x: abs(x.t - n.t_s) >= 10800) AS off
+          FROM f JOIN n ON n.season = f.season AND n.i = f.i + 1)))),
+  z AS (SELECT season, arg_max(r, i) AS r FROM f GROUP BY season),
+  w AS (SELECT f.season, f.t_s, f.score, f.code, list_contains(list_transform(z.r, lambda x: x.t), f.t_s) AS held FROM f JOIN z USING (season) WHERE f.i > 0)"""
 
 
 def folded(s, d):
-    rows = storm_rows(s, d).select(season(), "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"))
-    return replay.decorrelate(rows, replay.Policy(min_history=10, quantile=0.3), capacity=8)
+    return replay.decorrelate(season_rows(s, d), SEASON_POLICY, SEASON_CAPACITY)
 
 
-@R.add()
+@R.add(f"WITH {FOLD} SELECT season, t_s, score, code, held FROM w")
 def w9_decorrelate(s, d):
     return folded(s, d)
 
 
-@R.add()
+@R.add(f"WITH {FOLD} SELECT code, count(*) AS n, min(score) AS least, max(score) AS most FROM w GROUP BY code")
 def a34_reservoir_stats(s, d):
     return replay.reservoir_stats(folded(s, d))
 
 
-@R.add()
+@R.add(f"WITH {FOLD} SELECT season, t_s, score, code, held FROM w WHERE held ORDER BY {DRAW.format(7)}, t_s LIMIT 4")
 def r5_sample_reservoir(s, d):
     return replay.sample_reservoir(folded(s, d).where("held"), 4, 7)
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import replay
 from ..operators.dashboard import limits_table
 from ..sources.windows import shared_path
 from ..streaming import online
 from .fixtures import view
-from .products import IDS, TELE, season, storm_rows
+from .products import FOLD, IDS, SEASON_CAPACITY, SEASON_POLICY, TELE, season_rows
 from .registry import Registry
 from .verification import rounded
 
@@ -71,15 +70,15 @@ def r3_stream_latest(s, d):
     return out.groupBy("satellite", F.unix_seconds("slot").alias("slot_s")).agg(F.max("path").alias("path"))
 
 
-@R.add()
+@R.add(f"WITH {FOLD} SELECT season, t_s, score, code FROM w")
 def r4_stream_reservoir(s, d):
-    """The same rows in one batch give the batch fold's decisions."""
-    rows = storm_rows(s, d).select(season(), "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"))
+    """The same rows, a season's in time order, give the batch fold's decisions."""
+    rows = season_rows(s, d)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(key)
     s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return finished(s, online.stream_reservoir(arriving(s, rows.repartition("season").sortWithinPartitions("season", "t_s")), replay.Policy(min_history=10, quantile=0.3), capacity=8))
+        return finished(s, online.stream_reservoir(arriving(s, rows.repartition("season").sortWithinPartitions("season", "t_s")), SEASON_POLICY, SEASON_CAPACITY))
     finally:
         s.conf.set(key, before)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -73,28 +72,38 @@ def stream_alerts(sdf: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 class _Keeper(StatefulProcessor):
-    """A season's reservoir as one JSON value of bounded size: history and capacity are fixed."""
+    """A season's reservoir as two maps: history by place, records by time. A batch writes the entries that change."""
 
     def __init__(self, policy: Policy, capacity: int):
         self.policy, self.capacity = policy, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.box = handle.getValueState("reservoir", "state string")
+        self.history = handle.getMapState("history", "place double", "score double")
+        self.records = handle.getMapState("records", "t_s long", "score double, key double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("t_s", kind="stable")
-        held = json.loads(self.box.get()[0]) if self.box.exists() else None
-        box = Reservoir(self.policy, self.capacity, held)
-        codes = [box.offer(float(t), float(s), float(u)) for t, s, u in zip(new["t_s"], new["score"], new["draw"], strict=True)]
-        self.box.update((json.dumps(box.state()),))
+        history, records = ({k[0]: tuple(v) for k, v in m.iterator()} for m in (self.history, self.records))
+        box = Reservoir(self.policy, self.capacity, [(p, s) for p, (s,) in history.items()], [(t, *v) for t, v in records.items()])
+        codes = [box.offer(int(t), float(s), float(u), float(p))[0] for t, s, u, p in zip(new["t_s"], new["score"], new["draw"], new["place"], strict=True)]
+        self._write(self.history, history, {p: (s,) for p, s in box.history.rows})
+        self._write(self.records, records, box.records.rows)
         yield pd.DataFrame({"season": key[0], "t_s": new["t_s"].to_numpy(), "score": new["score"].to_numpy(), "code": codes})
 
+    @staticmethod
+    def _write(state: Any, before: dict, after: dict) -> None:
+        for k in before.keys() - after.keys():
+            state.removeKey((k,))
+        for k, v in after.items():
+            if before.get(k) != v:
+                state.updateValue((k,), v)
+
     def close(self) -> None:
         pass
 
 
 def stream_reservoir(sdf: DataFrame, policy: Policy = POLICY, capacity: int = 512) -> DataFrame:
-    """Decisions for scored windows (season, t_s, score, draw), each season's state kept between batches.
+    """Decisions for scored windows (season, t_s, score, draw, place), each season's state kept between batches.
 
     Needs the RocksDB state store. Within a batch rows are folded in time order.
     """

@@ -427,14 +427,14 @@ def test_missing_slots_stay_in_the_window(spark):
 def test_reservoir_fold():
     box = replay.Reservoir(replay.Policy(min_history=100, floor=0.1), capacity=2)
     hour = 3600
-    said = [box.offer(t * hour, s, 0.5) for t, s in ((0, 0.0), (1, 0.05), (2, 0.5), (3, 0.4), (4, 0.6), (20, 0.3), (40, 0.2), (60, 0.9))]
+    said = [box.offer(t * hour, s, 0.5, t / 99)[0] for t, s in ((0, 0.0), (1, 0.05), (2, 0.5), (3, 0.4), (4, 0.6), (20, 0.3), (40, 0.2), (60, 0.9))]
     assert said == [
         "rejected_zero_score", "rejected_below_threshold", "admitted", "rejected_temporal_duplicate", "admitted",
         "admitted", "rejected_reservoir_key", "admitted_evicting",
     ]
-    assert sorted(r[0] / hour for r in box.records) == [4, 60]
-    again = replay.Reservoir(box.policy, 2, box.state())
-    assert again.offer(61 * hour, 0.1, 0.5) == box.offer(61 * hour, 0.1, 0.5) == "rejected_temporal_duplicate"
+    assert sorted(t / hour for t in box.records.rows) == [4, 60]
+    again = replay.Reservoir(box.policy, 2, box.history.rows, [(t, *v) for t, v in box.records.rows.items()])
+    assert again.offer(61 * hour, 0.1, 0.5, 0.7) == box.offer(61 * hour, 0.1, 0.5, 0.7) == ("rejected_temporal_duplicate", None, [])
 
 
 def test_stream_equals_batch(spark, sf_dir):
