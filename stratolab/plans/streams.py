@@ -52,6 +52,34 @@ def r1_stream_slots(s, d):
     return rounded(last.select("stream", F.unix_seconds("slot").alias("slot_s"), "x.n", "x.total"), 4)
 
 
+@R.add(f"""WITH a AS (SELECT {MAPPED} AS stream, value, epoch_ms(ts) AS ms, CAST(floor(epoch(ts)) AS bigint) AS s, CAST(floor((CAST(floor(epoch(ts)) AS bigint) + 900) / 1800) AS bigint) * 1800 AS slot_s,
+    CAST(floor(epoch(ts)) AS bigint) + CASE WHEN event_id % 50 = 0 THEN 7200 WHEN event_id % 10 = 0 THEN 1800 ELSE 0 END AS arrival FROM events),
+  n AS (SELECT *, least((arrival - min(arrival) OVER ()) * 3 // (max(arrival) OVER () - min(arrival) OVER ()), 2) AS run FROM a), t AS (SELECT * FROM n WHERE abs(s - slot_s) <= 420),
+  w AS (SELECT run, max(ms) AS ms FROM t GROUP BY run), j AS (SELECT t.*, (slot_s + 1800) * 1000 <= coalesce((SELECT max(w.ms) - 1800000 FROM w WHERE w.run < t.run), 0) AS late FROM t)
+  SELECT 'late' AS kind, stream, slot_s, 1 AS n, round(value, 4) AS total FROM j WHERE late UNION ALL
+  SELECT 'closed', stream, slot_s, count(*), round(sum(value), 4) FROM j WHERE NOT late AND (slot_s + 1800) * 1000 <= (SELECT max(ms) - 1800000 FROM w) GROUP BY stream, slot_s""")
+def r1_stream_late(s, d):
+    """Every tenth event arrives one slot after its time and every fiftieth four; three runs take what has arrived by then."""
+    delay = F.when(F.col("event_id") % 50 == 0, 7200).when(F.col("event_id") % 10 == 0, 1800).otherwise(0)
+    e = events(s, d).withColumn("arrival", F.unix_seconds("ts") + delay)
+    ends = e.agg(F.min("arrival").alias("a"), F.max("arrival").alias("z")).first()
+    run = F.least(F.floor((F.col("arrival") - ends.a) * 3 / (ends.z - ends.a)), F.lit(2))
+    source, out, check = (shared_path(s, f"stream-{x}") for x in ("in", "out", "check"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(3):
+            part = e.where(run == k).select("ts", "stream", "value")
+            part.write.mode("append").parquet(source)
+            found = online.slots_and_late(s.readStream.schema(part.schema).parquet(source))
+            query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return rounded(s.read.parquet(out).select("kind", "stream", "slot_s", "n", "total"), 4)
+
+
 @R.add("""WITH e AS (SELECT CAST(floor(epoch(ts) / 1800) AS bigint) * 1800 - 1800 * k AS start_s, value FROM events, (SELECT unnest(range(13)) AS k))
   SELECT start_s, start_s + 23400 AS end_s, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL""")
 def r2_stream_lookback(s, d):
@@ -120,4 +148,4 @@ def r9_incremental_windows(s, d):
     root, check = shared_path(s, "windows"), shared_path(s, "stream-check")
     query = online.incremental_windows(arriving(s, times.repartition(4)), root, check).trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.read.parquet(root).select("valid_time")
+    return online.committed(s, root, "valid_time long").select("valid_time")

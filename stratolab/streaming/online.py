@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,6 +35,82 @@ def stream_slots(sdf: DataFrame, *, time: str = "ts", stream: str = "stream", va
     )
 
 
+class _Closing(StatefulProcessor):
+    """One row a key until its slot closes: event-time timers give it out and drop it. What comes later leaves as it is.
+
+    `fold` joins the rows of a batch to the state, None at first.
+    """
+
+    def __init__(self, state: str, fold: Callable[[tuple | None, pd.DataFrame], tuple], close_s: int):
+        self.state, self.fold, self.close_s = state, fold, close_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", self.state)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        ends = (int(key[1]) + self.close_s) * 1000
+        late = ends <= timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            if late:
+                yield batch.assign(kind="late")
+            else:
+                self.open.update(self.fold(self.open.get() if self.open.exists() else None, batch))
+        if not late:
+            self.handle.registerTimer(ends)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            names = [c.split()[0] for c in self.state.split(", ")]
+            found = {c: [v] for c, v in zip(names, self.open.get(), strict=True)}
+            self.open.clear()
+            yield pd.DataFrame({"key": [key[0]], "slot_s": [int(key[1])], "kind": ["closed"], **found})
+
+    def close(self) -> None:
+        pass
+
+
+def _closing(sdf: DataFrame, time: str, late: str, state: str, fold: Callable) -> DataFrame:
+    """(kind, key, slot_s, state columns) of sdf (time, key, slot_s, the state's columns): closed slots, and rows later than `late`."""
+    names = [c.split()[0] for c in state.split(", ")]
+    # The watermark is of the time column, which does not go on: so Spark drops no late row before it is seen here.
+    marked = sdf.withWatermark(time, late).select("key", "slot_s", *names)
+    return marked.groupBy("key", "slot_s").transformWithStateInPandas(
+        statefulProcessor=_Closing(state, fold, SLOT_S),
+        outputStructType=f"kind string, key string, slot_s long, {state}",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+
+
+def slots_and_late(sdf: DataFrame, *, time: str = "ts", stream: str = "stream", value: str = "value", late: str = "30 minutes") -> DataFrame:
+    """Two outputs in one, told apart by `kind`: "closed", one (stream, slot_s, n, total) a slot, and "late", a row an observation.
+
+    Observations out of tolerance of their slot are left out. A slot closes, once, when the watermark reaches its end; its state is
+    dropped then, so what is kept is bounded by the slots open at a time. A late row has n 1 and its value as total. Needs RocksDB.
+    """
+
+    def fold(held: tuple | None, rows: pd.DataFrame) -> tuple:
+        n, total = held or (0, 0.0)
+        return int(n) + int(rows["n"].sum()), float(total) + float(rows["total"].sum())
+
+    slot = F.unix_seconds(slot_time(F.col(time)))
+    near = sdf.withColumn("slot_s", slot).where(F.abs(F.unix_seconds(time) - F.col("slot_s")) <= TOLERANCE_S)
+    named = near.select(time, F.col(stream).alias("key"), "slot_s", F.lit(1).cast("long").alias("n"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("total"))
+    return _closing(named, time, late, "n long, total double", fold).withColumnRenamed("key", stream)
+
+
+def latest_and_late(sdf: DataFrame, *, late: str = "30 minutes") -> DataFrame:
+    """Like slots_and_late, of granules (satellite, slot, name, path): closed slots have their newest name and its path, late ones their own."""
+
+    def fold(held: tuple | None, rows: pd.DataFrame) -> tuple:
+        best = rows.sort_values(["name", "path"]).iloc[-1]
+        new = (str(best["name"]), str(best["path"]))
+        return new if held is None else max(new, (str(held[0]), str(held[1])))
+
+    named = sdf.select("slot", F.col("satellite").alias("key"), F.unix_seconds("slot").alias("slot_s"), "name", "path")
+    return _closing(named, "slot", late, "name string, path string", fold).withColumnRenamed("key", "satellite")
+
+
 def stream_lookback(sdf: DataFrame, *, time: str = "ts", value: str = "value", late: str = "30 minutes") -> DataFrame:
     """Counts and sums over the six and a half hours that end with each slot."""
     window = F.window(time, "390 minutes", "30 minutes")
@@ -115,23 +191,37 @@ def stream_reservoir(sdf: DataFrame, policy: Policy = POLICY, capacity: int = 51
     )
 
 
+def commit(batch: DataFrame, root: str, batch_id: int) -> None:
+    """Say that a batch is whole. Until then no reader takes its rows."""
+    spark = batch.sparkSession
+    spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/{batch_id:012d}")
+
+
+def committed(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The rows of whole batches, with `day` and `batch`. schema: that of the rows."""
+    done = spark.read.schema("batch long").option("recursiveFileLookup", True).parquet(f"{root}/commits")
+    rows = spark.read.schema(f"{schema}, batch long, day date").parquet(f"{root}/windows")
+    return rows.join(done, "batch", "left_semi")
+
+
 def incremental_windows(sdf: DataFrame, root: str, checkpoint: str):
-    """Append windows whose valid_time (seconds) the store does not hold yet; each is built once.
+    """Append windows whose valid_time (seconds) no whole batch holds yet; each is built once.
 
-    The store lies by day, so a batch reads the days that it has windows of.
+    A batch's rows go to a folder of its own, which a repetition of the batch replaces, and count once the batch is
+    committed. So a batch that fails at any point and runs again neither doubles windows nor loses them. Rows lie by batch and
+    day, so that a batch reads only the days that it has windows of.
     """
+    spark = sdf.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sdf.schema)
+    for part, columns in (("commits", "batch long"), ("windows", f"{schema}, batch long, day date")):
+        spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{root}/{part}/start" if part == "commits" else f"{root}/{part}/batch=-1/day=1970-01-01")
 
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def append(batch: DataFrame, batch_id: int) -> None:
         new = batch.dropDuplicates(["valid_time"]).withColumn("day", F.to_date(F.timestamp_seconds("valid_time")))
         days = [r.day for r in new.select("day").distinct().collect()]  # of one batch
-        try:
-            known = spark.read.parquet(root).where(F.col("day").isin(days)).select("valid_time")
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            new = new.join(known, "valid_time", "left_anti")
-        new.repartition("day").write.mode("append").partitionBy("day").parquet(root)
+        known = committed(batch.sparkSession, root, schema).where(F.col("day").isin(days) & (F.col("batch") != batch_id))
+        new = new.join(known.select("valid_time"), "valid_time", "left_anti")
+        new.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{root}/windows/batch={batch_id}")
+        commit(batch, root, batch_id)
 
     return sdf.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
