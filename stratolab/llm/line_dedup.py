@@ -10,7 +10,7 @@ and so is a single line of LONG_LINE words or more.
 Documents stand in order of their ids. A chunk goes where an earlier place still holds
 it whole: its keeper, the first place of which no line has gone. Chunks of different rules
 overlap, so keepers hang on each other; they are found by bounds from both
-sides that close in round by round. Every chunk that goes has its bytes compared with
+sides that close in round by round, until no chunk is open. Every chunk that goes has its bytes compared with
 its keeper's, and the keeper stays whole.
 
 Plan: one pass writes (document, lines, digest) of all chunks; a partial
@@ -21,7 +21,10 @@ salted; the decisions go back to the documents by one join on their key.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,39 +161,130 @@ def _goes() -> F.Column:
     return (_place() > F.col("keeper")) & (~same | apart)
 
 
-def _settled(places: DataFrame, repeated: DataFrame, total: int, rounds: int) -> DataFrame:
+def closed(found: set[tuple[tuple, bytes, bool | None]]) -> dict[bytes, tuple | None]:
+    """Keepers of the chunks of places (place, digest, fixed) whose `fixed` is not known, as _settled() finds them.
+
+    A place is (named, id, tie, span). All places of a document that has such a chunk must be there.
+    """
+    fixed = {(p, d): f for p, d, f in found if f is not None}
+    docs, chunks = defaultdict(list), defaultdict(list)
+    for p, d, f in found:
+        docs[p[:3]].append((p, d))
+        if f is None:
+            chunks[d].append(p)
+
+    def goes(p: tuple, keeper: tuple | None) -> bool:
+        if keeper is None or p <= keeper:
+            return False
+        return p[:3] != keeper[:3] or (p[3] >> 32) - (keeper[3] >> 32) >= p[3] & 0xFFFFFFFF
+
+    def keepers(of: dict[bytes, tuple | None]) -> dict[bytes, tuple | None]:
+        best: dict[bytes, tuple | None] = dict.fromkeys(of)
+        for here in docs.values():
+            gone = []
+            for p, d in here:
+                if fixed[p, d] if (p, d) in fixed else goes(p, of.get(d)):
+                    gone.append((p[3] >> 32, (p[3] >> 32) + (p[3] & 0xFFFFFFFF)))
+            starts, ends = sorted(a for a, _ in gone), sorted(z for _, z in gone)
+            for p, d in here:
+                if d in best and (best[d] is None or p < best[d]):
+                    first, behind = p[3] >> 32, (p[3] >> 32) + (p[3] & 0xFFFFFFFF)
+                    # As many intervals end by its first line as begin before its end: none overlaps.
+                    if bisect_right(ends, first) == bisect_left(starts, behind):
+                        best[d] = p
+        return best
+
+    done: dict[bytes, tuple | None] = {}
+    early: dict[bytes, tuple | None] = {d: min(ps) for d, ps in chunks.items()}
+    late = keepers(early)
+    while early:
+        for d in [d for d in early if early[d] == late[d]]:
+            done[d] = early.pop(d)
+            fixed |= {(p, d): goes(p, done[d]) for p in chunks[d]}
+        late = {d: late[d] for d in early}
+        open_docs = {p[:3] for d in early for p in chunks[d]}
+        docs = {k: v for k, v in docs.items() if k in open_docs}
+        closer = keepers(late)
+        if closer == early:
+            return done | late
+        early, late = closer, keepers(closer)
+    return done
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = set()
+    for batch in batches:
+        for id_, tie, span, digest, fixed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.add(((tie & 1, id_, tie, span), digest, fixed))
+    found = {d: p for d, p in closed(rows).items() if p is not None}
+    kept = [dict(zip(("named", "id", "tie", "span"), p, strict=True)) for p in found.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(kept, _KEEPER)], names=["digest", "keeper"])
+
+
+_KEEPER = pa.struct([(c, pa.int64()) for c in ("named", "id", "tie", "span")])
+
+
+def _settled(places: DataFrame, repeated: DataFrame, total: int, local_places: int) -> DataFrame:
     """Keepers of the repeated chunks. Each keeper stays whole when all that lies behind keepers goes.
 
     Keepers taken too early make too much go; those still whole then are keepers for
     certain, though perhaps too late. What goes by these makes too little go, so the first
-    places still whole are early again, but closer. Rounds end when both agree, or
-    when there were `rounds` of them: then the certain ones hold, and what hangs on others stays.
+    places still whole are early again, but closer. A chunk is settled when both agree, and what becomes of its places
+    is fixed; only documents with a chunk that is not go on. Rounds end when none is open. Chunks whose keepers hang on
+    each other in a circle never agree: when nothing moves, the certain ones hold for them. What is left when documents
+    with open chunks have at most local_places places goes through the same rounds within one task.
     """
 
-    def keepers(of: DataFrame) -> DataFrame:
+    def keepers(of: DataFrame, digests: DataFrame) -> DataFrame:
         first = of.groupBy("digest").agg(F.min(_place()).alias("keeper"))
-        return stored(repeated.join(first, "digest"), "keepers")
+        return stored(digests.select("digest", "copies").join(first, "digest", "left"), "keepers")
 
-    def whole(keepers: DataFrame) -> DataFrame:
+    def whole(rows: DataFrame, keepers: DataFrame) -> DataFrame:
         # A chunk without a keeper goes nowhere.
-        judged = spread_join(places, keepers, "digest", total, "left")
-        judged = judged.select(*_DOC, F.struct("span", "digest", F.coalesce(_goes(), F.lit(False)).alias("goes")).alias("p"))
+        judged = spread_join(rows.where("fixed is null").drop("fixed"), keepers, "digest", total, "left")
+        judged = judged.select(*places.columns, F.coalesce(_goes(), F.lit(False)).alias("goes"))
+        judged = judged.unionByName(rows.where("fixed is not null").withColumnRenamed("fixed", "goes"))
         # The places of one document are fewer than its lines times the rules.
-        return judged.groupBy(*_DOC).agg(F.collect_set("p").alias("found")).mapInArrow(_whole, _PLACE)
-
-    early = keepers(places)
-    for _ in range(rounds):
-        late = keepers(whole(early))
-        # Where the first place of all is still whole, nothing can move any more.
-        open_ = early.join(late.select("digest", F.col("keeper").alias("other")), "digest", "left")
-        if open_.where(~F.col("keeper").eqNullSafe(F.col("other"))).isEmpty():
+        return judged.groupBy(*_DOC).agg(F.collect_set(F.struct("span", "digest", "goes")).alias("found")).mapInArrow(_whole, _PLACE)
+
+    def unequal(a: DataFrame, b: DataFrame) -> bool:
+        both = a.join(b.select("digest", F.col("keeper").alias("other")), "digest")
+        return not both.where(~F.col("keeper").eqNullSafe(F.col("other"))).isEmpty()
+
+    def rest(rows: DataFrame) -> DataFrame:
+        """The keepers of the open chunks of few rows."""
+        one = rows.select(*_DOC, "span", "digest", "fixed").coalesce(1)
+        made = one.mapInArrow(_closed, "digest binary, keeper struct<named:bigint,id:bigint,tie:bigint,span:bigint>")
+        return repeated.join(made, "digest").select("digest", "copies", "keeper")
+
+    rows = places.withColumn("fixed", F.lit(None).cast("boolean"))
+    if places.count() <= local_places:
+        return rest(rows)
+    early = keepers(rows, repeated)
+    late = keepers(whole(rows, early), repeated)
+    settled = []
+    while True:
+        both = early.join(late.select("digest", F.col("keeper").alias("late")), "digest", "left")
+        both = stored(both.withColumn("same", F.col("keeper").eqNullSafe(F.col("late"))), "line-bounds")
+        settled.append(both.where("same").select("digest", "copies", "keeper"))
+        open_ = both.where("not same")
+        if open_.isEmpty():
+            break
+        docs = rows.where("fixed is null").join(open_.select("digest"), "digest", "left_semi").select(*_DOC).distinct()
+        near = rows.join(docs, _DOC, "left_semi")
+        fixed = spread_join(near.where("fixed is null").drop("fixed"), both, "digest", total, "left")
+        fixed = fixed.select(*places.columns, F.when(F.col("same"), F.coalesce(_goes(), F.lit(False))).alias("fixed"))
+        rows = stored(fixed.unionByName(near.where("fixed is not null")), "line-open")
+        if rows.count() <= local_places:
+            settled.append(rest(rows))
             break
-        closer = keepers(whole(late))
-        moved = closer.join(late.select("digest", F.col("keeper").alias("other")), "digest", "left")
-        if moved.where(~F.col("keeper").eqNullSafe(F.col("other"))).isEmpty():
+        certain = open_.select("digest", "copies", F.col("late").alias("keeper"))
+        closer = keepers(whole(rows, certain), open_)
+        if not unequal(closer, open_):
+            settled.append(certain)
             break
-        early = closer
-    return late
+        early, late = closer, keepers(whole(rows, closer), open_)
+    return reduce(DataFrame.unionByName, settled).where("keeper is not null")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +337,7 @@ def dedup(
     rules: tuple[tuple[int, int], ...] = RULES,
     min_lines: int = 2,
     salt_rows: int = 500,
-    rounds: int = 4,
+    local_places: int = 10_000,
 ) -> DataFrame:
     """docs with repeated chunks of lines taken out of the text, and int n_removed_lines.
 
@@ -265,7 +359,7 @@ def dedup(
     repeated = stored(found.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"), "line-repeats")
     rows = found.count()
     places = stored(spread_join(found, repeated, "digest", rows).select(found.columns), "line-places")
-    keepers = _settled(places, repeated, rows, rounds)
+    keepers = stored(_settled(places, repeated, rows, local_places), "line-keepers")
     going = spread_join(places, keepers, "digest", rows).where(_goes())
     going = going.groupBy(*_DOC).agg(F.collect_set(F.struct("span", "digest")).alias("found")).mapInArrow(_cover, _PLACE)
     going = stored(going, "line-cover")

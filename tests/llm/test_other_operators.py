@@ -204,6 +204,15 @@ def test_shards_of_small_tables(spark, sf_dir):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_ascending_chains_take_few_rounds(spark, monkeypatch):
+    from stratolab.llm import components as module
+
+    real, rounds = module.stored, []
+    monkeypatch.setattr(module, "stored", lambda df, name: (rounds.append(name), real(df, name))[1])
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")).collect()
+    assert len(got) == 1001 and {r.root for r in got} == {0} and rounds.count("labels") <= 15
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

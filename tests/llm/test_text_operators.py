@@ -350,8 +350,8 @@ def test_line_dedup_is_brute_force(spark, sf_dir, salt_rows):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, 4])
-def test_what_goes_is_still_whole_somewhere(spark, rounds):
+@pytest.mark.parametrize("local", [0, 10_000])
+def test_what_goes_is_still_whole_somewhere(spark, local):
     """Many small corpora of few different lines, where chunks of all rules overlap."""
     import random
 
@@ -360,7 +360,7 @@ def test_what_goes_is_still_whole_somewhere(spark, rounds):
         for d in range(9):
             words[100 * corpus + d] = [f"{corpus} {rng.choice('abcdefgh')}" for _ in range(rng.randrange(1, 9))]
     rows = [(d, "\n".join(x)) for d, x in words.items()]
-    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds).collect()}
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), local_places=local).collect()}
     gone = 0
     for corpus in range(60):
         ids = [100 * corpus + d for d in range(9)]
@@ -375,11 +375,18 @@ def test_what_goes_is_still_whole_somewhere(spark, rounds):
             assert goes <= len(cover)
             gone += goes
     assert gone > 300
-    if rounds == 4:
-        want = {}
-        for corpus in range(60):
-            want |= dict(brute_lines([r for r in rows if r[0] // 100 == corpus]))
-        assert {d: r.text for d, r in got.items()} == want
+    want = {}
+    for corpus in range(60):
+        want |= dict(brute_lines([r for r in rows if r[0] // 100 == corpus]))
+    assert {d: r.text for d, r in got.items()} == want
+
+
+@pytest.mark.parametrize(("local", "documents"), [(0, 12), (10_000, 60)])
+def test_chains_of_documents_are_settled_to_their_end(spark, local, documents):
+    """Each document shares two of its three lines with the next: every second one is cut, however long the chain."""
+    rows = [(i, "\n".join(f"line number {k} of the chain" for k in range(i, i + 3))) for i in range(documents)]
+    got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), local_places=local).collect()
+    assert sorted(r.doc_id for r in got if r.n_removed_lines) == list(range(1, documents, 2))
 
 
 def test_rows_without_ids_are_told_apart(spark):
