@@ -237,7 +237,7 @@ def _settled(places: DataFrame, repeated: DataFrame, total: int, local_places: i
 
     def keepers(of: DataFrame, digests: DataFrame) -> DataFrame:
         first = of.groupBy("digest").agg(F.min(_place()).alias("keeper"))
-        return stored(digests.select("digest", "copies").join(first, "digest", "left"), "keepers")
+        return digests.select("digest", "copies").join(first, "digest", "left")
 
     def whole(rows: DataFrame, keepers: DataFrame) -> DataFrame:
         # A chunk without a keeper goes nowhere.
@@ -260,17 +260,19 @@ def _settled(places: DataFrame, repeated: DataFrame, total: int, local_places: i
     rows = places.withColumn("fixed", F.lit(None).cast("boolean"))
     if places.count() <= local_places:
         return rest(rows)
-    early = keepers(rows, repeated)
+    early = stored(keepers(rows, repeated), "keepers")
     late = keepers(whole(rows, early), repeated)
     settled = []
     while True:
         both = early.join(late.select("digest", F.col("keeper").alias("late")), "digest", "left")
         both = stored(both.withColumn("same", F.col("keeper").eqNullSafe(F.col("late"))), "line-bounds")
         settled.append(both.where("same").select("digest", "copies", "keeper"))
-        open_ = both.where("not same")
+        # Tables of their own, of known size: where they are small, the places stay where they are.
+        open_ = stored(both.where("not same"), "line-open-chunks")
         if open_.isEmpty():
             break
         docs = rows.where("fixed is null").join(open_.select("digest"), "digest", "left_semi").select(*_DOC).distinct()
+        docs = stored(docs, "line-open-documents")
         near = rows.join(docs, _DOC, "left_semi")
         fixed = spread_join(near.where("fixed is null").drop("fixed"), both, "digest", total, "left")
         fixed = fixed.select(*places.columns, F.when(F.col("same"), F.coalesce(_goes(), F.lit(False))).alias("fixed"))
@@ -279,7 +281,7 @@ def _settled(places: DataFrame, repeated: DataFrame, total: int, local_places: i
             settled.append(rest(rows))
             break
         certain = open_.select("digest", "copies", F.col("late").alias("keeper"))
-        closer = keepers(whole(rows, certain), open_)
+        closer = stored(keepers(whole(rows, certain), open_), "keepers")
         if not unequal(closer, open_):
             settled.append(certain)
             break
@@ -359,7 +361,7 @@ def dedup(
     repeated = stored(found.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"), "line-repeats")
     rows = found.count()
     places = stored(spread_join(found, repeated, "digest", rows).select(found.columns), "line-places")
-    keepers = stored(_settled(places, repeated, rows, local_places), "line-keepers")
+    keepers = _settled(places, repeated, rows, local_places)
     going = spread_join(places, keepers, "digest", rows).where(_goes())
     going = going.groupBy(*_DOC).agg(F.collect_set(F.struct("span", "digest")).alias("found")).mapInArrow(_cover, _PLACE)
     going = stored(going, "line-cover")
