@@ -504,16 +504,16 @@ SEASON_POLICY, SEASON_CAPACITY = replay.Policy(min_history=10, quantile=0.3, his
 
 
 def season_rows(s, d):
-    """Storm rows by season, a year of windows, with draws and places from hashes of the time."""
+    """Storm rows with a score by season, a year of windows, with draws and places from hashes of the time."""
     year = F.floor((F.col("window_id") - 1) / 12).cast("int").alias("season")
-    return storm_rows(s, d).select(year, "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"), replay.unit_hash(29, "t_s").alias("place"))
+    return storm_rows(s, d).where("score is not null").select(year, "t_s", "score", replay.unit_hash(23, "t_s").alias("draw"), replay.unit_hash(29, "t_s").alias("place"))
 
 
 DRAW = "((CAST('0x' || substr(md5('{0}:' || t_s), 1, 13) AS bigint)::double + 0.5) / 4503599627370496)"
 # The ordered fold, a row a step: h is the history (place, score), r the records (time, score, key).
 FOLD = f"""RECURSIVE {ROWS_SQL},
   n AS (SELECT CAST(floor((window_id - 1) / 12) AS int) AS season, t_s, score, {DRAW.format(23)} AS u, {DRAW.format(29)} AS p,
-    row_number() OVER (PARTITION BY floor((window_id - 1) / 12) ORDER BY t_s) AS i FROM sr),
+    row_number() OVER (PARTITION BY floor((window_id - 1) / 12) ORDER BY t_s) AS i FROM sr WHERE score IS NOT NULL),
   f AS (SELECT season, 0::bigint AS i, 0::bigint AS t_s, 0::double AS score, '' AS code, CAST([] AS struct(p double, s double)[]) AS h, CAST([] AS struct(t bigint, s double, k double)[]) AS r FROM (SELECT DISTINCT season FROM n)
     UNION ALL
     SELECT season, i, t_s, score, code, h2, CASE WHEN code = 'admitted' THEN list_append(off, own) WHEN code = 'admitted_evicting' THEN list_append(list_filter(off, lambda x: x.k <> weak), own)
