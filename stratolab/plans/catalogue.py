@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scalar
 from ..operators import advisory, assemble, attrib, impact, index, norm, qc, regrid, replay
 from ..schema import BIT, CHANNELS
-from ..sources import catalog, corpus, grd, windows
+from ..sources import catalog, corpus, grd, grd_source, windows
 from . import checks, products, verification
 from .alignment import COARSE
 from .fixtures import view
@@ -67,14 +67,13 @@ GRD = grd.GrdSpec(height=2, width=3)
 @R.add("""WITH o AS (SELECT year(o_orderdate) AS y, CAST(o_orderdate AS date) AS day, o_custkey % 2 AS r, o_custkey % 3 AS c, CAST(count(*) AS double) AS value FROM orders GROUP BY ALL)
   SELECT CAST(day AS varchar) AS day, CAST(r AS int) AS "row", CAST(c AS int) AS col, 6.5 + r / 4 AS lat, 66.5 + c / 4 AS lon, value FROM o""")
 def s4_read_grd(s, d):
-    """A yearly grid of order counts, packed as the archive packs it, and decoded."""
+    """Yearly grids of order counts, written as the archive lays them out and read by slices of days."""
     o = view(s, d, "orders").groupBy(
-        F.year("o_orderdate").alias("y"), F.dayofyear("o_orderdate").alias("day"), (F.col("o_custkey") % 2).cast("int").alias("row"), (F.col("o_custkey") % 3).cast("int").alias("col")
-    ).agg(F.count("*").cast("float").alias("value"))
-    # A year has as many cells as the archive's layout says.
-    years = o.groupBy("y").agg(F.collect_list(F.struct("day", "row", "col", "value")).alias("cells"))
-    files = years.mapInArrow(grd.packer(GRD), "path string, content binary")
-    out = grd.decode_grd(files, GRD).where("value is not null")
+        F.to_date("o_orderdate").alias("date"), (F.col("o_custkey") % 2).cast("int").alias("row"), (F.col("o_custkey") % 3).cast("int").alias("col")
+    ).agg(F.count("*").alias("value"))
+    place = windows.shared_path(s, "grd")
+    grd_source.write_days(o, place, GRD)
+    out = grd_source.read_days(s, place, GRD).where("value is not null")
     return out.select(F.col("date").cast("string").alias("day"), "row", "col", "lat", "lon", F.col("value").cast("double").alias("value"))
 
 

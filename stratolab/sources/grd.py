@@ -68,23 +68,6 @@ def read_grd(spark: SparkSession, path: str, spec: GrdSpec = GrdSpec(), first_da
     return decode_grd(spark.read.format("binaryFile").load(path).select("path", "content"), spec, first_day, last_day)
 
 
-def packer(spec: GrdSpec):
-    """Rows (year, cells array<struct<day,row,col,value>>) to (path, content): a year's file, absent cells filled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, contents = [], []
-            for year, cells in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                whole = np.full((days_in(year), spec.height, spec.width), spec.fill, "<f4")
-                for c in cells:
-                    whole[c["day"] - 1, c["row"], c["col"]] = c["value"]
-                paths.append(f"{year}.grd")
-                contents.append(whole.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], names=["path", "content"])
-
-    return run
-
-
 def decode_grd(files: DataFrame, spec: GrdSpec = GrdSpec(), first_day: int = 1, last_day: int = 366) -> DataFrame:
     """read_grd of files (path, content)."""
     cells = files.mapInArrow(
