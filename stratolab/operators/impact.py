@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,69 +184,81 @@ def point_forecast(
 # --- polygons --------------------------------------------------------------------
 
 
-def _inside(lat: np.ndarray, lon: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd rule; ring is n x 2 of (lat, lon), closed or not."""
-    inside = np.zeros(len(lat), dtype=bool)
-    a = ring
-    b = np.roll(ring, -1, axis=0)
-    for (y0, x0), (y1, x1) in zip(a, b, strict=True):
-        if y0 == y1:
-            continue
-        crosses = (lat < y0) != (lat < y1)
-        inside ^= crosses & (lon < x0 + (lat - y0) * (x1 - x0) / (y1 - y0))
-    return inside
-
-
-def _edges_touch(lat: np.ndarray, lon: np.ndarray, half: float, ring: np.ndarray) -> np.ndarray:
-    """Whether an edge of the ring enters the cell about (lat, lon): the segment clipped to the box is not empty."""
-    touched = np.zeros(len(lat), dtype=bool)
-    for (y0, x0), (y1, x1) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        low, high = np.zeros(len(lat)), np.ones(len(lat))
-        for start, delta, centre in ((y0, y1 - y0, lat), (x0, x1 - x0, lon)):
-            if delta == 0:
-                high = np.where(np.abs(start - centre) <= half, high, -1.0)
-                continue
-            t0, t1 = (centre - half - start) / delta, (centre + half - start) / delta
-            low, high = np.maximum(low, np.minimum(t0, t1)), np.minimum(high, np.maximum(t0, t1))
-        touched |= low <= high
-    return touched
+def _ring_edges(polygons: DataFrame) -> DataFrame:
+    """(state, district, ring_id, y0, x0, y1, x1): a row an edge. Rings of under 3 points give none; equal rings of a district count once."""
+    clean = F.filter("ring", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    rings = polygons.select(*DISTRICT, clean.alias("ring")).where("size(ring) >= 3").dropDuplicates([*DISTRICT, "ring"])
+    following = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
+    edges = F.transform(F.arrays_zip(F.col("ring").alias("a"), following.alias("b")), lambda e: F.struct(
+        e["a"]["lat"].alias("y0"), e["a"]["lon"].alias("x0"), e["b"]["lat"].alias("y1"), e["b"]["lon"].alias("x1")
+    ))
+    # Two digests name a ring within its district.
+    named = F.struct(F.xxhash64("ring").alias("a"), F.hash("ring").alias("b"))
+    return rings.select(*DISTRICT, named.alias("ring_id"), F.explode(edges).alias("e")).select(*DISTRICT, "ring_id", "e.*")
+
+
+def _span(low: Column, high: Column, origin: float, step: float, size: int) -> Column:
+    """Indices of cells whose closed extent may meet [low, high], with one to spare on each side; empty beyond the grid."""
+    first = F.greatest(F.floor((low - origin) / step - 0.5).cast("int"), F.lit(0))
+    last = F.least(F.ceil((high - origin) / step + 0.5).cast("int"), F.lit(size - 1))
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def filed_edges(polygons: DataFrame, grid: Grid = DOMAIN) -> DataFrame:
+    """Edges filed under the grid rows that they may meet: (.., row, lat, y0, x0, y1, x1). An edge is tested in these rows only."""
+    edges = _ring_edges(polygons)
+    rows = _span(F.least("y0", "y1"), F.greatest("y0", "y1"), grid.lat_min, grid.resolution, grid.height)
+    return edges.withColumn("row", F.explode(rows)).withColumn("lat", F.lit(grid.lat_min) + F.col("row") * grid.resolution)
+
+
+def _inner_cells(filed: DataFrame, grid: Grid) -> DataFrame:
+    """Cells whose centre a ring holds. On a row's centre line a ring's crossings pair up, and what lies between is taken whole."""
+    x = F.col("x0") + (F.col("lat") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    crossed = filed.where((F.col("lat") < F.col("y0")) != (F.col("lat") < F.col("y1"))).select(*DISTRICT, "ring_id", "row", x.alias("x"))
+    line = Window.partitionBy(*DISTRICT, "ring_id", "row").orderBy("x")
+    paired = crossed.select("*", F.row_number().over(line).alias("k"), F.lead("x").over(line).alias("until")).where("k % 2 = 1")
+    cols = _span(F.col("x"), F.col("until"), grid.lon_min, grid.resolution, grid.width)
+    lon = F.lit(grid.lon_min) + F.col("col") * grid.resolution
+    return paired.withColumn("col", F.explode(cols)).where((lon >= F.col("x")) & (lon < F.col("until"))).select(*DISTRICT, "row", "col")
+
+
+def _border_cells(filed: DataFrame, grid: Grid) -> DataFrame:
+    """Cells that an edge enters: the edge clipped to the row, and then to the few cells beside what is left of it."""
+    half = grid.resolution / 2
+
+    def clipped(start: str, end: str, centre: Column) -> tuple[Column, Column]:
+        """The part [low, high] of the edge within half a cell of centre on one axis; low > high where there is none."""
+        delta = F.col(end) - F.col(start)
+        t0, t1 = F.try_divide(centre - half - F.col(start), delta), F.try_divide(centre + half - F.col(start), delta)
+        level = F.abs(F.col(start) - centre) <= half
+        low = F.when(delta != 0, F.greatest(F.lit(0.0), F.least(t0, t1))).otherwise(0.0)
+        return low, F.when(delta != 0, F.least(F.lit(1.0), F.greatest(t0, t1))).when(level, 1.0).otherwise(-1.0)
+
+    low, high = clipped("y0", "y1", F.col("lat"))
+    at = filed.withColumns({"low": low, "high": high}).where("low <= high")
+    reach = lambda t: F.col("x0") + F.col(t) * (F.col("x1") - F.col("x0"))
+    cols = _span(F.least(reach("low"), reach("high")), F.greatest(reach("low"), reach("high")), grid.lon_min, grid.resolution, grid.width)
+    low, high = clipped("x0", "x1", F.lit(grid.lon_min) + F.col("col") * grid.resolution)
+    tested = at.withColumn("col", F.explode(cols)).where(F.greatest("low", low) <= F.least("high", high))
+    return tested.select(*DISTRICT, "row", "col")
 
 
 def district_cells(polygons: DataFrame, grid: Grid = DOMAIN, predicate: str = "touches") -> DataFrame:
     """(state, district, row, col, area_km2) of cells under each polygon, dissolved by district.
 
-    polygons: (state, district, ring array<struct<lat,lon>>). Candidate cells
-    come from the ring's box, so work follows the polygons' area. Predicate
-    `touches` takes cells that the polygon meets anywhere, `within` those whose
-    centre it holds. A district may have several rings.
+    polygons: (state, district, ring array<struct<lat,lon>>), a ring closed or not. Edges are filed by grid
+    row: their crossings with the row's centre line give spans of inner cells, taken whole by the even-odd
+    rule, and only cells beside an edge are tested against it, so work follows the rings' length and the
+    cells found. Predicate `touches` takes cells that the polygon meets anywhere, `within` those whose
+    centre it holds. A district may have several rings. Points with a null are left out of a ring; rings of
+    under 3 points, null rings and empty tables give no cells.
     """
     if predicate not in ("touches", "within"):
         raise ValueError(f"unknown predicate {predicate!r}")
-    half = grid.resolution / 2
-
-    def span(name: str, low: float, size: int) -> tuple[Column, Column]:
-        first = F.floor((F.array_min(f"ring.{name}") - low) / grid.resolution - 0.5).cast("int")
-        last = F.ceil((F.array_max(f"ring.{name}") - low) / grid.resolution + 0.5).cast("int")
-        return F.greatest(first, F.lit(0)), F.least(last, F.lit(size - 1))
-
-    (r0, r1), (c0, c1) = span("lat", grid.lat_min, grid.height), span("lon", grid.lon_min, grid.width)
-    boxed = polygons.select(*DISTRICT, "ring", r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1"))
-    boxed = boxed.where("r0 <= r1 and c0 <= c1 and size(ring) >= 3")
-    rows = boxed.select(*DISTRICT, "ring", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("row"))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                ring = np.array([(p["lat"], p["lon"]) for p in r.ring], dtype=float)
-                cols = np.arange(r.c0, r.c1 + 1)
-                lon = grid.lon_min + cols * grid.resolution
-                lat = np.full(len(cols), grid.lat_min + r.row * grid.resolution)
-                hit = _inside(lat, lon, ring)
-                if predicate == "touches":
-                    hit |= _edges_touch(lat, lon, half, ring)
-                yield pd.DataFrame({"state": r.state, "district": r.district, "row": r.row, "col": cols[hit]})
-
-    found = rows.mapInPandas(fill, "state string, district string, row int, col int")
+    filed = filed_edges(polygons, grid)
+    found = _inner_cells(filed, grid)
+    if predicate == "touches":
+        found = found.unionByName(_border_cells(filed, grid))
     return found.dropDuplicates([*DISTRICT, "row", "col"]).withColumn("area_km2", cell_area_km2("row", grid))
 
 
