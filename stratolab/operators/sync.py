@@ -178,14 +178,53 @@ def lift(df: DataFrame, keys: list[str], order: str, kind: str, value: str = "va
     return n.withColumn(value, F.coalesce(F.col(value), new)).select(df.columns)
 
 
-def fill_advective(cells: DataFrame, tile: int, radius: int, coverage: float = 0.25) -> DataFrame:
+def tile_shifts(pairs: DataFrame, present: DataFrame, tile: int, radius: int, levels: int = 0) -> DataFrame:
+    """(seq, before, after, tile_row, tile_col, d struct<dr,dc>): how each tile of an earlier frame moved to the later one.
+
+    pairs: (seq, before, after); present: (seq, frame, row, col, value), values not null. Least mean absolute difference
+    over the cells that both have, then least |dr| + |dc|, dr and dc. With levels = 0 all (2 radius + 1)^2 shifts are tried.
+    Otherwise frames are averaged over blocks of 2, 4, .. 2^levels cells, the whole reach is tried on the
+    coarsest alone, and each finer one tries the nine shifts about twice the shift before, and then the nine about the best
+    of these, since what is found coarsely may be off by more than one: on smooth fields the same shifts. A cell is then copied 18 times
+    a level, and at the coarsest (2 radius / 2^levels + 3)^2 times; a level has a quarter of the cells of the one below.
+    """
+    if levels < 0 or tile % 2**levels:
+        raise ValueError("a tile is a whole number of the coarsest level's blocks")
+    tile_keys = ["seq", "before", "after", "tile_row", "tile_col"]
+    flow = None
+    for level in range(levels, -1, -1):
+        block = 2**level
+        side = tile // block
+        cells = present if level == 0 else present.groupBy(
+            "seq", "frame", F.floor(F.col("row") / block).cast("int").alias("row"), F.floor(F.col("col") / block).cast("int").alias("col")
+        ).agg(F.avg("value").alias("value"))
+        a = pairs.join(cells.withColumnRenamed("frame", "before"), ["seq", "before"]).withColumnRenamed("value", "v0")
+        a = a.withColumns({f"tile_{c}": F.floor(F.col(c) / side).cast("int") for c in ("row", "col")})
+        b = cells.select("seq", F.col("frame").alias("after"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("value").alias("v1"))
+        reach = -(-radius // block)
+        # (what to centre on, how far to go): the whole reach once, or one step from twice the shift before and one from there.
+        for centre, spread in ((None, reach),) if flow is None else ((2, 1), (1, 1)):
+            around = a if centre is None else a.join(flow, tile_keys)
+            middle = {c: F.lit(0) if centre is None else centre * F.col(f"d.{c}") for c in ("dr", "dc")}
+            steps = F.sequence(F.lit(-spread), F.lit(spread))
+            tried = around.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+            tried = tried.withColumns({"dr": middle["dr"] + F.col("i"), "dc": middle["dc"] + F.col("j")})
+            tried = tried.where(F.greatest(F.abs("dr"), F.abs("dc")) <= reach)
+            met = tried.withColumns({"r1": F.col("row") + F.col("dr"), "c1": F.col("col") + F.col("dc")}).join(b, ["seq", "after", "r1", "c1"])
+            cost = met.groupBy(*tile_keys, "dr", "dc").agg(F.avg(F.abs(F.col("v0") - F.col("v1"))).alias("cost"))
+            best = F.min_by(F.struct("dr", "dc"), F.struct("cost", F.abs("dr") + F.abs("dc"), "dr", "dc"))
+            flow = cost.groupBy(*tile_keys).agg(best.alias("d"))
+    return flow
+
+
+def fill_advective(cells: DataFrame, tile: int, radius: int, coverage: float = 0.25, levels: int = 0) -> DataFrame:
     """Cells of gap frames moved in from the anchor frames on both sides.
 
     cells: (seq, frame, row, col, value) of whole sequences, gaps null, and qc_flag if
     there is one. Anchors are frames with a value in at least `coverage` of their cells; a frame
     between two anchors that is none itself is a gap. Per tile
     the shift of least mean absolute difference between the two anchors is found
-    among (2 radius + 1)^2; a gap at share s takes the earlier anchor moved by s
+    among (2 radius + 1)^2 (`tile_shifts`; with levels, from coarse to fine); a gap at share s takes the earlier anchor moved by s
     of it and the later moved back by 1 - s, blended by nearness, or the one
     that has a value there. Filled cells carry GAP_FILLED_OPTICAL_FLOW.
     """
@@ -201,15 +240,8 @@ def fill_advective(cells: DataFrame, tile: int, radius: int, coverage: float = 0
         F.first(at, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     ).where("ok is null and before is not null and after is not null").drop("ok")
     pairs = gaps.select("seq", "before", "after").distinct()
-    a = pairs.join(present.withColumnRenamed("frame", "before"), ["seq", "before"]).withColumnRenamed("value", "v0")
-    b = present.select("seq", F.col("frame").alias("after"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("value").alias("v1"))
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
     tiles = [F.floor(F.col(c) / tile).cast("int").alias(f"tile_{c}") for c in ("row", "col")]
-    tried = a.select("*", *tiles, F.explode(steps).alias("dr")).withColumn("dc", F.explode(steps))
-    tried = tried.withColumns({"r1": F.col("row") + F.col("dr"), "c1": F.col("col") + F.col("dc")}).join(b, ["seq", "after", "r1", "c1"])
-    cost = tried.groupBy("seq", "before", "after", "tile_row", "tile_col", "dr", "dc").agg(F.avg(F.abs(F.col("v0") - F.col("v1"))).alias("cost"))
-    near = F.struct("cost", F.abs("dr") + F.abs("dc"), "dr", "dc")
-    flow = cost.groupBy("seq", "before", "after", "tile_row", "tile_col").agg(F.min_by(F.struct("dr", "dc"), near).alias("d"))
+    flow = tile_shifts(pairs, present, tile, radius, levels)
     share = (F.col("frame") - F.col("before")) / (F.col("after") - F.col("before"))
     moving = gaps.withColumn("s", share)
 
