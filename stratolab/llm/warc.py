@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, spread_join
+from .common import scratch, spread_join, stored
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -188,10 +188,18 @@ def warc_bytes(head: bytes, payload: bytes) -> bytes:
 def write_warc_files(spark: SparkSession, path: str, out: str, *, salt_rows: int = 2000) -> DataFrame:
     """Rebuild an archive's records into files that WARC readers open; (file, records, bytes) of each.
 
-    A task writes one file of gzip members, a record each, under `out`, a URI that every
-    worker reaches. It is written under the attempt's own name and then moved, so a task
-    that is run again leaves one whole file. An archive without a record gives no file.
+    The files are written when this is called; what it returns may be used any number of times. A task
+    writes one file of gzip members, a record each, under `out`, a URI that driver and workers
+    reach. It is written under the attempt's own name and then moved, so a task that is run again
+    leaves one whole file. A folder that holds anything is refused, so no file of an earlier run can
+    stay among these. An archive without a record gives no file.
     """
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(out)
+    if store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        raise ValueError(f"{out} is not empty")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -213,7 +221,7 @@ def write_warc_files(spark: SparkSession, path: str, out: str, *, salt_rows: int
         store.move(part, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size]})
 
-    return _joined(spark, path, salt_rows).mapInArrow(run, "file string, records long, bytes long")
+    return stored(_joined(spark, path, salt_rows).mapInArrow(run, "file string, records long, bytes long"), "warc-files")
 
 
 def _page(name: str | None) -> int | None:

@@ -238,7 +238,12 @@ def test_archive_gives_back_exact_records(spark, tmp_path):
         assert sorted((bytes(r.head), bytes(r.payload)) for r in got) == sorted(want)
     record = warc.warc_bytes(*next(x for x in want if b"urn:page:1>" in x[0]))
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: revisit\r\n") and record.endswith(b"\r\n\r\n\r\n\r\n")
-    files = warc.write_warc_files(spark, path, f"file://{tmp_path}/files").collect()
+    made = warc.write_warc_files(spark, path, f"file://{tmp_path}/files")
+    times = {x.name: x.stat().st_mtime_ns for x in (tmp_path / "files").iterdir()}
+    files = made.collect()
+    assert made.count() == len(files) and times == {x.name: x.stat().st_mtime_ns for x in (tmp_path / "files").iterdir()}
+    with pytest.raises(ValueError, match="not empty"):
+        warc.write_warc_files(spark, path, f"file://{tmp_path}/files")
     import gzip
 
     texts = [gzip.decompress((tmp_path / "files" / f.file).read_bytes()) for f in files]
