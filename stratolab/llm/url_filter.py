@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import HOT, spread_join, stored
 
 
 class Rule(NamedTuple):
@@ -172,8 +172,8 @@ def judge(
 def _by_table(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """Distinct URLs' tokens meet the index in an equi-join; what it fetches is tried, and goes back by the URL's digest.
 
-    Only tokens that a rule is filed under leave the first join, so common ones are
-    dropped before any shuffle of rules or texts.
+    Tokens are counted before they meet the rules, so none moves as rows there. A token that holds more than
+    a thousandth of what all named ones hold is spread over salts.
     """
     url = F.col(url_col)
     rows = urls.select(F.col(id_col), url.alias("__url"), F.unhex(F.sha2(F.encode(url, "UTF-8"), 256)).alias("key"))
@@ -181,11 +181,18 @@ def _by_table(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str) -> D
     target = texts.select("key", _target(F.col("u")).alias("target"))
     held = target.select("key", F.explode(_tokens(F.col("target"))).alias("token"))
     named = rules.withColumn("rule", F.struct("weight", "name", "verdict", "regex")).select("rule", F.explode("tokens").alias("token"))
-    counts = held.join(named.select("token").distinct(), "token").groupBy("token").count()
-    filed = named.join(counts, "token", "left").groupBy("rule").agg(
-        F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")
-    )
-    fetched = held.join(stored(filed, "url-rules"), "token").select("key", "rule")
+    counts = held.groupBy("token").count().join(named.select("token").distinct(), "token", "left_semi")
+    counts = stored(counts, "url-tokens")
+    limit = (counts.agg(F.sum("count")).first()[0] or 0) // HOT + 1
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token"))
+    filed = named.join(counts, "token", "left").groupBy("rule").agg(rarest.alias("r")).select("rule", "r.*")
+    filed = stored(filed.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("count") / limit)).cast("int")), "url-rules")
+    # At most HOT tokens are spread. URLs that hold one are dealt to its salts, and its rules go to all of them.
+    hot = F.broadcast(filed.where("salts > 1").select("token", "salts").distinct())
+    salt = F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = held.join(hot, "token", "left").select("key", "token", salt.alias("salt"))
+    spread = filed.select("rule", "token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    fetched = dealt.join(spread, ["token", "salt"]).select("key", "rule")
     tried = fetched.join(target, "key").where(F.regexp_like("target", F.col("rule.regex")))
     host = F.col("rule.weight") > 0
     best = tried.groupBy("key").agg(

@@ -134,6 +134,16 @@ def test_long_rule_lists_and_long_urls(spark, tmp_path):
         url_filter.read_rules(spark, f"file://{tmp_path}/bad.txt")
 
 
+def test_rules_on_very_common_tokens(spark, monkeypatch):
+    """A long list with rules whose only token nearly every URL holds: tokens are spread, rows are those of the short list."""
+    monkeypatch.setattr(url_filter, "HOT", 4)
+    rules = url_filter.HOST_RULES + tuple(url_filter.host_rule("block", f"com/p{i}/") for i in range(40))
+    urls = [f"http://h{i}.com/p{i % 60}/x" for i in range(400)] + [f"http://h{i}.net/es/" for i in range(40)] + ["http://a.org/", None]
+    frame = spark.createDataFrame(list(enumerate(urls + urls)), "page_id long, url string")
+    long, short = (sorted(map(tuple, url_filter.judge(frame, rules=rules, max_rules=m).collect())) for m in (1, 500))
+    assert long == short and {r[3] for r in long} >= {"com/", "com/p7/", "net/es/", None}
+
+
 def test_patterns_decide_given_pages(spark):
     got = url_filter.judge(table(spark, "/root/testdata/sf0.01", "pages"))
     assert got.where("rule is null and verdict = 'block'").count() > 2
