@@ -11,10 +11,12 @@ def attribution_summary(attr: DataFrame, by: list[str]) -> DataFrame:
     return attr.groupBy(*by).agg(F.sum("attribution").alias("signed"), F.sum(F.abs("attribution")).alias("absolute"))
 
 
-def top_drivers(attr: DataFrame, k: int) -> DataFrame:
-    """The k channels of largest magnitude with sign and direction; k is the report's length."""
-    s = attribution_summary(attr, ["channel"])
-    ranked = s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("signed")), "channel")))
+def top_drivers(attr: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """The k channels of largest magnitude with sign and direction, for each of `keys`; k is the report's length."""
+    keys = keys or []
+    s = attribution_summary(attr, [*keys, "channel"])
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc(F.abs("signed")), "channel")  # channels of a window, a fixed number
+    ranked = s.withColumn("rank", F.row_number().over(w))
     direction = F.when(F.col("signed") >= 0, "raised").otherwise("lowered")
     return ranked.where(F.col("rank") <= k).withColumn("direction", direction)
 
@@ -86,27 +88,66 @@ def scale_by_max(maps: DataFrame, keys: list[str], value: str = "value") -> Data
     return maps.join(top, keys).withColumn(value, scaled).drop("top")
 
 
-def sum_frames(attr: DataFrame) -> DataFrame:
-    return attr.groupBy("map_row", "map_col").agg(F.sum("attribution").alias("attribution"))
+def sum_frames(attr: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return attr.groupBy(*(keys or []), "map_row", "map_col").agg(F.sum("attribution").alias("attribution"))
+
+
+def _drivers() -> Column:
+    one = F.struct("rank", "channel", F.round("signed", 6).alias("score"), "direction")
+    return F.sort_array(F.collect_list(one)).alias("drivers")
+
+
+def _evidence() -> Column:
+    one = F.struct("rank", "t", F.round("share", 5).alias("share"), F.round("relative_to_uniform", 3).alias("relative"))
+    return F.sort_array(F.collect_list(one)).alias("evidence")
+
+
+def _caveats(excluded: list[str], steps: int) -> Column:
+    """What weakens a row with total, residual, evidence, attributed and served."""
+    slack = F.col("residual") > 0.05 * F.greatest("total", F.lit(1e-6))
+    found = F.array(
+        F.when(slack, F.format_string("attributions leave a residual of %.3g; raise the steps above %d", "residual", F.lit(steps))),
+        F.when(F.get("evidence", F.lit(0))["relative"] < 1.2, F.lit("evidence frames are close to uniform")),
+        F.lit(f"{', '.join(excluded)} were held fixed and not assessed") if excluded else F.lit(None).cast("string"),
+        F.when(F.col("attributed") < F.col("served"), F.format_string("covers %d of %d members", "attributed", "served")),
+    )
+    return F.array_compact(found)
 
 
 def explanation_report(
     attr: DataFrame, shares: DataFrame, excluded: list[str], *, residual: float, attributed: int, served: int, steps: int = 32, k: int = 5
 ) -> DataFrame:
     """One row: top drivers, top frames, excluded channels, and what weakens the explanation."""
-    drivers = top_drivers(attr, k).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "channel", F.round("signed", 6).alias("score"), "direction"))).alias("drivers")
-    )
-    frames = rank_frames(shares, k).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "t", F.round("share", 5).alias("share"), F.round("relative_to_uniform", 3).alias("relative")))).alias("evidence")
-    )
+    drivers = top_drivers(attr, k).agg(_drivers())
+    frames = rank_frames(shares, k).agg(_evidence())
     total = attr.agg(F.abs(F.sum("attribution")).alias("total"))
     one = drivers.crossJoin(frames).crossJoin(total)  # one row each
-    slack = F.lit(residual) > 0.05 * F.greatest("total", F.lit(1e-6))
-    caveats = F.array(
-        F.when(slack, F.format_string("attributions leave a residual of %.3g; raise the steps above %d", F.lit(float(residual)), F.lit(steps))),
-        F.when(F.col("evidence")[0]["relative"] < 1.2, F.lit("evidence frames are close to uniform")),
-        F.lit(f"{', '.join(excluded)} were held fixed and not assessed") if excluded else F.lit(None).cast("string"),
-        F.lit(f"covers {attributed} of {served} members") if attributed < served else F.lit(None).cast("string"),
-    )
-    return one.select("drivers", "evidence", F.array(*map(F.lit, excluded)).cast("array<string>").alias("excluded"), F.array_compact(caveats).alias("caveats"))
+    one = one.withColumns({"residual": F.lit(float(residual)), "attributed": F.lit(attributed), "served": F.lit(served)})
+    fixed = F.array(*map(F.lit, excluded)).cast("array<string>").alias("excluded")
+    return one.select("drivers", "evidence", fixed, _caveats(excluded, steps).alias("caveats"))
+
+
+def explanation_reports(
+    attr: DataFrame, shares: DataFrame, checks: DataFrame, keys: list[str], excluded: list[str], *, steps: int = 32, k: int = 5
+) -> DataFrame:
+    """Reports of many windows at once: one row for each row of checks, which has `keys`, difference, attributed and served.
+
+    difference is the change of output that the window's attributions should add up to. A window
+    without attributions has a total of zero and no drivers, one without shares no evidence.
+    Windows that checks lacks, and null keys, have no report. Attributions are summed by channel before any
+    of a window's rows meet, so a window of many cells costs no more than its channels.
+    """
+    by_channel = attribution_summary(attr, [*keys, "channel"]).select(*keys, "channel", F.col("signed").alias("attribution"))
+    drivers = top_drivers(by_channel, k, keys).groupBy(*keys).agg(_drivers())
+    totals = by_channel.groupBy(*keys).agg(F.sum("attribution").cast("double").alias("sum"))
+    frames = rank_frames(shares, k, keys).groupBy(*keys).agg(_evidence())
+    found = drivers.join(totals, keys)
+    one = checks.select(*keys, "difference", "attributed", "served").join(found, keys, "left").join(frames, keys, "left")
+    total, none = F.coalesce("sum", F.lit(0.0)), F.array()
+    one = one.withColumns({
+        "total": F.abs(total), "residual": F.abs(total - F.col("difference").cast("double")),
+        "drivers": F.coalesce("drivers", none.cast(drivers.schema["drivers"].dataType)),
+        "evidence": F.coalesce("evidence", none.cast(frames.schema["evidence"].dataType)),
+    })
+    fixed = F.array(*map(F.lit, excluded)).cast("array<string>").alias("excluded")
+    return one.select(*keys, "drivers", "evidence", fixed, _caveats(excluded, steps).alias("caveats"))

@@ -57,6 +57,17 @@ VIEWS = {
         SELECT t, map_row, map_col, CAST(n AS double) / sum(n) OVER (PARTITION BY map_row, map_col) AS share
         FROM (SELECT l_linenumber - 1 AS t, l_partkey % 8 AS map_row, l_orderkey % 8 AS map_col, count(*) AS n
           FROM {lineitem} GROUP BY 1, 2, 3) t""",
+    "fx_window_attr": """
+        SELECT l_suppkey AS window_id, l_linenumber - 1 AS t, concat('ch', CAST(l_partkey % 30 AS varchar(9))) AS channel, l_partkey % 8 AS map_row,
+          l_orderkey % 8 AS map_col, sum(l_quantity) - 25 * count(*) AS attribution
+        FROM {lineitem} GROUP BY 1, 2, 3, 4, 5""",
+    "fx_window_share": """
+        SELECT l_suppkey AS window_id, l_linenumber - 1 AS t, l_partkey % 8 AS map_row, l_orderkey % 8 AS map_col, CAST(count(*) AS double) / 64 AS share
+        FROM {lineitem} WHERE l_suppkey % 7 > 0 GROUP BY 1, 2, 3, 4""",
+    "fx_window_check": """
+        SELECT l_suppkey AS window_id, sum(CASE WHEN l_linenumber > 1 THEN l_quantity - 25 ELSE 0 END) AS difference,
+          4 + l_suppkey % 5 AS attributed, 8 AS served
+        FROM {lineitem} GROUP BY l_suppkey""",
     "fx_chunk": """
         SELECT e.vec_id AS chunk_id, e.embedding,
           CASE WHEN d.lang IN ('en', 'de') THEN 'flash_flood' ELSE 'urban_waterlogging' END AS hazard_class,

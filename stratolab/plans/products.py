@@ -451,14 +451,41 @@ def a44_sum_frames(s, d):
   UNION ALL SELECT 'caveat', row_number() OVER (ORDER BY k), name, NULL FROM (SELECT 1 AS k, 'attributions leave a residual of 1.00e+09; raise the steps above 32' AS name
     UNION ALL SELECT 2, 'evidence frames are close to uniform' FROM ev WHERE rank = 1 AND round(rel, 3) < 1.2 UNION ALL SELECT 3, 'lulc_mask were held fixed and not assessed' UNION ALL SELECT 4, 'covers 4 of 8 members')""")
 def d20_explanation_report(s, d):
-    """The report's parts as rows."""
-    one = attrib.explanation_report(attr(s, d), shares(s, d), ["lulc_mask"], residual=1e9, attributed=4, served=8)
-    drivers = one.select(F.explode("drivers").alias("x")).select(F.lit("driver").alias("part"), "x.rank", F.col("x.channel").alias("name"), F.col("x.score").cast("double").alias("value"))
-    frames = one.select(F.explode("evidence").alias("x")).select(F.lit("frame"), "x.rank", F.col("x.t").cast("string"), F.col("x.share").cast("double"))
-    caveats = one.select(F.posexplode("caveats").alias("i", "x")).select(F.lit("caveat"), F.col("i") + 1, "x", F.lit(None).cast("double"))
+    return report_rows(attrib.explanation_report(attr(s, d), shares(s, d), ["lulc_mask"], residual=1e9, attributed=4, served=8))
+
+
+def report_rows(one, *keys):
+    """A report's parts as rows."""
+    drivers = one.select(*keys, F.explode("drivers").alias("x")).select(*keys, F.lit("driver").alias("part"), "x.rank", F.col("x.channel").alias("name"), F.col("x.score").cast("double").alias("value"))
+    frames = one.select(*keys, F.explode("evidence").alias("x")).select(*keys, F.lit("frame"), "x.rank", F.col("x.t").cast("string"), F.col("x.share").cast("double"))
+    caveats = one.select(*keys, F.posexplode("caveats").alias("i", "x")).select(*keys, F.lit("caveat"), F.col("i") + 1, "x", F.lit(None).cast("double"))
     return drivers.union(frames).union(caveats)
 
 
+@R.add("""WITH dr AS (SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY abs(s) DESC, channel) AS rank, channel, s
+    FROM (SELECT window_id, channel, sum(attribution) AS s FROM fx_window_attr GROUP BY ALL) QUALIFY rank <= 5),
+  f AS (SELECT window_id, t, avg(share) AS s FROM fx_window_share GROUP BY ALL),
+  g AS (SELECT window_id, t, s / sum(s) OVER w AS share, s / sum(s) OVER w * count(*) OVER w AS rel FROM f WINDOW w AS (PARTITION BY window_id)),
+  ev AS (SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY share DESC, t) AS rank, t, share, rel FROM g QUALIFY rank <= 5),
+  c AS (SELECT window_id, CAST(abs(sum(attribution)) AS double) AS total, CAST(abs(sum(attribution) - any_value(difference)) AS double) AS residual,
+    any_value(attributed) AS attributed FROM fx_window_attr JOIN fx_window_check USING (window_id) GROUP BY ALL),
+  cv AS (SELECT window_id, 1 AS k, 'attributions leave a residual of ' || CASE WHEN residual < 10 THEN format('{:.2f}', residual) WHEN residual < 100 THEN format('{:.1f}', residual)
+      WHEN residual < 1000 THEN format('{:.0f}', residual) ELSE format('{:.2e}', residual * (1 + 1e-9)) END || '; raise the steps above 32' AS name
+      FROM c WHERE residual > 0.05 * greatest(total, 1e-6)
+    UNION ALL SELECT window_id, 2, 'evidence frames are close to uniform' FROM ev WHERE rank = 1 AND round(rel, 3) < 1.2
+    UNION ALL SELECT window_id, 3, 'lulc_mask were held fixed and not assessed' FROM c
+    UNION ALL SELECT window_id, 4, 'covers ' || attributed || ' of 8 members' FROM c WHERE attributed < 8)
+  SELECT window_id, 'driver' AS part, rank, channel AS name, CAST(round(s, 6) AS double) AS value FROM dr
+  UNION ALL SELECT window_id, 'frame', rank, CAST(t AS varchar), round(share, 5) FROM ev
+  UNION ALL SELECT window_id, 'caveat', row_number() OVER (PARTITION BY window_id ORDER BY k), name, NULL FROM cv""")
+def d20_explanations_by_window(s, d):
+    """Reports of all windows at once, their parts as rows; some windows have no attention."""
+    given = view(s, d, "fx_window_share")
+    shares = attrib.attention_share(given, keys=["window_id"])
+    one = attrib.explanation_reports(view(s, d, "fx_window_attr"), shares, view(s, d, "fx_window_check"), ["window_id"], ["lulc_mask"])
+    return report_rows(one, "window_id")
+
+
 # --- replay ---------------------------------------------------------------------------------------
 
 STORM_SQL = """l AS (SELECT window_id, lead, coalesce(count_if(rain_mm_h >= 15) / nullif(count(rain_mm_h), 0), 0) AS area FROM fx_target GROUP BY ALL),
