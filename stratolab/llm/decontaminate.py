@@ -161,6 +161,7 @@ def scan(
     item_text_col: str = "text",
     window: int = 10,
     max_block_chars: int = 1_500_000,
+    max_benchmark_chars: int = 150_000_000,
 ) -> DataFrame:
     """docs with n_words, n_hit, items and spans (character offsets) of benchmark windows.
 
@@ -169,12 +170,16 @@ def scan(
     take no part; rows that repeat an id add to that item's windows. Columns of
     docs named as one of the four results are replaced. max_block_chars bounds
     the item text in one automaton, whose states take some hundred bytes a character at
-    most; larger benchmarks take more automata.
+    most; larger benchmarks take more automata. Items reach the tasks through the driver, so a benchmark of
+    more than max_benchmark_chars is refused with a ValueError before any of it is collected: scan such
+    a benchmark in parts. An empty docs gives no row, an empty benchmark no hit.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("id"), F.col(item_text_col).cast("string").alias("text")
     ).where("id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    if total > max_benchmark_chars:
+        raise ValueError(f"a benchmark of {total} characters; max_benchmark_chars is {max_benchmark_chars}")
     blocks = max(1, -(-total // max_block_chars))
     docs = docs.drop("n_words", "n_hit", "items", "spans")
     names, previous = docs.columns, None

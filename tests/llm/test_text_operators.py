@@ -94,6 +94,16 @@ def test_spans_point_into_the_original(spark):
     assert got.columns[:4] == ["doc_id", "text", "key", "pos"]
 
 
+def test_a_benchmark_beyond_the_stated_size_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "a b"), ("y", "b c d"), ("z", None)], "item_id string, text string")
+    assert decontaminate.scan(docs, items, max_benchmark_chars=8).first().n_hit == 2
+    with pytest.raises(ValueError, match="max_benchmark_chars"):
+        decontaminate.scan(docs, items, max_benchmark_chars=7)
+    assert decontaminate.scan(docs.limit(0), items).count() == 0
+    assert decontaminate.scan(docs, items.limit(0)).first().n_hit == 0
+
+
 def test_decontaminated_keeps_clean_rows_and_columns(spark):
     bench = spark.createDataFrame([(1, "GAMMA delta epsilon")], "item_id long, text string")
     docs = odd(spark)
