@@ -13,12 +13,16 @@ probability of about 1e-12, so links join texts that are alike: even of 100 mill
 dozen pairs or so are linked by chance. Texts that links join are then compared as whole shingle
 sets, group by group; only pairs whose similarity reaches the threshold count.
 
-Lists grow with the corpus (600,000 texts each at 40 billion). Those beyond `refine_at` are
+Lists grow with the corpus (8000 texts each at 500 million), and all pairs of a list are compared
+at any size: which pairs are found is a matter of their texts alone. The work in lists of unrelated texts
+grows with the square of their length; a spanning forest of alike texts takes time linear in it.
+
+Only where a caller gives `refine_at`, which the pipeline does not, are lists beyond it
 refined: a text goes on in 16 lists, each by one further byte of its sketch, which are 256 times
 shorter where texts are unrelated, so a list's work falls to a sixteenth; twice at most. A
 pair that met in a refined list meets again with probability 99.3 % at similarity 0.8, and such a pair
-meets in seven lists on average. Lists that are long because their texts are alike are not
-refined: a spanning forest of those takes time linear in their length.
+meets in seven lists on average; so then a pair may be lost for the size of the corpus. Lists
+that are long because their texts are alike are not refined.
 """
 
 from __future__ import annotations
@@ -251,19 +255,24 @@ def _id(df: DataFrame) -> list[F.Column]:
     return [F.coalesce(df["id"], F.lit(0)).alias("k0"), df["id"].isNull().alias("k1")]
 
 
-def linked(texts: DataFrame, block: int, refine_at: int = 8000) -> DataFrame:
-    """Links (a, b) of texts (node, sketch): a spanning forest of what each posting list joins."""
+def linked(texts: DataFrame, block: int, refine_at: int | None = None) -> DataFrame:
+    """Links (a, b) of texts (node, sketch): a spanning forest of what each posting list joins.
+
+    All pairs of a list are compared, unless lists beyond refine_at are to be refined, which may lose pairs.
+    """
     schema = "list long, node long, " + ", ".join(f"{m} long" for m in MARKS)
     posted = texts.select("node", "sketch").mapInArrow(_postings, schema)
-    total, refined = texts.count(), False
+    refined = False
 
     def over(rows: DataFrame) -> DataFrame:
-        return stored(rows.groupBy("list").count().where(F.col("count") > min(block, refine_at)), "long-lists")
+        least = block if refine_at is None else min(block, refine_at)
+        return stored(rows.groupBy("list").count().where(F.col("count") > least), "long-lists")
 
     long = over(posted)
-    # By chance a list of two bytes holds 1 / 65536 of all texts, a refined one 1 / 256 of its list; far fuller ones hold alike texts.
-    chance = (F.col("count") > refine_at) & (4096 * F.col("count") <= total)
-    for level in range(2):
+    if refine_at is not None:
+        # By chance a list of two bytes holds 1 / 65536 of all texts, a refined one 1 / 256 of its list; far fuller ones hold alike texts.
+        chance = (F.col("count") > refine_at) & (4096 * F.col("count") <= texts.count())
+    for level in range(0 if refine_at is None else 2):
         deep = stored(long.where(chance), "deep-lists")
         if deep.isEmpty():
             break
@@ -287,7 +296,7 @@ def linked(texts: DataFrame, block: int, refine_at: int = 8000) -> DataFrame:
 
 
 def representatives(
-    docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = 20_000, set_block: int = 128, refine_at: int = 8000
+    docs: DataFrame, *, shingle: int = 5, percent: int = 80, block: int = 20_000, set_block: int = 128, refine_at: int | None = None
 ) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id; columns unchanged.
 
@@ -297,8 +306,9 @@ def representatives(
     Rows with null ids stay only in groups where no row has an id, and then all
     stay: nothing tells them apart. Repeated rows of the kept id and text leave one.
 
-    Posting lists longer than `refine_at` are refined by further bytes. What stays longer than `block`, and groups of more than `set_block` texts, are cut
-    into parts; each pair of parts is worked on as a list of its own, so no pair is missed.
+    Posting lists longer than `block`, and groups of more than `set_block` texts, are cut
+    into parts; each pair of parts is worked on as a list of its own, so no pair is missed. With `refine_at`, lists longer than that are refined
+    by further bytes first, which saves work on more than some five hundred million texts and may miss pairs that whole lists find.
     """
     named = docs.select(
         F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"

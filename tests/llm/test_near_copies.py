@@ -124,3 +124,19 @@ def test_long_lists_are_refined_by_bytes_they_do_not_use():
         assert len(set(longer)) == 16 * len(keys)
         assert all(k & 255 not in keys[k >> 12] for k in longer)
         keys = {k: keys[k >> 12] | {k & 255} for k in longer}
+
+
+def test_long_lists_lose_no_pair_for_the_size_of_the_corpus(spark, monkeypatch):
+    """A list of 9000 texts gives every pair within the bound, also where the corpus counts as 2 ** 40 texts."""
+    rng = np.random.default_rng(11)
+    pairs = 600
+    bits = rng.integers(0, 2, (9000, 512), dtype=np.uint8)
+    bits[pairs : 2 * pairs] = bits[:pairs] ^ (rng.random((pairs, 512)) < 0.23)
+    bits[:, :16] = 0  # all share the first list
+    packed = np.packbits(bits, axis=1)
+    near = np.flatnonzero((bits[:pairs, :256] != bits[pairs : 2 * pairs, :256]).sum(axis=1) <= near_copies.MOST_BITS)
+    texts = spark.createDataFrame([(i, bytearray(b.tobytes())) for i, b in enumerate(packed)], "node long, sketch binary")
+    monkeypatch.setattr(type(texts), "count", lambda self: 1 << 40)
+    got = {tuple(sorted(r)) for r in near_copies.linked(texts, 20_000).collect()}
+    assert len(near) > pairs / 2
+    assert got >= {(i, i + pairs) for i in near.tolist()}
