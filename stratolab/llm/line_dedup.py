@@ -16,7 +16,8 @@ its keeper's, and the keeper stays whole.
 Plan: one pass writes (document, lines, digest) of all chunks; a partial
 aggregation finds repeated digests, and rounds work on the places of those; only
 the texts of what goes, each line once, and of its keepers are shuffled for the comparison, with hot digests
-salted; the decisions go back to the documents by one join on their key.
+salted; the decisions go back to the documents by one join on their key. Before each of these joins a bitmap of
+the keys' hashes leaves out rows that meet nothing, so documents of which nothing goes are not shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import parted, spread_join, stored
 
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -360,7 +361,8 @@ def dedup(
     found = stored(slim.mapInArrow(_candidates(rules, min_lines), _PLACE), "line-chunks")
     repeated = stored(found.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"), "line-repeats")
     rows = found.count()
-    places = stored(spread_join(found, repeated, "digest", rows).select(found.columns), "line-places")
+    likely, _ = parted(found, repeated, ["digest"], repeated.count())
+    places = stored(spread_join(likely, repeated, "digest", rows).select(found.columns), "line-places")
     keepers = _settled(places, repeated, rows, local_places)
     going = spread_join(places, keepers, "digest", rows).where(_goes())
     going = going.groupBy(*_DOC).agg(F.collect_set(F.struct("span", "digest")).alias("found")).mapInArrow(_cover, _PLACE)
@@ -370,7 +372,10 @@ def dedup(
     firsts = used.select("keeper.id", "keeper.tie", F.struct("keeper.span", "digest", F.lit(True).alias("first"), "copies").alias("w"))
     others = spread_join(going, used, "digest", rows).select(*_DOC, F.struct("span", "digest", F.lit(False).alias("first"), "copies").alias("w"))
     wanted = firsts.unionByName(others).groupBy(*_DOC).agg(F.collect_list("w").alias("wanted"))
-    with_wanted = slim.join(wanted, _DOC).select(*_DOC, "text", "wanted")
+    cut, met = going.select(_DOC), used.select("keeper.id", "keeper.tie")
+    n_cut = going.count()
+    likely, _ = parted(slim, cut.unionByName(met), _DOC, n_cut + used.count())
+    with_wanted = likely.join(wanted, _DOC).select(*_DOC, "text", "wanted")
     bodies = stored(
         with_wanted.mapInArrow(_texts, f"{_PLACE}, first boolean, copies long, body binary"), "line-bodies"
     )
@@ -387,7 +392,9 @@ def dedup(
     )
     kept = [f"c{i}" for i in range(len(names))]
     carried = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], *key)
-    joined = carried.join(gone, _DOC, "left").select(*kept, "removed")
+    likely, whole = parted(carried, cut, _DOC, n_cut)
+    joined = likely.join(gone, _DOC, "left").select(*kept, "removed")
+    joined = joined.unionByName(whole.select(*kept, F.lit(None).cast("array<bigint>").alias("removed")))
     types = [f.dataType.simpleString() for f in docs.schema]
     schema = ", ".join(f"{c} {t}" for c, t in zip(kept, types, strict=True)) + ", n_removed_lines int"
     out = joined.mapInArrow(_rebuilt(names.index(text_col)), schema)
