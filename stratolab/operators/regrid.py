@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DOMAIN, Grid, haversine_km
+from ..sources.windows import shared_path
 
 KM_PER_DEGREE = 111.32
 MAX_BROADCAST_CELLS = 160_000
+MAX_BROADCAST_POINTS = 160_000
 MAX_POINTS = 1024
 
 
@@ -49,8 +51,8 @@ def regrid_nearest(
     )
 
 
-def bilinear_corners(target: DataFrame, source: Grid, offset: float = 0.0, scale: float = 1.0, clamp: bool = False) -> DataFrame:
-    """target (lat, lon, ..) with its up to four source corners (src_row, src_col) and their weights."""
+def _axes(source: Grid, offset: float, scale: float, clamp: bool) -> tuple[tuple[Column, Column], tuple[Column, Column]]:
+    """The source row and column at or below (lat, lon), each with the fraction beyond it."""
 
     def axis(c: Column, low: float, size: int) -> tuple[Column, Column]:
         at = (c - low) / source.resolution * scale + offset
@@ -59,11 +61,18 @@ def bilinear_corners(target: DataFrame, source: Grid, offset: float = 0.0, scale
         at = F.round(at, 9)
         return F.floor(at).cast("int"), at - F.floor(at)
 
-    (r, fr), (c, fc) = axis(F.col("lat"), source.lat_min, source.height), axis(F.col("lon"), source.lon_min, source.width)
+    return axis(F.col("lat"), source.lat_min, source.height), axis(F.col("lon"), source.lon_min, source.width)
+
+
+CORNERS = [(i, j) for i in (0, 1) for j in (0, 1)]
+
+
+def bilinear_corners(target: DataFrame, source: Grid, offset: float = 0.0, scale: float = 1.0, clamp: bool = False) -> DataFrame:
+    """target (lat, lon, ..) with its up to four source corners (src_row, src_col) and their weights."""
+    (r, fr), (c, fc) = _axes(source, offset, scale, clamp)
     corners = [
         F.struct((r + i).alias("src_row"), (c + j).alias("src_col"), ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("w"))
-        for i in (0, 1)
-        for j in (0, 1)
+        for i, j in CORNERS
     ]
     needed = F.filter(F.array(*corners), lambda x: x["w"] > 0)
     return target.withColumn("corner", F.explode(needed)).select(*target.columns, "corner.*")
@@ -74,17 +83,20 @@ def regrid_bilinear(cells: DataFrame, source: Grid, target: DataFrame, keys: lis
 
     cells: (frame, row, col, value). Corners with weight zero are not needed. Corners are
     fixed by the grids: each source cell gets the array of points that it serves,
-    so one equi-join and one aggregation reach them. A frame's points none of whose
+    so one equi-join and one aggregation reach them. Where points are too many for that, they meet
+    patches of cells instead. A frame's points none of whose
     corners has a row are left out, as are points outside the source grid.
     """
     frame = frame or []
+    if target.limit(MAX_BROADCAST_POINTS + 1).count() > MAX_BROADCAST_POINTS:
+        return _regrid_many(cells, source, target, keys, frame)
     corners = bilinear_corners(target, source)
     size = Window.partitionBy(*keys)
     needed = corners.withColumn("need", F.count("*").over(size))
     served = needed.groupBy(F.col("src_row").alias("row"), F.col("src_col").alias("col")).agg(
         F.collect_list(F.struct(*keys, "w", "need")).alias("points")
     )
-    # At most as many rows as the source grid has cells.
+    # At most as many rows as the source grid has cells, and four entries a point.
     served = F.broadcast(served) if source.height * source.width <= MAX_BROADCAST_CELLS else served
     joined = cells.join(served, ["row", "col"]).select(*frame, "value", F.explode("points").alias("p"))
     whole = F.count("value") == F.first("p.need")
@@ -92,6 +104,39 @@ def regrid_bilinear(cells: DataFrame, source: Grid, target: DataFrame, keys: lis
     return joined.groupBy(*frame, *point).agg(F.when(whole, F.sum(F.col("p.w") * F.col("value"))).alias("value"))
 
 
+def _regrid_many(cells: DataFrame, source: Grid, target: DataFrame, keys: list[str], frame: list[str]) -> DataFrame:
+    """regrid_bilinear for any number of points: each meets the 2 x 2 patch of cells round it, a row a frame.
+
+    Points are shuffled once, by their keys, and stay there if the patches are small enough for the
+    session's broadcast threshold; otherwise both sides meet by the patch's corner.
+    """
+    patch = F.explode(F.array(*[F.struct((F.col("row") - i).alias("src_row"), (F.col("col") - j).alias("src_col"), F.lit(n).alias("n")) for n, (i, j) in enumerate(CORNERS)]))
+    own = [F.col("k.n") == n for n in range(len(CORNERS))]
+    parts = {"total": [F.sum(F.when(o, F.col("value"))) for o in own], "held": [F.count(F.when(o, F.col("value"))) for o in own], "seen": [F.count(F.when(o, 1)) for o in own]}
+    patches = cells.select(*frame, "value", patch.alias("k")).groupBy(*frame, "k.src_row", "k.src_col")
+    patches = patches.agg(*[F.array(*each).alias(name) for name, each in parts.items()])
+    # Written, so that its size is known before points are dealt.
+    path = shared_path(cells.sparkSession, "stratolab-patches")
+    patches.write.parquet(path)
+    patches = cells.sparkSession.read.schema(patches.schema).parquet(path)
+
+    (r, fr), (c, fc) = _axes(source, 0.0, 1.0, False)
+    points = target.select(*keys, r.alias("src_row"), c.alias("src_col"), fr.alias("fr"), fc.alias("fc"))
+    weights = [(F.col("fr") if i else 1 - F.col("fr")) * (F.col("fc") if j else 1 - F.col("fc")) for i, j in CORNERS]
+
+    def over(part, zero) -> Column:
+        """The sum of what part gives for each corner that is needed."""
+        used = [F.when(w > 0, F.coalesce(part(n), F.lit(zero))).otherwise(F.lit(zero)) for n, w in enumerate(weights)]
+        return used[0] + used[1] + used[2] + used[3]
+
+    points = points.withColumn("need", over(lambda n: F.lit(1), 0)).where("need > 0")
+    points = points.withColumn("need", F.sum("need").over(Window.partitionBy(*keys)))
+    met = points.join(patches, ["src_row", "src_col"]).where(over(lambda n: F.col("seen")[n], 0) > 0)
+    held, total = over(lambda n: F.col("held")[n], 0), over(lambda n: weights[n] * F.col("total")[n], 0.0)
+    met = met.select(*frame, *keys, "need", held.alias("held"), total.alias("total"))
+    return met.groupBy(*frame, *keys).agg(F.when(F.sum("held") == F.first("need"), F.sum("total")).alias("value"))
+
+
 def regrid_stream(cells: DataFrame, kind: str, source: Grid, target: DataFrame, *, grid: Grid = DOMAIN, radius_km: float | None = None) -> DataFrame:
     """Every (slot, channel, level) of a stream: bilinear if continuous, nearest if categorical.
 
