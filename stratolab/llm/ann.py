@@ -8,10 +8,11 @@ the full distance then drops the rest, and the floats of what remains are
 reranked by exact cosine.
 
 Rotations and radius are fitted on a bounded sample. The index holds every row,
-in blocks of a fixed number of rows; queries, a stated set, are dealt to blocks in blocks
-of their own. A task takes one block and a bounded number of query blocks, so its
-memory and its work are bounded. It returns k rows a query, so nothing of the
-candidates is shuffled.
+in blocks of a fixed number of rows; queries, a stated set, lie in blocks of their own.
+A unit of work is a bounded number of query blocks and of blocks. Its query blocks come
+first and are held, then its blocks pass one at a time, so memory and work are bounded.
+A unit returns k rows a query, so nothing of the candidates is shuffled, and no block
+passes the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 _SUB = 16
+# A product of matrices tells cosines to this, far more than rounding can add; what it leaves over is scored exactly.
+_SLACK = 1e-9
 
 
 class Model(NamedTuple):
@@ -82,9 +85,20 @@ def _hamming(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ one).sum(axis=1, dtype=np.int64)
 
 
-def fit(vectors: DataFrame, dims: int, *, sample: int = 4096, **options) -> Model | None:
-    """A model of the usable (vec_id, v) rows; at most `sample` of them, by hash of the id, reach the driver."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+def fit(vectors: DataFrame, dims: int, *, sample: int = 4096, n_rows: int | None = None, **options) -> Model | None:
+    """A model of the usable (vec_id, v) rows; the `sample` of least hash of the id make it.
+
+    Every partition sends its least rows to the driver. Of a known number of rows only those below a
+    hash that some twice as many as wanted should lie below are looked at, so that these are few in all;
+    where ids repeat so that they aren't enough, all are.
+    """
+    least = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    rows = []
+    if n_rows and n_rows > 4 * sample:
+        below = F.xxhash64("vec_id") < F.lit(-(2**63) + 2**64 * 2 * sample // n_rows)
+        rows = vectors.where(below).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    if len(rows) < sample:
+        rows = least.collect()
     if not rows:
         return None
     x = np.array([r.v for r in rows], dtype=np.float64).reshape(-1, dims)
@@ -96,7 +110,8 @@ class Index:
 
     def __init__(self, model: Model, x: np.ndarray):
         norms = np.linalg.norm(x, axis=1, keepdims=True)
-        self.model, self.codes = model, model.codes(x / norms)
+        self.model, self.unit = model, x / norms
+        self.codes = model.codes(self.unit)
         self.lists = []
         for s in range(model.substrings):
             order = np.argsort(self.codes[:, s], kind="stable")
@@ -124,35 +139,70 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+class Asked:
+    """A block of queries and the k best rows that each has met."""
+
+    def __init__(self, model: Model, k: int, ids: np.ndarray, x: np.ndarray):
+        self.model, self.k, self.ids, self.x = model, k, ids.tolist(), x
+        self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.codes = model.codes(self.unit)
+        self.best = [(np.empty(0, np.int64), np.empty(0))] * len(self.ids)
+
+    def _first(self, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, ties to the smaller id; an id's equal scores count once."""
+        order = np.lexsort((ids, -score))
+        ids, score = ids[order], score[order]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+        return ids[new][: self.k], score[new][: self.k]
+
+    def meet(self, index: Index, ids: np.ndarray, x: np.ndarray) -> None:
+        all_bits, near = self.model.rotation.shape[1], self.unit @ index.unit.T
+        for at, (qid, vector, code) in enumerate(zip(self.ids, self.x, self.codes, strict=True)):
+            radius = self.model.radius
+            others = int((ids != qid).sum())
+            while True:  # a block with too few codes in the radius is searched farther out
+                rows = index.within(code, radius)
+                rows = rows[ids[rows] != qid]
+                if len(rows) >= min(self.k, others) or radius >= all_bits:
+                    break
+                radius = min(all_bits, radius + self.model.substrings)
+            if len(self.best[at][0]) == self.k:
+                rows = rows[~(near[at, rows] < self.best[at][1][-1] - _SLACK)]
+            most = rows
+            if len(rows) > self.k:
+                most = rows[~(near[at, rows] < np.partition(near[at, rows], -self.k)[-self.k] - _SLACK)]
+            found = self._first(ids[most], cosine(x[most], vector[None, :]))
+            if len(found[0]) < self.k and len(most) < len(rows):  # some were an id's equal scores
+                found = self._first(ids[rows], cosine(x[rows], vector[None, :]))
+            self.best[at] = self._first(*(np.concatenate(two) for two in zip(self.best[at], found, strict=True)))
+
+
 def _search(model: Model, k: int, dims: int):
-    """Rows are (base ids, base vectors, query ids, query vectors), all packed."""
+    """Rows are (unit, kind, ids, vectors), packed and in order: a unit's query blocks, kind 0, then its blocks, kind 1."""
+
+    def found(asked: list[Asked]) -> Iterator[pa.RecordBatch]:
+        for block in asked:
+            held = [(qid, *best) for qid, best in zip(block.ids, block.best, strict=True) if len(best[0])]
+            if held:
+                columns = [np.repeat([h[0] for h in held], [len(h[1]) for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
+        last, asked = None, []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for base_ids, base, query_ids, queries in zip(*columns, strict=True):
-                ids, x = np.frombuffer(base_ids, np.int64), np.frombuffer(base, np.float64).reshape(-1, dims)
-                if last != base_ids:
-                    last, index = base_ids, Index(model, x)
-                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-                q = np.frombuffer(queries, np.float64).reshape(-1, dims)
-                codes = model.codes(q / np.linalg.norm(q, axis=1, keepdims=True))
-                for qid, vector, code in zip(np.frombuffer(query_ids, np.int64).tolist(), q, codes, strict=True):
-                    radius, all_bits = model.radius, model.rotation.shape[1]
-                    others = int((ids != qid).sum())
-                    while True:  # a block with too few codes in the radius is searched farther out
-                        rows = index.within(code, radius)
-                        rows = rows[ids[rows] != qid]
-                        if len(rows) >= min(k, others) or radius >= all_bits:
-                            break
-                        radius = min(all_bits, radius + model.substrings)
-                    score = cosine(x[rows], vector[None, :])
-                    best = np.lexsort((ids[rows], -score))[:k]
-                    out["query_id"] += [qid] * len(best)
-                    out["vec_id"] += ids[rows[best]].tolist()
-                    out["score"] += score[best].tolist()
-                yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
+            for unit, kind, ids, x in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if last != unit.as_py():
+                    yield from found(asked)
+                    last, asked = unit.as_py(), []
+                ids, x = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dims)
+                if kind.as_py() == 0:
+                    asked.append(Asked(model, k, ids.copy(), x.copy()))
+                    continue
+                index = Index(model, x)
+                for block in asked:
+                    block.meet(index, ids, x)
+        yield from found(asked)
 
     return run
 
@@ -160,21 +210,21 @@ def _search(model: Model, k: int, dims: int):
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _blocks(rows: DataFrame, prefix: str, n: int) -> DataFrame:
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
     """n blocks of about equal size, each one row of packed ids and vectors."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = [], []
-            for rows in batch.column(1).to_pylist():
-                ids.append(np.array([r["vec_id"] for r in rows], np.int64).tobytes())
-                parts.append(np.array([r["v"] for r in rows], np.float64).tobytes())
+            for rows in batch.column(1):
+                ids.append(rows.values.field("vec_id").to_numpy().tobytes())
+                parts.append(rows.values.field("v").flatten().to_numpy().tobytes())
             columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["b", "i", "x"])
 
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     grouped = rows.groupBy(block.alias("b")).agg(F.collect_set(F.struct("vec_id", "v")).alias("rows"))
-    return grouped.mapInArrow(pack, "b int, i binary, x binary").toDF(*(f"{prefix}{c}" for c in "bix"))
+    return grouped.mapInArrow(pack, "b int, i binary, x binary")
 
 
 def nearest(
@@ -187,6 +237,7 @@ def nearest(
     block_rows: int = 4000,
     query_rows: int = 500,
     task_blocks: int = 32,
+    unit_blocks: int = 8,
     **fit_options,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine of rows whose id is divisible by query_every.
@@ -209,7 +260,7 @@ def nearest(
     about = lengths.first()
     dims, n_rows = (about.dims, about.n) if about else (1, 0)
     usable = usable.where(F.size("v") == dims)
-    model = fit(usable, dims, k=k, **fit_options)
+    model = fit(usable, dims, k=k, n_rows=n_rows, **fit_options)
     base_blocks = max(1, -(-n_rows // block_rows))
     asked = usable.where(F.pmod("vec_id", F.lit(query_every)) == 0)
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -217,14 +268,21 @@ def nearest(
     query_blocks = max(1, -(-n_asked // query_rows))
     if model is None:
         model = Model(np.zeros((dims, _SUB)), 0)
-    base = stored(_blocks(usable, "b", base_blocks), "ann-base")
-    asks = stored(_blocks(asked, "q", query_blocks), "ann-queries")
-    # Query blocks in groups: one row each to every block; a block once to each group.
+    base = stored(_blocks(usable, base_blocks), "ann-base")
+    asks = stored(_blocks(asked, query_blocks), "ann-queries")
+    # Each group of query blocks meets each group of blocks in a unit; there are some units for every core.
     groups = -(-query_blocks // task_blocks)
-    asked_of = asks.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(base_blocks - 1)))).withColumn("group", F.pmod("qb", F.lit(groups)))
-    blocks = base.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    dealt = blocks.join(asked_of, ["bb", "group"]).select("bi", "bx", "qi", "qx")
-    found = dealt.mapInArrow(_search(model, k, dims), "query_id long, vec_id long, score double").distinct()
+    wanted = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    parts = min(base_blocks, max(-(-base_blocks // unit_blocks), -(-wanted // groups)))
+
+    def dealt(blocks: DataFrame, kind: int, unit: F.Column) -> DataFrame:
+        return blocks.select(F.explode(unit).alias("unit"), F.lit(kind).alias("kind"), "i", "x")
+
+    every_part, every_group = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(0), F.lit(groups - 1))
+    rows = dealt(asks, 0, F.transform(every_part, lambda p: p * groups + F.pmod("b", F.lit(groups))))
+    rows = rows.unionByName(dealt(base, 1, F.transform(every_group, lambda g: F.pmod("b", F.lit(parts)) * groups + g)))
+    rows = rows.repartitionById(parts * groups, "unit").sortWithinPartitions("unit", "kind")
+    found = rows.mapInArrow(_search(model, k, dims), "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
