@@ -5,7 +5,8 @@ Vectors get binary codes: signs under learned rotations. A code is split into
 a query on some substring up to floor(r / substrings) bits, so probing every
 indexed value that near, in each substring, retrieves all of them (pigeonhole);
 the full distance then drops the rest, and the floats of what remains are
-reranked by exact cosine.
+reranked by exact cosine. Where probing would retrieve a large share of a block,
+the full distances of its rows to many queries are taken at once: the same rows.
 
 Rotations and radius are fitted on a bounded sample. The index holds every row,
 in blocks of a fixed number of rows; queries, a stated set, lie in blocks of their own.
@@ -17,7 +18,8 @@ passes the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +32,8 @@ from .common import stored
 _SUB = 16
 # A product of matrices tells cosines to this, far more than rounding can add; what it leaves over is scored exactly.
 _SLACK = 1e-9
+# Probing is left out where it would retrieve more than this share of random codes.
+_MOST = 0.125
 
 
 class Model(NamedTuple):
@@ -40,6 +44,12 @@ class Model(NamedTuple):
     def substrings(self) -> int:
         return self.rotation.shape[1] // _SUB
 
+    @property
+    def share(self) -> float:
+        """The share of random codes that probing retrieves."""
+        near = sum(math.comb(_SUB, i) for i in range(min(_SUB, self.radius // self.substrings) + 1)) / 2**_SUB
+        return 1 - (1 - near) ** self.substrings
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """uint16 substrings of the codes of x's rows."""
         bits = (x @ self.rotation) > 0
@@ -85,6 +95,16 @@ def _hamming(codes: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ one).sum(axis=1, dtype=np.int64)
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of all codes of a to all of b."""
+    if a.shape[1] % 4 == 0:
+        a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+    total = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        total += np.bitwise_count(a[:, [w]] ^ b[:, w])
+    return total
+
+
 def fit(vectors: DataFrame, dims: int, *, sample: int = 4096, n_rows: int | None = None, **options) -> Model | None:
     """A model of the usable (vec_id, v) rows; the `sample` of least hash of the id make it.
 
@@ -156,10 +176,34 @@ class Asked:
         new[1:] = (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
         return ids[new][: self.k], score[new][: self.k]
 
+    def _meet_together(self, index: Index, ids: np.ndarray, x: np.ndarray, near: np.ndarray) -> Iterable[int]:
+        """Meets rows within the radius without probing; gives back the queries that are to be searched alone."""
+        other = np.array(self.ids)[:, None] != ids
+        inside = (_distances(self.codes, index.codes) <= self.model.radius) & other
+        counts, enough = inside.sum(axis=1), np.minimum(self.k, other.sum(axis=1))
+        full = np.array([len(b[0]) == self.k for b in self.best])
+        floor = np.array([b[1][-1] if f else -np.inf for b, f in zip(self.best, full, strict=True)])
+        if len(ids) > self.k and not full.all():
+            floor[~full] = np.partition(np.where(inside[~full], near[~full], -np.inf), -self.k, axis=1)[:, -self.k]
+        alone = set(np.flatnonzero(counts < enough).tolist())
+        places, rows = np.nonzero(inside & ~(near < floor[:, None] - _SLACK))
+        score = cosine(x[rows], self.x[places])
+        ends = np.append(np.flatnonzero(places[1:] != places[:-1]) + 1, len(places))
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if start == end or (at := int(places[start])) in alone:
+                continue
+            found = self._first(ids[rows[start:end]], score[start:end])
+            if not full[at] and len(found[0]) < self.k and end - start < counts[at]:  # some were an id's equal scores
+                alone.add(at)
+                continue
+            self.best[at] = self._first(*(np.concatenate(two) for two in zip(self.best[at], found, strict=True)))
+        return sorted(alone)
+
     def meet(self, index: Index, ids: np.ndarray, x: np.ndarray) -> None:
         all_bits, near = self.model.rotation.shape[1], self.unit @ index.unit.T
-        for at, (qid, vector, code) in enumerate(zip(self.ids, self.x, self.codes, strict=True)):
-            radius = self.model.radius
+        alone = range(len(self.ids)) if self.model.share <= _MOST else self._meet_together(index, ids, x, near)
+        for at in alone:
+            qid, vector, code, radius = self.ids[at], self.x[at], self.codes[at], self.model.radius
             others = int((ids != qid).sum())
             while True:  # a block with too few codes in the radius is searched farther out
                 rows = index.within(code, radius)

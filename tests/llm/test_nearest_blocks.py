@@ -40,3 +40,25 @@ def test_the_sample_is_the_same_with_the_number_of_rows(spark):
     assert one.radius == two.radius and (one.rotation == two.rotation).all()
     same = vectors.selectExpr("7L as vec_id", "v")
     assert ann.fit(same, 16, sample=100, n_rows=1202) is not None
+
+
+def test_codes_compared_together_give_the_rows_of_probing(monkeypatch):
+    x = np.random.default_rng(5).standard_normal((900, 32))
+    x[300:340] = x[7]
+    ids = np.arange(900)
+    ids[320:340] = 300
+    model = ann.learn(x / np.linalg.norm(x, axis=1, keepdims=True))
+    best = []
+    for share in (0.0, 1.0):
+        monkeypatch.setattr(ann.Model, "share", share)
+        asked = ann.Asked(model, 5, ids[:50], x[:50])
+        for start in range(0, 900, 150):
+            block = slice(start, start + 150)
+            asked.meet(ann.Index(model, x[block]), ids[block], x[block])
+        best.append([(i.tolist(), s.tolist()) for i, s in asked.best])
+    assert best[0] == best[1]
+    assert best[0][7][0] == [300, 301, 302, 303, 304]
+
+
+def test_the_share_that_probing_retrieves():
+    assert ann.Model(np.zeros((16, 128)), 7).share < 2 ** -12 < 0.8 < ann.Model(np.zeros((16, 128)), 55).share < 0.9
